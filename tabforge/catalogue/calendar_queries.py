@@ -86,8 +86,8 @@ from orders join wk on wk.d = o_orderdate::date join hm on hm.d = wk.d join hw o
 
 @query("c03_bizday", _BIZDAY_SQL.format(week="isodow(wk.d) - hw.n"))
 def c03(spark, sf):
-    return table(spark, sf, "orders").select(
-        "o_orderkey", *[v.alias(k) for k, v in cal.bizday("o_orderdate").items()])
+    days = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return cal.by_day(days, "o_orderdate", cal.bizday).drop("o_orderdate")
 
 
 @query("c10_biz_day_week_parity", _BIZDAY_SQL.format(week="-hw.n"))
@@ -216,10 +216,12 @@ select o_orderkey, next_holiday, previous_holiday,
        coalesce((next_in_year - date '0001-01-01' + 1), 0)::int as next_in_year_rdate
 from orders join n on n.d = o_orderdate::date""")
 def c16(spark, sf):
-    return table(spark, sf, "orders").select(
-        "o_orderkey", cal.next_holiday("o_orderdate").alias("next_holiday"),
-        cal.previous_holiday("o_orderdate").alias("previous_holiday"),
-        F.coalesce(cal.to_rdate(cal.next_holiday("o_orderdate", 0)), F.lit(0)).alias("next_in_year_rdate"))
+    def nearest(d):
+        return {"next_holiday": cal.next_holiday(d), "previous_holiday": cal.previous_holiday(d),
+                "next_in_year_rdate": F.coalesce(cal.to_rdate(cal.next_holiday(d, 0)), F.lit(0))}
+
+    days = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return cal.by_day(days, "o_orderdate", nearest).drop("o_orderdate")
 
 
 @query("j06_nearest_events", """

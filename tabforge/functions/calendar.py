@@ -7,13 +7,14 @@ arithmetic on the year, so every function fuses into the surrounding stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabforge.plans.scale import lookup_join
+from tabforge.plans.scale import lookup_join, materialise
 
 # Weekday names for Spark's next_day, Sunday = 0.
 DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
@@ -300,6 +301,18 @@ def previous_holiday(d: Column | str, years_back: int = 1) -> Column:
     return F.greatest(*[F.when(h < d, h) for h in dates])
 
 
+def by_day(df: DataFrame, date: str, parts: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+    """Add day-level columns, worked out once per distinct day instead of once per row.
+
+    ``parts`` maps the day to named expressions (``bizday``, say). The table of
+    days is bounded by the calendar and joined back by day.
+    """
+    keyed = df.withColumn("_day", F.col(date).cast("date"))
+    days = materialise(keyed.select("_day").distinct())
+    table = days.select("_day", *[v.alias(k) for k, v in parts(F.col("_day")).items()])
+    return lookup_join(keyed, table, "_day").drop("_day")
+
+
 def with_nearest_events(
     df: DataFrame,
     date: str,
@@ -324,5 +337,6 @@ def with_nearest_events(
         F.last("_event", ignorenulls=True).over(past).alias(before),
         F.last("_event", ignorenulls=True).over(coming).alias(after),
     )
+    table = materialise(table)
     keyed = df.withColumn("_day", F.col(date).cast("date"))
     return lookup_join(keyed, table, "_day").drop("_day")
