@@ -14,9 +14,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A lookup side with at most this many (narrow) rows is broadcast.
 BROADCAST_ROWS = 1_000_000
+# ... and this many bytes.
+BROADCAST_BYTES = 256 * 1024 * 1024
 # An ordered group with at most this many rows is handled by one task.
 BLOCK_ROWS = 2_000_000
 # At most this many values are gathered to read off an exact order statistic.
@@ -38,9 +41,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows (counts no further than that)."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` stays within the given numbers of rows and bytes (both are measured)."""
+    width: Column = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            part = F.octet_length(c) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            part = F.octet_length(F.to_json(F.struct(c))) + 16
+        else:
+            part = F.lit(16)
+        width = width + F.coalesce(part, F.lit(16))
+    n, used = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n <= rows and (used or 0) <= size
 
 
 def lookup_join(
