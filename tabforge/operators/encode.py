@@ -98,6 +98,10 @@ class _Fitter:
     def _stats(self, df: DataFrame) -> DataFrame:
         return materialise(category_stats(df, self.columns, self.target, self.rounding))
 
+    def fit_transform(self, df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+        """Training rows encoded; some encoders treat them unlike other rows."""
+        return self.fit(df).transform(df)
+
     def _model(self, tables, outputs, defaults) -> EncoderModel:
         return EncoderModel(tables, outputs, defaults, self.rounding, self.keep)
 
@@ -212,6 +216,9 @@ class HashingEncoder:
     def fit(self, df: DataFrame) -> HashingEncoder:
         return self
 
+    def fit_transform(self, df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+        return self.transform(df)
+
     def transform(self, df: DataFrame) -> DataFrame:
         # the 128-bit digest modulo the bucket count, 32 bits at a time
         places = []
@@ -312,7 +319,7 @@ class LeaveOneOutEncoder(_TargetFitter):
     def value(self, prior):
         return F.col("s") / F.col("n")
 
-    def fit_transform(self, df: DataFrame) -> DataFrame:
+    def fit_transform(self, df: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
         stats = self._stats(df)
         prior = self._prior(stats)
         y = quoted(self.target).cast("double")
