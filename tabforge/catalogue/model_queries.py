@@ -18,7 +18,7 @@ _TEXT = ("n_chars", "n_words", "word_length", "upper_share", "digit_share", "lin
 
 def labelled_documents(spark, sf):
     """Whole texts described by a few numbers, with the quality label."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("_w", words("text"))
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").repartition("doc_id").withColumn("_w", words("text"))
     size = F.greatest(F.char_length("text"), F.lit(1))
     n = F.greatest(F.size("_w"), F.lit(1))
     rows = docs.select(
@@ -267,7 +267,8 @@ def flagship(spark, sf):
                                   "user_id", lag_target=True)
     inputs = ["value[-1]", "value[-2]", "value[-3]", "dayofweek"]
     boundary = sequence.split_date(events, "ts", 0.25)
-    seq = seq.withColumn("partition", F.when(F.col("ts") <= F.lit(boundary), "train").otherwise("test"))
+    # read many times below: lagged once, written once
+    seq = materialise(seq.withColumn("partition", F.when(F.col("ts") <= F.lit(boundary), "train").otherwise("test")))
     fitting = seq.filter("partition = 'train'")
     fill = scaling.fit_imputer(fitting.select(*[f"`{c}`" for c in inputs]))
     scaler = scaling.fit_standard(fill.transform(fitting), inputs)

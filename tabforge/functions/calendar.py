@@ -8,7 +8,6 @@ arithmetic on the year, so every function fuses into the surrounding stage.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -240,13 +239,19 @@ def holiday_name(d: Column | str, observed: bool = True) -> Column:
     return F.coalesce(*[F.when(d == h, F.lit(n)) for n, h in holidays(F.year(d), observed).items()])
 
 
+def holiday_dates(year: Column | str, observed: bool = True) -> Column:
+    """Array of the holiday dates of a year."""
+    return F.array(*holidays(year, observed).values())
+
+
 def _count_holidays(d: Column, start: Column, end: Column, weekdays_only: bool) -> Column:
     """Holidays of the year of ``d`` from start to end, both included."""
-    hits = []
-    for h in holidays(F.year(d)).values():
+
+    def inside(h: Column) -> Column:
         hit = (h >= start) & (h <= end)
-        hits.append((hit & (F.weekday(h) < 5) if weekdays_only else hit).cast("int"))
-    return reduce(lambda a, b: a + b, hits)
+        return hit & (F.weekday(h) < 5) if weekdays_only else hit
+
+    return F.size(F.filter(holiday_dates(F.year(d)), inside))
 
 
 def biz_day_month(d: Column | str) -> Column:
@@ -282,7 +287,7 @@ def nth_bizday(n: int, year: Column | str, month: Column | str) -> Column:
     y, m = _col(year), _col(month)
     first = F.make_date(y, m, F.lit(1))
     days = F.sequence(first, F.date_add(first, 7 * (n // 5 + 1) + 28))
-    closed = F.array(*holidays(y).values())
+    closed = holiday_dates(y)
     open_days = F.filter(days, lambda x: (F.weekday(x) < 5) & ~F.array_contains(closed, x))
     return F.get(open_days, F.lit(n - 1))
 
@@ -290,15 +295,15 @@ def nth_bizday(n: int, year: Column | str, month: Column | str) -> Column:
 def next_holiday(d: Column | str, years_ahead: int = 1) -> Column:
     """First holiday strictly after a date, within its year and the given number of later years."""
     d = _col(d).cast("date")
-    dates = [h for a in range(years_ahead + 1) for h in holidays(F.year(d) + a).values()]
-    return F.least(*[F.when(h > d, h) for h in dates])
+    years = F.transform(F.sequence(F.lit(0), F.lit(years_ahead)), lambda a: holiday_dates(F.year(d) + a))
+    return F.array_min(F.filter(F.flatten(years), lambda h: h > d))
 
 
 def previous_holiday(d: Column | str, years_back: int = 1) -> Column:
     """Last holiday strictly before a date, within its year and the given number of earlier years."""
     d = _col(d).cast("date")
-    dates = [h for a in range(years_back + 1) for h in holidays(F.year(d) - a).values()]
-    return F.greatest(*[F.when(h < d, h) for h in dates])
+    years = F.transform(F.sequence(F.lit(0), F.lit(years_back)), lambda a: holiday_dates(F.year(d) - a))
+    return F.array_max(F.filter(F.flatten(years), lambda h: h < d))
 
 
 def by_day(df: DataFrame, date: str, parts: Callable[[Column], Mapping[str, Column]]) -> DataFrame:

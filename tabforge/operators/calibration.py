@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.operators.models import positive_probability
@@ -29,6 +29,13 @@ class Sigmoid:
         return cls(LogisticRegression(featuresCol="_s", labelCol=label, probabilityCol="_p", rawPredictionCol="_r",
                                       predictionCol="_y").fit(data))
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> Sigmoid:
+        return cls(LogisticRegressionModel.load(path))
+
     def transform(self, df: DataFrame, score: str, output: str) -> DataFrame:
         data = VectorAssembler(inputCols=[score], outputCol="_s").transform(df)
         return self.model.transform(data).withColumn(output, positive_probability("_p")).drop("_s", "_p", "_r", "_y")
@@ -46,6 +53,13 @@ class Isotonic:
         data = df.groupBy(score).agg(F.avg(label).alias("_y"), F.count(label).cast("double").alias("_n"))
         return cls(IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_n", predictionCol="_p").fit(data))
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> Isotonic:
+        return cls(IsotonicRegressionModel.load(path))
+
     def transform(self, df: DataFrame, score: str, output: str) -> DataFrame:
         return self.model.setFeaturesCol(score).transform(df).withColumn(output, F.col("_p")).drop("_p")
 
@@ -113,6 +127,17 @@ class VennAbers:
         table = df.sparkSession.createDataFrame(rows, "_place double, p0 double, p1 double")
         return cls([k for k, _, _ in knots], table)
 
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
+        scores = [(i, float(k)) for i, k in enumerate(self.scores)]
+        self.table.sparkSession.createDataFrame(scores, "i int, k double").write.mode("overwrite").parquet(f"{path}/scores")
+
+    @classmethod
+    def load(cls, path: str) -> VennAbers:
+        spark = SparkSession.active()
+        scores = [r.k for r in spark.read.parquet(f"{path}/scores").orderBy("i").collect()]
+        return cls(scores, spark.read.parquet(f"{path}/table"))
+
     def transform(self, df: DataFrame, score: str, output: str) -> DataFrame:
         splits = [float("-inf"), *self.scores, float("inf")]
         found = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(df.withColumn("_s", F.col(score).cast("double")))

@@ -6,15 +6,21 @@ Every builder returns a ``pyspark.ml`` estimator (or a class with the same
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
@@ -126,6 +132,46 @@ class AdaBoost:
         return AdaBoostModel(trees, classes, self.prediction)
 
 
+def _write_note(path: str, note: dict) -> None:
+    row = [(json.dumps(note),)]
+    SparkSession.active().createDataFrame(row, "note string").write.mode("overwrite").parquet(f"{path}/note")
+
+
+def _read_note(path: str) -> dict:
+    return json.loads(SparkSession.active().read.parquet(f"{path}/note").first()["note"])
+
+
+class ScaledBayesModel:
+    def __init__(self, model: PipelineModel, features: str):
+        self.model, self.features = model, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scaler, bayes = self.model.stages
+        scaled = scaler.transform(df)
+        # values below the training minimum would be negative counts
+        clipped = F.transform(vector_to_array("_scaled"), lambda x: F.greatest(x, F.lit(0.0)))
+        return bayes.transform(scaled.withColumn("_scaled", array_to_vector(clipped))).drop("_scaled")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        _write_note(path, {"features": self.features})
+
+    @classmethod
+    def load(cls, path: str) -> ScaledBayesModel:
+        return cls(PipelineModel.load(f"{path}/model"), **_read_note(path))
+
+
+class ScaledBayes:
+    """Multinomial naive Bayes on features scaled to [0, 1]."""
+
+    def __init__(self, label: str, features: str, alpha: float = 1.0):
+        self.label, self.features, self.alpha = label, features, alpha
+
+    def fit(self, df: DataFrame) -> ScaledBayesModel:
+        bayes = NaiveBayes(labelCol=self.label, smoothing=self.alpha, modelType="multinomial")
+        return ScaledBayesModel(_scaled(bayes, self.features, minmax=True).fit(df), self.features)
+
+
 class FourierMap:
     """Random Fourier features of a Gaussian kernel (Rahimi and Recht 2007).
 
@@ -136,9 +182,6 @@ class FourierMap:
         self.size, self.components, self.gamma, self.seed = size, components, gamma, seed
 
     def transform(self, df: DataFrame, features: str, output: str) -> DataFrame:
-        import numpy as np
-        import pandas as pd
-
         rng = np.random.default_rng(self.seed)
         omega = rng.normal(0.0, (2 * self.gamma) ** 0.5, (self.size, self.components))
         shift = rng.uniform(0.0, 2 * np.pi, self.components)
@@ -159,6 +202,16 @@ class KernelSVCModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.lift.transform(df, self.features, "_lifted")).drop("_lifted")
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        f = self.lift
+        _write_note(path, {"lift": [f.size, f.components, f.gamma, f.seed], "features": self.features})
+
+    @classmethod
+    def load(cls, path: str) -> KernelSVCModel:
+        note = _read_note(path)
+        return cls(FourierMap(*note["lift"]), LinearSVCModel.load(f"{path}/model"), note["features"])
+
 
 class KernelSVC:
     """Kernel support vector classifier: Fourier features, then a linear one."""
@@ -172,7 +225,7 @@ class KernelSVC:
         size = len(df.select(vector_to_array(self.features)).first()[0])
         lift = FourierMap(size, self.components, self.gamma or 1.0 / size, self.seed)
         svc = LinearSVC(featuresCol="_lifted", labelCol=self.label, predictionCol=self.prediction, regParam=self.reg, maxIter=self.iter)
-        lifted = lift.transform(df.select(self.features, self.label), self.features, "_lifted")
+        lifted = materialise(lift.transform(df.select(self.features, self.label), self.features, "_lifted"))
         return KernelSVCModel(lift, svc.fit(lifted), self.features)
 
 
@@ -184,6 +237,13 @@ class PairwiseRankerModel:
         terms = [quoted(c) * F.lit(w) for c, w in zip(self.columns, self.weights)]
         return df.withColumn(self.prediction, add(terms))
 
+    def save(self, path: str) -> None:
+        _write_note(path, {"columns": self.columns, "weights": self.weights, "prediction": self.prediction})
+
+    @classmethod
+    def load(cls, path: str) -> PairwiseRankerModel:
+        return cls(**_read_note(path))
+
 
 class PairwiseRanker:
     """Linear ranker minimising the squared error over all pairs within each group.
@@ -271,7 +331,7 @@ def _linear_svc(spec: dict, **p):
 
 
 def _naive_bayes(spec: dict, **p):
-    return _scaled(NaiveBayes(labelCol=spec["label"], smoothing=p.get("alpha", 1.0), modelType="multinomial"), spec["features"], minmax=True)
+    return ScaledBayes(spec["label"], spec["features"], p.get("alpha", 1.0))
 
 
 def _multiclass_boost(spec: dict, **p):
@@ -373,15 +433,29 @@ def fold_pairs(df: DataFrame, fold: str, folds: int) -> Iterator[tuple[int, Data
         yield i, df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)
 
 
+def in_parallel(work: Sequence[Callable], parallelism: int = 4) -> list:
+    """Run independent jobs from a few driver threads; Spark shares the cluster among them."""
+    if len(work) < 2:
+        return [w() for w in work]
+    with ThreadPool(min(parallelism, len(work))) as pool:
+        return pool.map(lambda w: inheritable_thread_target(SparkSession.active())(w)(), work)
+
+
 def cv_scores(df: DataFrame, estimator, scorer: str, fold: str, folds: int, label: str = "label") -> list[float]:
     """Score of every fold for a model fitted on the others."""
     judge, _ = evaluator(scorer, label)
-    return [judge.evaluate(estimator.fit(train).transform(test)) for _, train, test in fold_pairs(df, fold, folds)]
+    work = [
+        lambda train=train, test=test: judge.evaluate(estimator.fit(train).transform(test))
+        for _, train, test in fold_pairs(df, fold, folds)
+    ]
+    return in_parallel(work)
 
 
 def out_of_fold(df: DataFrame, estimator, fold: str, folds: int) -> DataFrame:
     """Every row scored by the model that did not see its fold."""
-    parts = [estimator.fit(train).transform(test) for _, train, test in fold_pairs(df, fold, folds)]
+    pairs = list(fold_pairs(df, fold, folds))
+    fitted = in_parallel([lambda train=train: estimator.fit(train) for _, train, _ in pairs])
+    parts = [m.transform(test) for m, (_, _, test) in zip(fitted, pairs)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.plans.scale import fits, hash32
@@ -104,6 +104,17 @@ class NeighbourModel:
         self.points, self.features, self.value, self.key = points, features, value, key
         self.k, self.classify, self.weights = k, classify, weights
 
+    def save(self, path: str) -> None:
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        rows = [(self.features, self.value, self.key, self.k, self.classify, self.weights)]
+        schema = "features string, value string, key string, k int, classify boolean, weights string"
+        self.points.sparkSession.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/note")
+
+    @classmethod
+    def load(cls, path: str) -> NeighbourModel:
+        spark = SparkSession.active()
+        return cls(spark.read.parquet(f"{path}/points"), **spark.read.parquet(f"{path}/note").first().asDict())
+
     def transform(self, df: DataFrame) -> DataFrame:
         near = k_nearest(df, self.points, self.features, self.key, self.key, self.value, self.k)
         w = F.lit(1.0) if self.weights == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12))

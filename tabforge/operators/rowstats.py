@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.stats import kurtosis_test, normal_test, skew_test
+from tabforge.functions.stats import with_normality_tests
 from tabforge.operators.frame import quoted
 from tabforge.operators.scaling import impute_and_scale
 
@@ -75,11 +75,9 @@ def shape_statistics(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
     # the geometric mean is undefined with a negative value and zero with a zero
     gmean = F.exp(v.total(lambda x: F.when(x == 0, F.lit(float("-inf"))).when(x > 0, F.log(x))) / n)
     df = df.withColumns({"sp_geometric_mean": gmean, "sp_kurtosis": kurt, "sp_skew": skew})
+    df = with_normality_tests(df, n, "sp_skew", "sp_kurtosis", "sp_skew_test", "sp_kurtosis_test", "sp_normal_test")
     size = n if isinstance(n, int) else n.cast("double")
     out = {
-        "sp_kurtosis_test": kurtosis_test(F.col("sp_kurtosis"), size),
-        "sp_normal_test": normal_test(F.col("sp_skew"), F.col("sp_kurtosis"), size),
-        "sp_skew_test": skew_test(F.col("sp_skew"), size),
         "sp_variation": F.when(mean != 0, F.sqrt(m2) / mean),
         "sp_signal_to_noise": F.when(spread, mean / F.sqrt(m2)),
         "sp_standard_error_of_mean": F.sqrt(m2 / (size - 1)),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.functions.stats import chi2_two_pvalue, normal_test
+from tabforge.functions.stats import chi2_two_pvalue, with_normality_tests
 from tabforge.operators.frame import quoted
 from tabforge.plans.scale import exact_quantiles
 
@@ -140,7 +140,10 @@ def zero_then_standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    filled = fit_median(df, columns).transform(df)
+    """Median imputation of this table's own gaps, then standard scaling."""
+    gaps = df.agg(*[F.count_if(finite(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    holed = [c for i, c in enumerate(columns) if gaps[f"g{i}"]]
+    filled = fit_median(df, holed).transform(df) if holed else df
     return fit_standard(filled, columns).transform(filled)
 
 
@@ -161,7 +164,7 @@ def normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, c in enumerate(columns)
     ]
     rows = wide.select(F.inline(F.array(*items)))
-    rows = rows.withColumn("k2", normal_test(F.col("skew"), F.col("kurtosis"), F.col("n").cast("double")))
+    rows = with_normality_tests(rows, F.col("n"), "skew", "kurtosis", "skew_test", "kurtosis_test", "k2")
     return rows.withColumn("pvalue", chi2_two_pvalue(F.col("k2")))
 
 

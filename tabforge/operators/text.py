@@ -43,11 +43,15 @@ def with_terms(df: DataFrame, text: str, output: str, ngrams_max: int = 1) -> Da
 def tf_idf(df: DataFrame, key: str, text: str, ngrams_max: int = 1) -> DataFrame:
     """(key, term, weight) with smooth inverse document frequency, each document of length one.
 
-    The vocabulary stays a table, so it may be of any size; frequent terms are
-    counted by partial aggregates and their join is a checked lookup.
+    Texts are spread by document, once: counting and scaling a document's terms
+    then need no further shuffle. The vocabulary stays a table, so it may be of
+    any size; frequent terms are counted by partial aggregates and their join is
+    a checked lookup.
     """
-    listed = with_terms(df.select(key, text), text, "_terms", ngrams_max)
-    counts = listed.select(key, F.explode("_terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    listed = with_terms(df.select(key, text).repartition(key), text, "_terms", ngrams_max)
+    # the outer form keeps the planner from testing every text for words before the spread
+    long = listed.select(key, F.explode_outer("_terms").alias("term")).filter("term is not null")
+    counts = long.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     documents = df.count()
     frequency = materialise(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log((1 + documents) / (1 + F.col("df"))) + 1

@@ -14,6 +14,7 @@ from tabforge.operators import metrics, models, search, split
 from tabforge.operators.blending import blend_predictions, blend_probabilities
 from tabforge.operators.calibration import CALIBRATORS
 from tabforge.operators.frame import quoted
+from tabforge.operators.neighbours import NeighbourModel
 from tabforge.operators.selection import kept
 from tabforge.operators.unsupervised import assemble
 from tabforge.plans.features import FeaturePlan
@@ -26,6 +27,13 @@ RUN_DEFAULTS: dict = {
 }
 
 
+# Models of this package that save and load themselves; all others use the ML library's format.
+OWN_MODELS = {
+    c.__name__: c
+    for c in (models.AdaBoostModel, models.KernelSVCModel, models.PairwiseRankerModel, models.ScaledBayesModel, NeighbourModel)
+}
+
+
 class ScoredModel:
     """A fitted model with the columns its predictions come from, and an optional calibrator."""
 
@@ -85,20 +93,28 @@ class Run:
         self.plan.save(spark, f"{path}/features")
         kinds = {}
         for m in self.models:
-            if m.calibrator is not None or not hasattr(m.model, "write"):
-                raise ValueError(f"{m.algo} with its calibration cannot be saved; save models of the ML library")
-            m.model.write().overwrite().save(f"{path}/model_{m.algo}")
-            kinds[m.algo] = [m.classify, m.columns]
+            target = f"{path}/model_{m.algo}"
+            own = type(m.model).__name__ if type(m.model).__name__ in OWN_MODELS else None
+            if own:
+                m.model.save(target)
+            else:
+                m.model.write().overwrite().save(target)
+            method = next((k for k, c in CALIBRATORS.items() if isinstance(m.calibrator, c)), None)
+            if method:
+                m.calibrator.save(f"{path}/calibrator_{m.algo}")
+            kinds[m.algo] = [m.classify, m.columns, own, method]
         state = json.dumps({"spec": self.spec, "kinds": kinds, "best": self.best})
         spark.createDataFrame([(state,)], "state string").write.mode("overwrite").parquet(f"{path}/run")
 
 
 def load_run(spark: SparkSession, path: str) -> Run:
     state = json.loads(spark.read.parquet(f"{path}/run").first()["state"])
-    scored = [
-        ScoredModel(a, DefaultParamsReader.loadParamsInstance(f"{path}/model_{a}", spark), classify, None, columns)
-        for a, (classify, columns) in state["kinds"].items()
-    ]
+    scored = []
+    for algo, (classify, columns, own, method) in state["kinds"].items():
+        source = f"{path}/model_{algo}"
+        model = OWN_MODELS[own].load(source) if own else DefaultParamsReader.loadParamsInstance(source, spark)
+        calibrator = CALIBRATORS[method].load(f"{path}/calibrator_{algo}") if method else None
+        scored.append(ScoredModel(algo, model, classify, calibrator, columns))
     return Run(FeaturePlan.load(spark, f"{path}/features"), state["spec"], scored, None, None, state["best"], {})
 
 
