@@ -12,7 +12,8 @@ def with_normality_tests(
     """Add the standard-normal statistics of the skewness test (D'Agostino 1970) and the kurtosis test
     (Anscombe and Glynn 1983), and K-squared, the sum of their squares (D'Agostino and Pearson).
 
-    Null below eight (five) values. Intermediate terms are columns of their own,
+    Null below eight (five) values. A skewness of exactly zero is tested as if its
+    standardised value were one, as common statistics libraries do. Intermediate terms are columns of their own,
     so that the planner does not repeat them inside each other.
     """
     size = F.col("_n")
@@ -20,7 +21,8 @@ def with_normality_tests(
     terms = {
         "_beta": 3 * (size * size + 27 * size - 70) * (size + 1) * (size + 3)
         / ((size - 2) * (size + 5) * (size + 7) * (size + 9)),
-        "_y": F.col(skew) * F.sqrt((size + 1) * (size + 3) / (6 * (size - 2))),
+        "_y": F.when(F.col(skew) == 0, 1.0).otherwise(F.col(skew))
+        * F.when(F.col(skew) == 0, 1.0).otherwise(F.sqrt((size + 1) * (size + 3) / (6 * (size - 2)))),
         "_x": (F.col(excess) + 3 - 3 * (size - 1) / (size + 1))
         / F.sqrt(24 * size * (size - 2) * (size - 3) / ((size + 1) * (size + 1) * (size + 3) * (size + 5))),
         "_q": 6 * (size * size - 5 * size + 2) / ((size + 7) * (size + 9))

@@ -68,6 +68,8 @@ def stringify(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def drop_zero_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Drop numeric columns holding nothing but zeros (or nulls); one pass for all of them."""
+    if not columns:
+        return df
     tests = [F.max(F.coalesce((quoted(c) != 0), F.lit(False))).alias(f"t{i}") for i, c in enumerate(columns)]
     row = df.agg(*tests).first()
     gone = {c for i, c in enumerate(columns) if not row[f"t{i}"]}

@@ -79,7 +79,7 @@ def shape_statistics(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
     size = n if isinstance(n, int) else n.cast("double")
     out = {
         "sp_variation": F.when(mean != 0, F.sqrt(m2) / mean),
-        "sp_signal_to_noise": F.when(spread, mean / F.sqrt(m2)),
+        "sp_signal_to_noise": F.when(spread, mean / F.sqrt(m2)).when(m2 == 0, 0.0),
         "sp_standard_error_of_mean": F.sqrt(m2 / (size - 1)),
     }
     return _drop_moments(df.withColumns(out))

@@ -105,10 +105,12 @@ class Linear:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
             {c: (quoted(c) - F.lit(self.shift[c] or 0.0)) / F.lit(self.scale[c] or 1.0) for c in self.shift}
-        )
+        ) if self.shift else df
 
 
 def _fit_pair(df: DataFrame, columns: Sequence[str], first, second) -> Linear:
+    if not columns:
+        return Linear({}, {})
     exprs = []
     for i, c in enumerate(columns):
         exprs += [first(c).alias(f"a{i}"), second(c).alias(f"b{i}")]

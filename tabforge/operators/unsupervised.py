@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
-    """Columns as one vector; names with special characters are allowed."""
+    """Columns as one vector, replacing an earlier one; names with special characters are allowed."""
     safe = {c: f"_v{i}" for i, c in enumerate(columns)}
-    plain = df.withColumns({s: F.col(f"`{c}`").cast("double") for c, s in safe.items()})
+    plain = df.drop(output).withColumns({s: F.col(f"`{c}`").cast("double") for c, s in safe.items()})
     out = VectorAssembler(inputCols=list(safe.values()), outputCol=output, handleInvalid="keep").transform(plain)
     return out.drop(*safe.values())
 

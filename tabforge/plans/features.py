@@ -187,8 +187,9 @@ class FeaturePlan:
         p = self.parts
         vectors = [f"_tv{i}" for i in range(len(p["vectors"]))]
         if vectors:
-            df = assemble(df, p["final"], "_plain")
-            df = VectorAssembler(inputCols=["_plain", *vectors], outputCol="features").transform(df)
+            plain = ["_plain"] if p["final"] else []
+            df = assemble(df, p["final"], "_plain") if plain else df
+            df = VectorAssembler(inputCols=[*plain, *vectors], outputCol="features").transform(df)
         else:
             df = assemble(df, p["final"], "features")
         return df.select(*self._carried(df), *[quoted(c) for c in p["final"]], "features")
