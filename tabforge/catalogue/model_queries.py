@@ -1,17 +1,20 @@
 """Models, calibration, search, clustering and whole runs (G, B, X, F07-F09, Q, J10, flagship)."""
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from tabforge.catalogue.metric_queries import scored
 from tabforge.catalogue.registry import query, table
 from tabforge.functions.calendar import dateparts
-from tabforge.operators import calibration, curves, metrics, models, scaling, search, sequence, split, unsupervised
-from tabforge.operators.frame import top_n
+from tabforge.operators import calibration, curves, metrics, models, scaling, search, selection, sequence, split, unsupervised
+from tabforge.operators.frame import positive_importances, top_n
 from tabforge.operators.neighbours import k_nearest
 from tabforge.operators.text import words
 from tabforge.plans.scale import materialise
 from tabforge.plans.training import train
+from tabforge.sources import io
+from tabforge.streaming.score import score_stream, write_scores
 
 _TEXT = ("n_chars", "n_words", "word_length", "upper_share", "digit_share", "lines", "distinct_share")
 
@@ -268,7 +271,7 @@ def flagship(spark, sf):
     inputs = ["value[-1]", "value[-2]", "value[-3]", "dayofweek"]
     boundary = sequence.split_date(events, "ts", 0.25)
     # read many times below: lagged once, written once
-    seq = materialise(seq.withColumn("partition", F.when(F.col("ts") <= F.lit(boundary), "train").otherwise("test")))
+    seq = materialise(seq.withColumn("partition", F.when(F.col("ts") <= F.lit(boundary), "train").otherwise("test")), columnar=True)
     fitting = seq.filter("partition = 'train'")
     fill = scaling.fit_imputer(fitting.select(*[f"`{c}`" for c in inputs]))
     scaler = scaling.fit_standard(fill.transform(fitting), inputs)
@@ -283,3 +286,87 @@ def flagship(spark, sf):
     return parts[0].unionAll(parts[1])
 
 
+
+
+# -- columns, vectors, saved models and streams ----------------------------------------------------
+
+
+@query("j04_assemble", "select doc_id, [n_chars::double, length(source)::double] as features from documents")
+def j04(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", "n_chars", F.char_length("source").alias("size"))
+    return unsupervised.assemble(df, ["n_chars", "size"]).select("doc_id", vector_to_array("features").alias("features"))
+
+
+@query("p08_support_mask", "select l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_linenumber as line from lineitem")
+def p08(spark, sf):
+    df = table(spark, sf, "lineitem").withColumn("line", F.col("l_linenumber"))
+    features = ["l_extendedprice", "l_discount", "l_tax", "line"]
+    mask = selection.low_variance(df, features, 0.5)
+    return selection.apply_support(df.select("l_orderkey", "l_linenumber", "l_partkey", *features), features, mask)
+
+
+@query("f05_selection_modes", """
+with f as (select unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_tax']) as feature),
+k as (select unnest(['kbest', 'fpr', 'fdr', 'fwe']) as kind)
+select feature, kind, feature = 'l_extendedprice' as keep from f cross join k""")
+def f05(spark, sf):
+    # price is the only feature that tells dear lines from cheap ones beyond chance
+    df = table(spark, sf, "lineitem").withColumn("y", (F.col("l_extendedprice") > 50000).cast("int"))
+    scores = selection.f_classif(df, ["l_discount", "l_extendedprice", "l_linenumber", "l_tax"], "y")
+    parts = [selection.support(scores, mode, value) for mode, value in (("kbest", 1), ("fpr", 1e-6), ("fdr", 1e-6), ("fwe", 1e-6))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+@query("j03_s11_saved_model_scores", """
+with z as (select regr_slope(o_totalprice, o_custkey) a, regr_intercept(o_totalprice, o_custkey) b from orders)
+select o_orderkey, o_totalprice, round(a * o_custkey + b, 2) as prediction from orders, z""")
+def s11(spark, sf):
+    """Fit, save, record the run, find it again, load and score."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("x"))
+    data = unsupervised.assemble(orders.withColumnRenamed("o_totalprice", "label"), ["x"])
+    folder = io.scratch_folder(spark)
+    models.build("LR", _SPEC).fit(data).write().overwrite().save(f"{folder}/model")
+    io.record_run(spark, f"{folder}/runs", "run1", f"{folder}/model")
+    back = LinearRegressionModel.load(io.latest_run(spark, f"{folder}/runs"))
+    scored_rows = back.transform(data).select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+    return orders.select("o_orderkey", "o_totalprice").join(scored_rows, "o_orderkey")
+
+
+@query("s10_metrics_sink", """
+select 'RULE' as algo, 'all' as partition, 'accuracy' as metric, round(avg(((l_quantity > 25) = (l_extendedprice > 37500))::int), 8) as value from lineitem""")
+def s10(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        (F.col("l_quantity") > 25).cast("int").alias("y"), (F.col("l_extendedprice") > 37500).cast("int").alias("pred"))
+    rows = metrics.label_metrics(df, "y", "pred").filter("metric = 'accuracy'").select(
+        F.lit("RULE").alias("algo"), F.lit("all").alias("partition"), "metric", F.round("value", 8).alias("value"))
+    path = io.scratch_folder(spark)
+    io.save_metrics(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("o05_positive_importances")
+def o05(spark, sf):
+    model = models.build("GB", _SPEC, n_estimators=5).fit(_vectors(spark, sf))
+    return positive_importances(models.importance_table(spark, model, _TEXT))
+
+
+@query("k06_early_stopping")
+def k06s(spark, sf):
+    df = split.mark_validation(_vectors(spark, sf), "doc_id", 0.2)
+    model = models.build("GB", {**_SPEC, "validation": "validation"}, n_estimators=20).fit(df)
+    return model.transform(df).select("doc_id", "label", "prediction")
+
+
+@query("z01_stream_scores", """
+with z as (select regr_slope(value, hour(ts)) a, regr_intercept(value, hour(ts)) b from events)
+select event_id, round(a * hour(ts) + b, 6) as prediction from events, z""")
+def z01(spark, sf):
+    """The event table read as a stream and scored by a fitted run; the sink's rows are returned."""
+    events = table(spark, sf, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
+    run = train({"key": "event_id", "target": "value", "model_type": "regression", "algorithms": ["LR"], "cv_folds": 2}, events, events)
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = stream.select("event_id", F.hour("ts").cast("double").alias("hour"))
+    folder = io.scratch_folder(spark)
+    write_scores(score_stream(run, rows), f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", F.round("pred_LR", 6).alias("prediction"))

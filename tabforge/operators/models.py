@@ -216,7 +216,7 @@ class KernelSVCModel:
 class KernelSVC:
     """Kernel support vector classifier: Fourier features, then a linear one."""
 
-    def __init__(self, gamma: float | None = None, components: int = 200, reg: float = 1e-4, max_iter: int = 100, seed: int = 0,
+    def __init__(self, gamma: float | None = None, components: int = 200, reg: float = 1e-4, max_iter: int = 50, seed: int = 0,
                  featuresCol: str = "features", labelCol: str = "label", predictionCol: str = "prediction"):
         self.gamma, self.components, self.reg, self.iter, self.seed = gamma, components, reg, max_iter, seed
         self.features, self.label, self.prediction = featuresCol, labelCol, predictionCol

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,21 +25,34 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_ROWS = 2_000_000
 # At most this many values are gathered to read off an exact order statistic.
 GATHER_VALUES = 100_000
+# Columns with at most about this many distinct values use the built-in exact percentile,
+# whose memory grows with them.
+DISTINCT_VALUES = 200_000
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back.
-
-    The folder is the one named by ``spark.checkpoint.dir``; a local one is
-    chosen only when the session names none. The result survives the loss of
-    executors and fixes values that depend on the physical layout.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; a local one only when the session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabforge-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame, columnar: bool = False) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and read it back.
+
+    The result survives the loss of executors and fixes values that depend on
+    the physical layout. ``columnar`` writes a Parquet table instead of a row
+    checkpoint: for large tables that are read several times, a few columns at
+    a time.
+    """
+    folder = shared_folder(df.sparkSession)
+    if not columnar or any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return df.checkpoint()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -114,7 +128,8 @@ def prefix_sums(
     ranged = materialise(
         df.repartitionByRange(blocks, *[F.col(g) for g in group], *order).withColumn(
             "_block", F.spark_partition_id()
-        )
+        ),
+        columnar=True,
     )
     totals = ranged.groupBy(*group, "_block").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -207,20 +222,31 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     gather: int = GATHER_VALUES,
+    distinct: int = DISTINCT_VALUES,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of whole columns, without sorting them.
 
-    Small columns are read directly. On large ones every wanted rank is
+    Columns of few distinct values are read directly. On others every wanted rank is
     bracketed between two values from an approximate summary, the bracket is
     checked with exact counts and narrowed again until few values remain.
     All columns and ranks share each pass; only numbers reach the driver.
     """
-    counts = df.agg(*[F.count(_clean(c)).alias(c) for c in columns]).first().asDict()
+    sizes = [F.count(_clean(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    sizes += [F.approx_count_distinct(_clean(c)).alias(f"d{i}") for i, c in enumerate(columns)]
+    measured = df.agg(*sizes).first()
+    counts = {c: measured[f"n{i}"] for i, c in enumerate(columns)}
+    # the sketch is off by a few percent at most
+    direct = [c for i, c in enumerate(columns) if counts[c] and measured[f"d{i}"] <= distinct]
+    out: dict[str, list[float | None]] = {}
+    if direct:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = df.agg(*[F.percentile(_clean(c), wanted).alias(f"q{i}") for i, c in enumerate(direct)]).first()
+        out = {c: list(row[f"q{i}"]) for i, c in enumerate(direct)}
     found: dict[tuple[str, int], float] = {}
     open_ranks: dict[tuple[str, int], list] = {}
     for c in columns:
         for p in probabilities:
-            if counts[c]:
+            if counts[c] and c not in out:
                 spot = (counts[c] - 1) * p
                 for r in {math.floor(spot), math.ceil(spot)}:
                     # [below lo, values inside, lo, hi] with an open bracket (lo, hi)
@@ -280,8 +306,9 @@ def exact_quantiles(
                 nxt[key] = [lb + eb, below + n - lb - eb, b, hi]
         open_ranks = nxt
 
-    out: dict[str, list[float | None]] = {}
     for c in columns:
+        if c in out:
+            continue
         row: list[float | None] = []
         for p in probabilities:
             if not counts[c]:

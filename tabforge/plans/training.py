@@ -122,7 +122,7 @@ def score_rows(plan: FeaturePlan, scored: list[ScoredModel], spec: Mapping, df:
     """Predictions of all models (and their blend) for new rows, one row per key."""
     ready = plan.transform(df)
     if len(scored) > 1:
-        ready = materialise(ready)
+        ready = materialise(ready, columnar=True)
     return _blend(_join_scores(ready, scored, spec["key"]), scored)
 
 
@@ -179,7 +179,7 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
         ready = split.add_folds(ready, key, folds, spec["seed"])
     if spec["stopping_share"]:
         ready = split.mark_validation(ready, key, spec["stopping_share"], spec["seed"])
-    ready = materialise(ready)
+    ready = materialise(ready, columnar=True)
     columns = list(plan.parts["final"])
     build_spec = {"features": "features", "label": target, "key": key, "estimators": spec["estimators"], "seed": spec["seed"]}
     notes: dict = {"cv": {}, "params": {}, "lofo": {}, "rfe": {}, "importances": {}}
@@ -218,11 +218,11 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
             notes["importances"][algo] = models.importance_table(ready.sparkSession, model, use)
 
     parts = []
-    for name, rows in (("train", ready), ("test", materialise(plan.transform(test_rows)))):
+    for name, rows in (("train", ready), ("test", materialise(plan.transform(test_rows), columnar=True))):
         got = _blend(_join_scores(rows, scored, key), scored)
         carried = [c for c in (target, spec["group"]) if c and c in rows.columns]
         parts.append(rows.select(key, *carried).join(got, key).withColumn("partition", F.lit(name)))
-    predictions = materialise(parts[0].unionByName(parts[1], allowMissingColumns=True))
+    predictions = materialise(parts[0].unionByName(parts[1], allowMissingColumns=True), columnar=True)
     algos = [m.algo for m in scored] + (["BLEND"] if len(scored) > 1 else [])
     table = _metric_table(predictions, spec, algos)
     best_row = metrics.best_algorithm(table, scorer, "test").first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.operators import encode
+from tabforge.plans.scale import shared_folder
 
 # Type names of column overrides; any other name means text.
 OVERRIDES = {
@@ -28,10 +29,7 @@ SCHEMA_ROWS = 10_000
 
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder name next to the session's checkpoints, reachable by all executors."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _delimited_types(rows: DataFrame) -> dict[str, str]:

@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from tabforge.session import get_spark
 
     session = get_spark(
-        "local[8]", app="tests", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "local[8]", app="tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")), spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

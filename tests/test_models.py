@@ -25,7 +25,7 @@ def points(spark):
     y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(0, 0.5, 600) > 0).astype(float)
     rows = [(i, *map(float, r), float(t), "abc"[i % 3], i % 12) for i, (r, t) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "key long, a double, b double, c double, d double, label double, kind string, g long")
-    return split.add_folds(df, "key", 3).repartition(4).persist()
+    return split.add_folds(df, "key", 3).coalesce(2).persist()
 
 
 COLS = ["a", "b", "c", "d"]
@@ -106,7 +106,7 @@ def test_best_algorithm_ignores_the_blend(spark):
 
 
 @pytest.mark.parametrize("algo,params", [
-    ("LOGR", {}), ("RF", {}), ("GB", {"n_estimators": 5}), ("LSVC", {}), ("NB", {}), ("AB", {"n_estimators": 8}), ("RBF", {}), ("KNN", {}), ("XT", {})])
+    ("LOGR", {}), ("RF", {}), ("GB", {"n_estimators": 5}), ("LSVC", {"max_iter": 20}), ("NB", {}), ("AB", {"n_estimators": 6}), ("RBF", {}), ("KNN", {}), ("XT", {})])
 def test_classifiers_learn(points, algo, params):
     data = unsupervised.assemble(points, COLS)
     out = models.build(algo, {"key": "key", "estimators": 10}, **params).fit(data).transform(data)

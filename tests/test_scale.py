@@ -55,15 +55,15 @@ def test_blocked_work_is_spread(skewed):
     assert ranged.agg(F.max("count")).first()[0] < 400
 
 
-@pytest.mark.parametrize("gather", [10, 100_000])
-def test_exact_quantiles(spark, gather):
+@pytest.mark.parametrize("gather,distinct", [(10, 0), (100_000, 0), (10, 20), (10, 10**6)])
+def test_exact_quantiles(spark, gather, distinct):
     rng = np.random.default_rng(0)
     a = rng.normal(size=2001)
     b = np.where(rng.random(2001) < 0.4, 3.0, rng.integers(0, 8, 2001)).astype(float)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(5)
     df = df.unionAll(spark.createDataFrame([(None, float("nan"))], "a double, b double"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    got = scale.exact_quantiles(df, ["a", "b"], probs, gather=gather)
+    got = scale.exact_quantiles(df, ["a", "b"], probs, gather=gather, distinct=distinct)
     assert got["a"] == pytest.approx(list(np.quantile(a, probs)))
     assert got["b"] == pytest.approx(list(np.quantile(b, probs)))
 
