@@ -131,24 +131,21 @@ def prefix_sums(
         ),
         columnar=True,
     )
-    totals = ranged.groupBy(*group, "_block").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
+    # helper columns are numbered so that no name given by the caller can meet them
+    totals = ranged.groupBy(*group, "_block").agg(*[F.sum(v).alias(f"_total{i}") for i, v in enumerate(sums.values())])
     earlier = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (
-        totals.select(
-            *[F.col(g).alias(f"_s_{g}") for g in group],
-            F.col("_block").alias("_s_block"),
-            *[F.sum(f"_t_{k}").over(earlier).alias(f"_s_{k}") for k in sums],
-            F.count(F.lit(1)).over(earlier).alias("_s_n"),
-        )
-        .filter("_s_n > 0")
-        .drop("_s_n")
-    )
-    match = F.col("_block") == F.col("_s_block")
-    for g in group:
-        match = match & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
+    shifts = totals.select(
+        *[F.col(g).alias(f"_group{i}") for i, g in enumerate(group)],
+        F.col("_block").alias("_place"),
+        *[F.sum(f"_total{i}").over(earlier).alias(f"_shift{i}") for i in range(len(sums))],
+        F.count(F.lit(1)).over(earlier).alias("_earlier"),
+    ).filter("_earlier > 0")
+    match = F.col("_block") == F.col("_place")
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_group{i}"))
     within = ranged.withColumns(running([*group, "_block"], order))
     joined = within.join(F.broadcast(shifts), match, "left")
-    joined = joined.withColumns({k: F.col(k) + F.coalesce(F.col(f"_s_{k}"), F.lit(0)) for k in sums})
+    joined = joined.withColumns({k: F.col(k) + F.coalesce(F.col(f"_shift{i}"), F.lit(0)) for i, k in enumerate(sums)})
     return joined.drop("_block", *shifts.columns)
 
 
