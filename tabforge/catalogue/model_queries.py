@@ -8,7 +8,7 @@ from tabforge.catalogue.metric_queries import scored
 from tabforge.catalogue.registry import query, table
 from tabforge.functions.calendar import dateparts
 from tabforge.operators import calibration, curves, metrics, models, scaling, search, selection, sequence, split, unsupervised
-from tabforge.operators.frame import positive_importances, top_n
+from tabforge.operators.frame import literal, positive_importances, top_n
 from tabforge.operators.neighbours import k_nearest
 from tabforge.operators.text import words
 from tabforge.plans.scale import materialise
@@ -269,9 +269,9 @@ def flagship(spark, sf):
     seq = sequence.sequence_frame(events, "value", "ts", "event_id", 1, 3, ["event_type", "year", "month", "day", "dayofweek"],
                                   "user_id", lag_target=True)
     inputs = ["value[-1]", "value[-2]", "value[-3]", "dayofweek"]
-    boundary = sequence.split_date(events, "ts", 0.25)
+    boundary = literal(events, "ts", sequence.split_date(events, "ts", 0.25))
     # read many times below: lagged once, written once
-    seq = materialise(seq.withColumn("partition", F.when(F.col("ts") <= F.lit(boundary), "train").otherwise("test")), columnar=True)
+    seq = materialise(seq.withColumn("partition", F.when(F.col("ts") <= boundary, "train").otherwise("test")), columnar=True)
     fitting = seq.filter("partition = 'train'")
     fill = scaling.fit_imputer(fitting.select(*[f"`{c}`" for c in inputs]))
     scaler = scaling.fit_standard(fill.transform(fitting), inputs)
@@ -370,3 +370,17 @@ def z01(spark, sf):
     folder = io.scratch_folder(spark)
     write_scores(score_stream(run, rows), f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event_id", F.round("pred_LR", 6).alias("prediction"))
+
+
+@query("g05_boosted_regression_xgbr")
+def g05r(spark, sf):
+    data = _panel_vectors(spark, sf)
+    out = models.build("XGBR", {**_SPEC, "key": "event_id"}, n_estimators=3, max_depth=4).fit(data).transform(data)
+    return out.select("event_id", "label", "prediction")
+
+
+@query("g13_extra_trees_regression")
+def g13r(spark, sf):
+    data = _panel_vectors(spark, sf)
+    out = models.build("XTR", {**_SPEC, "key": "event_id"}, max_depth=4).fit(data).transform(data)
+    return out.select("event_id", "label", "prediction")

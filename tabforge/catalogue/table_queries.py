@@ -467,9 +467,9 @@ select boundary, count(*) filter (where o_orderdate <= boundary)::bigint as trai
        count(*) filter (where o_orderdate > boundary)::bigint as test from orders, b group by boundary""")
 def w07(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderdate")
-    boundary = sequence.split_date(orders, "o_orderdate", 0.25)
-    side = F.col("o_orderdate") <= F.lit(boundary)
-    return orders.agg(F.count_if(side).alias("train"), F.count_if(~side).alias("test")).withColumn("boundary", F.lit(boundary))
+    boundary = frame.literal(orders, "o_orderdate", sequence.split_date(orders, "o_orderdate", 0.25))
+    side = F.col("o_orderdate") <= boundary
+    return orders.agg(F.count_if(side).alias("train"), F.count_if(~side).alias("test")).withColumn("boundary", boundary)
 
 
 @query("w08_mode", """
@@ -512,3 +512,31 @@ select o_orderkey, (dense_rank() over (order by o_orderpriority) - 1)::int as o_
 def e16(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return encode.LabelEncoder("o_orderpriority").fit(orders).transform(orders)
+
+
+@query("s03_write_columns", "select o_orderkey, o_totalprice from orders")
+def s03(spark, sf):
+    path = io.write_frame(table(spark, sf, "orders"), io.scratch_folder(spark), columns=["o_orderkey", "o_totalprice"], tag="part")
+    return io.read_frame(spark, path, fmt="parquet")
+
+
+@query("j01_features_and_target", "select c_custkey, c_acctbal, c_mktsegment as target from customer")
+def j01(spark, sf):
+    customer = table(spark, sf, "customer")
+    x, y = customer.select("c_custkey", "c_acctbal"), customer.select("c_custkey", F.col("c_mktsegment").alias("target"))
+    return frame.append_columns(x, y, "c_custkey")
+
+
+@query("k02_time_split_rows", """
+with d as (select o_orderdate, row_number() over (order by o_orderdate) - 1 as i, count(*) over () as n from orders)
+select o_orderkey, case when o_orderdate <= (select max(o_orderdate) from d where i = floor((1 - 0.3) * n)) then 'train' else 'test' end as partition
+from orders""")
+def k02(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    train, test = frame.split_by_date(orders, "o_orderdate", sequence.split_date(orders, "o_orderdate", 0.3))
+    return frame.stack_partitions(train, test).drop("o_orderdate")
+
+
+@query("o01_panel_order", "select event_id, ts, user_id from events")
+def o01(spark, sf):
+    return table(spark, sf, "events").select("event_id", "ts", "user_id").orderBy("ts", "event_id")

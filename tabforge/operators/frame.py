@@ -53,9 +53,17 @@ def align_types(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
+def literal(df: DataFrame, column: str, value) -> Column:
+    """A constant of the column's type; wall-clock timestamps are not moved between time zones."""
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.lit(str(value)).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def split_by_date(df: DataFrame, date: str, boundary) -> tuple[DataFrame, DataFrame]:
     """Rows up to and including the boundary, and rows after it."""
-    return df.filter(quoted(date) <= F.lit(boundary)), df.filter(quoted(date) > F.lit(boundary))
+    edge = literal(df, date, boundary)
+    return df.filter(quoted(date) <= edge), df.filter(quoted(date) > edge)
 
 
 def stringify(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
