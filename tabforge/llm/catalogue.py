@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tabforge.llm import mixing, order_minhash, url_filter, warc
+from tabforge.llm import byte_bpe, language_id, mixing, order_minhash, secret_scan, topk_search, url_filter, warc
 
 QUERIES = {
+    "op1_topk_search": topk_search.query,
     "op2_warc": warc.query,
+    "op3_language_id": language_id.query,
     "op4_url_filter": url_filter.query,
+    "op6_byte_bpe": byte_bpe.query,
     "op7_order_minhash": order_minhash.query,
+    "op8_secret_scan": secret_scan.query,
     "op9_pareto_mix": mixing.query,
 }
 
-ORACLES = {"op2_warc": warc.SQL, "op4_url_filter": url_filter.SQL, "op9_pareto_mix": mixing.SQL}
+ORACLES = {"op1_topk_search": topk_search.SQL, "op2_warc": warc.SQL, "op4_url_filter": url_filter.SQL, "op9_pareto_mix": mixing.SQL}
