@@ -22,16 +22,18 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAF = 24
 TEXT_LEAF = 1 << 17
 # A split pattern looks at most so many characters past the end of a match (contractions such as "'ll" are the longest).
 LOOKAHEAD = 4
-CACHE = 600_000
+CACHE = 300_000
+SLICE = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -200,33 +202,44 @@ def _codec(shared, key: tuple) -> Codec:
 
 
 class ByteBpe:
-    """Column functions for one vocabulary. ``ranks_path`` and ``pattern`` are read on the driver and broadcast."""
+    """Encoding and decoding with one vocabulary. ``ranks_path`` and ``pattern`` are read on the driver and broadcast."""
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str):
-        shared = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
-        key = (spark.sparkContext.applicationId, ranks_path, pattern)
+        self._shared = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+        self._key = (spark.sparkContext.applicationId, ranks_path, pattern)
 
-        @F.pandas_udf("binary")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = _codec(shared, key)
-            for texts in batches:
-                yield pd.Series([codec.encode(t) for t in texts], dtype=object)
+    def _mapped(self, df: DataFrame, column: str, added: list[str], work) -> DataFrame:
+        """Add binary columns: ``work(codec, value)`` gives one value for each. Batches go in slices, so outputs stay small."""
+        shared, key = self._shared, self._key
+        df = df.drop(*added)
 
-        @F.pandas_udf("binary")
-        def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(shared, key)
-            for ids in batches:
-                yield pd.Series([codec.decode(i) for i in ids], dtype=object)
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    rows = [work(codec, v) for v in part.column(column).to_pylist()]
+                    new = [pa.array([r[i] for r in rows], type=pa.binary()) for i in range(len(added))]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
-        self.encode_column, self.decode_column = encode, decode
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(a, T.BinaryType()) for a in added]]))
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """Add packed token ids (little-endian unsigned 32-bit integers)."""
-        return df.withColumn(ids, self.encode_column(F.col(text)))
+        return self._mapped(df, text, [ids], lambda codec, value: (codec.encode(value),))
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Add the bytes that packed ids stand for."""
-        return df.withColumn(out, self.decode_column(F.col(ids)))
+        return self._mapped(df, ids, [out], lambda codec, value: (codec.decode(value),))
+
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+        """Encode and decode in one pass."""
+
+        def both(codec: Codec, value: str | None) -> tuple[bytes, bytes]:
+            packed = codec.encode(value)
+            return packed, codec.decode(packed)
+
+        return self._mapped(df, text, [ids, out], both)
 
 
 def token_count(ids: Column) -> Column:
@@ -235,8 +248,7 @@ def token_count(ids: Column) -> Column:
 
 def encoded(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``df`` with ``ids`` and ``decoded``."""
-    codec = ByteBpe(df.sparkSession, ranks_path, pattern)
-    return codec.decode(codec.encode(df))
+    return ByteBpe(df.sparkSession, ranks_path, pattern).round_trip(df)
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
