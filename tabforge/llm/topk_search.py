@@ -177,8 +177,8 @@ def _search(k: int):
                     ids, queries = pickle.loads(row.queries)
                     floor = np.full(len(ids), np.iinfo(np.int64).min)
                     if row.floors is not None:
-                        for place, least in row.floors:
-                            floor[place] = least
+                        for known in row.floors:
+                            floor[known["place"]] = known["least"]
                     state = BlockSearch(ids, queries, floor, k)
                 state.walk(pickle.loads(row.shard))
         if state is not None:
