@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tabforge.llm import byte_bpe, language_id, mixing, order_minhash, secret_scan, topk_search, url_filter, warc
+import corpus_pipeline
+from tabforge.llm import byte_bpe, language_id, minmax_dedup, mixing, order_minhash, secret_scan, topk_search, url_filter, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
@@ -13,6 +14,10 @@ QUERIES = {
     "op7_order_minhash": order_minhash.query,
     "op8_secret_scan": secret_scan.query,
     "op9_pareto_mix": mixing.query,
+    "op10_minmax_dedup": minmax_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op1_topk_search": topk_search.SQL, "op2_warc": warc.SQL, "op4_url_filter": url_filter.SQL, "op9_pareto_mix": mixing.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
