@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tabforge.llm import byte_bpe, language_id, minmax_dedup, mixing, order_minhash, secret_scan, topk_search, url_filter, warc
+from tabforge.llm import byte_bpe, language_id, minmax_dedup, mixing, order_minhash, secret_scan, substring_dedup, topk_search, url_filter, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
     "op2_warc": warc.query,
     "op3_language_id": language_id.query,
     "op4_url_filter": url_filter.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_order_minhash": order_minhash.query,
     "op8_secret_scan": secret_scan.query,
@@ -18,6 +19,12 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_topk_search": topk_search.SQL, "op2_warc": warc.SQL, "op4_url_filter": url_filter.SQL, "op9_pareto_mix": mixing.SQL}
+ORACLES = {
+    "op1_topk_search": topk_search.SQL,
+    "op2_warc": warc.SQL,
+    "op4_url_filter": url_filter.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
+    "op9_pareto_mix": mixing.SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
