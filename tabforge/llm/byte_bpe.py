@@ -49,6 +49,10 @@ class _Pieces(dict):
         super().__init__()
         self.codec, self.older = codec, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
@@ -221,6 +225,7 @@ class ByteBpe:
                     rows = [work(codec, v) for v in part.column(column).to_pylist()]
                     new = [pa.array([r[i] for r in rows], type=pa.binary()) for i in range(len(added))]
                     yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
+            codec.pieces.forget()
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(a, T.BinaryType()) for a in added]]))
 

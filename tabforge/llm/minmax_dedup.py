@@ -41,7 +41,9 @@ WORDS = 5
 BANDS, ROWS = 40, 6
 PERMUTATIONS = BANDS * ROWS // 2
 _MIX = 0x9E3779B97F4A7C15
-_WORD_CACHE = 400_000
+_WORD_CACHE = 120_000
+# Full sets of up to so many bytes (measured) are broadcast.
+SMALL_BYTES = 32 << 20
 _words: dict[bytes, int] = {}
 
 
@@ -132,6 +134,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary())], names=["_id", "n_shingles", "node", "bands", "sketch"])
+        _words.clear()
 
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>, sketch binary")
@@ -191,21 +194,29 @@ class _Links:
         return keep(both.filter(low * 100 >= high * self.percent).filter(sketch_likeness("sketch_a", "sketch_b") >= floor).select("a", "b"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links."""
         pairs = self.likely(pairs)
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = sets_of(self.df, self.signed, nodes, self.key, self.text, self.words)
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "found": "fa"}), "a").join(sets.withColumnsRenamed({"node": "b", "found": "fb"}), "b")
-        both = both.withColumn("_both", common("fa", "fb"))
+        return self.compared(pairs, sets_of(self.df, self.signed, nodes, self.key, self.text, self.words))
+
+    def compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among ``pairs`` by full sets, which are broadcast while they are small."""
+        small = fits(sets, size=SMALL_BYTES)
+        for end in ("a", "b"):
+            own = sets.select(F.col("node").alias(end), F.col("found").alias(f"f{end}"))
+            pairs = pairs.join(F.broadcast(own) if small else own, end)
+        both = pairs.withColumn("_both", common("fa", "fb"))
         union = (F.octet_length("fa") + F.octet_length("fb")) / 8 - F.col("_both")
         return keep(both.filter(F.col("_both") * 100 >= union * self.percent).select("a", "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of an edge reaches."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = edges.select(F.col("a").alias("source"), F.col("b").alias("target"))
+    both = keep(both.union(edges.select("b", "a")).filter("source <> target").distinct())
+    labels = keep(both.groupBy(F.col("source").alias("node")).agg(F.least(F.col("node"), F.min("target")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_near"))
+        near = both.join(labels.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("_near"))
         nearer = keep(labels.join(near, "node").withColumn("_best", F.least("label", "_near")))
         jump = nearer.select(F.col("node").alias("_best"), F.col("_best").alias("_further"))
         after = keep(nearer.join(jump, "_best").select("node", F.least("_best", "_further").alias("label"), F.col("label").alias("_old")))
@@ -215,6 +226,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after more edges: components of the graph of labels."""
+    ends = edges
+    for end in ("a", "b"):
+        side = labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        ends = ends.join(side, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    between = keep(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct())
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    alone = moved.select(F.col("label").alias("node"), "label")  # classes that had no edge before
+    every = labels.union(alone.join(labels.select("node"), "node", "left_anti"))
+    return keep(every.join(moved, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+
+
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes with different labels that could be similar: exact, by prefixes in order of rarity."""
 
@@ -265,8 +289,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     mixed = mixed.filter("_n > 2 AND _low <> _high").select("band")
     unsettled = keep(lookup_join(buckets.select("band", "node"), keep(mixed), "band", "inner").select("node").distinct())
     if unsettled.limit(1).count():
-        more = prefix_pairs(sets_of(df, signed, unsettled, key, text, words), labels, percent)
-        labels = components(keep(edges.union(links.confirmed(more))))
+        sets = sets_of(df, signed, unsettled, key, text, words)
+        more = prefix_pairs(sets, labels, percent)
+        if not fits(sets, size=SMALL_BYTES):  # else the sets are at hand, and sketches would save nothing
+            more = links.likely(more)
+        labels = joined(labels, links.compared(more, sets))
 
     classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_least"))
     classes = keep(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
