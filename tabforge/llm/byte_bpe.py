@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabforge.llm.common import give_back
+
 LEAF = 24
 TEXT_LEAF = 1 << 17
 # A split pattern looks at most so many characters past the end of a match (contractions such as "'ll" are the longest).
@@ -226,6 +228,7 @@ class ByteBpe:
                     new = [pa.array([r[i] for r in rows], type=pa.binary()) for i in range(len(added))]
                     yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
             codec.pieces.forget()
+            give_back()
 
         return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(a, T.BinaryType()) for a in added]]))
 

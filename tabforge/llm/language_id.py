@@ -21,10 +21,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabforge.llm.common import give_back
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -128,18 +131,21 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from all rows of ``df`` that have a text and a language."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, value in zip(batch["lang"], batch["text"]):
-                counts = held.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
-                for piece in _pieces(value):
-                    counts += np.bincount(trigrams(piece), minlength=BUCKETS)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                for name, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    counts = held.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
+                    for piece in _pieces(value):
+                        counts += np.bincount(trigrams(piece), minlength=BUCKETS)
         for name, counts in held.items():
             at = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": counts[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at])], names=["lang", "bucket", "n"])
+        give_back()
 
-    totals = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = totals.toPandas()  # at most languages x buckets rows
     languages = sorted(table["lang"].unique())
     code = codebook(len(languages))
@@ -165,14 +171,22 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     """Add ``lang_pred``, ``score`` and ``ambiguous``."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers at most
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
+    added = {"lang_pred": pa.string(), "score": pa.float64(), "ambiguous": pa.bool_()}
+    df = df.drop(*added)
 
-    out = df.drop("lang_pred", "score", "ambiguous").withColumn("_guess", guess(F.col(text)))
-    return out.withColumns({c: F.col(f"_guess.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_guess")
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            at = batch.schema.names.index(text)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                found = list(zip(*[own.predict(t) for t in part.column(at).to_pylist()]))
+                new = [pa.array(c, kind) for c, kind in zip(found, added.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
+        give_back()
+
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return df.mapInArrow(guess, T.StructType([*df.schema.fields, *[T.StructField(a, t) for a, t in zip(added, kinds)]]))
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

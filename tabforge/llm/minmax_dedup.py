@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import keep
+from tabforge.llm.common import give_back, keep
 from tabforge.plans.scale import fits, lookup_join
 
 WORDS = 5
@@ -135,6 +135,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary())], names=["_id", "n_shingles", "node", "bands", "sketch"])
         _words.clear()
+        give_back()
 
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>, sketch binary")
@@ -156,6 +157,8 @@ def sets_of(df: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text:
                     if len(found) and class_of(found) == node:  # an id can name several texts
                         seen[node] = found.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], names=["node", "found"])
+        _words.clear()
+        give_back()
 
     return keep(rows.mapInArrow(run, "node long, found binary"))
 
