@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.llm.common import keep
-from tabforge.plans.scale import fits, lookup_join
+from tabforge.plans.scale import lookup_join
 
 WINDOW = 35
 ANCHOR_WORDS = 12
 GROUP_SEGMENTS = 4096
-SMALL_BYTES = 32 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 120_000
 _known: dict[bytes, int] = {}
@@ -275,7 +274,7 @@ def without_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, k:
 
     rows = df.mapInArrow(named, T.StructType([*df.schema.fields, T.StructField("_name", T.LongType())]))
     marks = found.withColumnRenamed("name", "_name")
-    rows = rows.join(F.broadcast(marks) if fits(marks, size=SMALL_BYTES) else marks, "_name", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_marks")
+    rows = rows.join(marks, "_name", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_marks")
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return rows.mapInArrow(cut, schema)
 
