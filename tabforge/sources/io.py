@@ -23,8 +23,8 @@ OVERRIDES = {
     "string": "string",
     "bool": "boolean",
 }
-# Column types are inferred from this many leading rows.
-SCHEMA_ROWS = 10_000
+# Quotes are doubled, line breaks stand inside quotes.
+DELIMITED = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -33,13 +33,13 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def _delimited_types(rows: DataFrame) -> dict[str, str]:
-    """Integer, float, boolean or text per column, from the leading rows; dates stay text."""
+    """Integer, float, boolean or text per column, from all rows; dates stay text."""
     exprs = []
     for i, c in enumerate(rows.columns):
         text = F.col(f"`{c}`")
         for t in ("bigint", "double", "boolean"):
             exprs.append(F.bool_and(text.try_cast(t).isNotNull() | text.isNull()).alias(f"{t}{i}"))
-    fit = rows.limit(SCHEMA_ROWS).agg(*exprs).first().asDict()
+    fit = rows.agg(*exprs).first().asDict()
     return {
         c: next((t for t in ("bigint", "double", "boolean") if fit[f"{t}{i}"]), "string")
         for i, c in enumerate(rows.columns)
@@ -62,10 +62,11 @@ def read_frame(
     if fmt == "parquet":
         return spark.read.parquet(*paths)
     if schema is None:
-        types = _delimited_types(spark.read.option("header", True).option("sep", sep).csv(paths))
+        types = _delimited_types(spark.read.options(**DELIMITED, sep=sep).csv(paths))
         types |= {c: OVERRIDES.get(t, "string") for c, t in (dtypes or {}).items()}
         schema = ", ".join(f"`{c}` {t}" for c, t in types.items())
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(paths)
+    # a value that does not fit its declared type is an error, not a null
+    return spark.read.schema(schema).options(**DELIMITED, sep=sep, mode="FAILFAST").csv(paths)
 
 
 def _flat(field: T.StructField) -> Column:
@@ -92,7 +93,7 @@ def write_frame(
         out.write.mode(mode).parquet(target)
     else:
         flat = out.select(*[_flat(f) for f in out.schema.fields])
-        flat.write.mode(mode).option("header", True).option("sep", sep).csv(target)
+        flat.write.mode(mode).options(header=True, quote='"', escape='"', sep=sep).csv(target)
     return target
 
 
