@@ -16,6 +16,13 @@ def blend_probabilities(df: DataFrame, columns: Sequence[str], proba: str = "pro
     return df.withColumn(proba, mean).withColumn(pred, F.rint(F.col(proba)).cast("int"))
 
 
+def blend_classes(df: DataFrame, columns: Sequence[str], pred: str = "pred") -> DataFrame:
+    """The class that most models predict, the smallest among equals."""
+    votes = F.array(*[quoted(c).cast("double") for c in columns])
+    ranked = F.transform(votes, lambda v: F.struct((-F.size(F.filter(votes, lambda x: x == v))).alias("n"), v.alias("c")))
+    return df.withColumn(pred, F.array_min(ranked)["c"])
+
+
 def blend_predictions(df: DataFrame, columns: Sequence[str], pred: str = "pred", rounded: bool = False) -> DataFrame:
     """Mean prediction; ``rounded`` gives the nearest integer (half to even)."""
     mean = add([quoted(c).cast("double") for c in columns]) / len(columns)

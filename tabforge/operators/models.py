@@ -26,7 +26,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -46,6 +46,15 @@ def positive_probability(probability: str = "probability") -> Column:
     return F.get(vector_to_array(probability), F.lit(1))
 
 
+def positive_score(out: DataFrame) -> Column:
+    """Positive-class probability where the model has one, else its vote share or squashed margin."""
+    if "probability" in out.columns:
+        return positive_probability()
+    if "positive" in out.columns:
+        return F.col("positive")
+    return 1 / (1 + F.exp(-F.get(vector_to_array("rawPrediction"), F.lit(1))))
+
+
 def argmax(values: Column | str) -> Column:
     """Position of the first largest entry of an array, from 0."""
     values = F.col(values) if isinstance(values, str) else values
@@ -217,15 +226,20 @@ class KernelSVC:
     """Kernel support vector classifier: Fourier features, then a linear one."""
 
     def __init__(self, gamma: float | None = None, components: int = 200, reg: float = 1e-4, max_iter: int = 50, seed: int = 0,
-                 featuresCol: str = "features", labelCol: str = "label", predictionCol: str = "prediction"):
+                 featuresCol: str = "features", labelCol: str = "label", predictionCol: str = "prediction",
+                 cost: float | None = None, tol: float = 1e-6):
         self.gamma, self.components, self.reg, self.iter, self.seed = gamma, components, reg, max_iter, seed
+        self.cost, self.tol = cost, tol
         self.features, self.label, self.prediction = featuresCol, labelCol, predictionCol
 
     def fit(self, df: DataFrame) -> KernelSVCModel:
         size = len(df.select(vector_to_array(self.features)).first()[0])
         lift = FourierMap(size, self.components, self.gamma or 1.0 / size, self.seed)
-        svc = LinearSVC(featuresCol="_lifted", labelCol=self.label, predictionCol=self.prediction, regParam=self.reg, maxIter=self.iter)
         lifted = materialise(lift.transform(df.select(self.features, self.label), self.features, "_lifted"))
+        # a cost per row of the sum of losses is 1 / (cost * rows) of their mean
+        reg = self.reg if self.cost is None else 1 / (self.cost * lifted.count())
+        svc = LinearSVC(featuresCol="_lifted", labelCol=self.label, predictionCol=self.prediction, regParam=reg, maxIter=self.iter,
+                        tol=self.tol)
         return KernelSVCModel(lift, svc.fit(lifted), self.features)
 
 
@@ -346,7 +360,8 @@ def _ada(spec: dict, **p):
 
 
 def _kernel(spec: dict, **p):
-    return KernelSVC(p.get("gamma"), seed=spec["seed"], reg=p.get("reg", 1e-4), featuresCol=spec["features"], labelCol=spec["label"])
+    return KernelSVC(p.get("gamma"), seed=spec["seed"], reg=p.get("reg", 1e-4), featuresCol=spec["features"], labelCol=spec["label"],
+                     cost=p.get("C"), tol=p.get("tol", 1e-6))
 
 
 class Neighbours:
@@ -390,6 +405,10 @@ ALGORITHMS: dict[str, tuple[str, Callable]] = {
 }
 
 
+# Algorithms whose fitted models rank their features, as elimination needs.
+RANKED = frozenset(("CATB", "CATBR", "GB", "GBR", "LGB", "LGBR", "LOGR", "LR", "LSVC", "LSVM", "RF", "RFR", "XGB", "XGBR", "XT", "XTR"))
+
+
 def build(algo: str, spec: dict, **params):
     """Estimator by name. ``spec``: features, label, key, estimators, seed, optional validation column."""
     full = {"features": "features", "label": "label", "key": "key", "estimators": 51, "seed": 42, **spec}
@@ -397,32 +416,62 @@ def build(algo: str, spec: dict, **params):
 
 
 class MetricEvaluator:
-    """Evaluator built on this package's metric tables."""
+    """Evaluator built on this package's exact metric tables.
+
+    The score is NaN where it is undefined: fewer than two classes or values, or no group with a defined tau.
+    Ranking scores need the row key (it orders equal predictions) and the group column.
+    """
+
+    def __init__(self, scorer: str, label: str, key: str | None = None, group: str | None = None):
+        self.scorer, self.label, self.key, self.group = scorer, label, key, group
 
-    def __init__(self, scorer: str, label: str):
-        self.scorer, self.label = scorer, label
+    def evaluate(self, df: DataFrame) -> float:
+        row = self._table(df).filter(F.col("metric") == self.scorer).first()
+        return float("nan") if row is None or row["value"] is None else row["value"]
+
+    def _table(self, df: DataFrame) -> DataFrame:
+        kind = metrics.SCORERS[self.scorer][0]
+        if kind == "regression":
+            return metrics.regression_metrics(df, self.label, "prediction")
+        if kind == "ranking":
+            if self.key is None:
+                raise ValueError(f"{self.scorer} needs the key column")
+            return metrics.ranking_metrics(df, self.label, "prediction", self.key, [self.group] if self.group else [])
+        if self.scorer not in ("roc_auc", "average_precision", "neg_brier_score", "neg_log_loss"):
+            return metrics.label_metrics(df, self.label, "prediction")
+        if not metrics.has_classes(df, self.label):
+            return df.sparkSession.createDataFrame([], "metric string, value double")
+        scored = df.select(self.label, positive_score(df).alias("_score"))
+        if self.scorer in ("roc_auc", "average_precision"):
+            return metrics.curve_metrics(scored, self.label, "_score")
+        return metrics.probability_metrics(scored, self.label, "_score")
+
+
+class LogLossEvaluator:
+    """Log loss: of the positive class's score for two classes, of the true class's probability for more."""
+
+    def __init__(self, label: str):
+        self.label = label
 
     def evaluate(self, df: DataFrame) -> float:
-        if metrics.SCORERS[self.scorer][0] == "regression":
-            table = metrics.regression_metrics(df, self.label, "prediction")
-        else:
-            table = metrics.label_metrics(df, self.label, "prediction")
-        return table.filter(F.col("metric") == self.scorer).first()["value"]
+        top = df.agg(F.max(self.label)).first()[0]
+        if top is None or top <= 1:
+            return MetricEvaluator("neg_log_loss", self.label).evaluate(df)
+        return MulticlassClassificationEvaluator(labelCol=self.label, metricName="logLoss").evaluate(df)
 
 
-def evaluator(scorer: str, label: str = "label"):
-    """Something with ``evaluate(scored rows)``, and whether larger is better."""
+def evaluator(scorer: str, label: str = "label", key: str | None = None, group: str | None = None):
+    """Something with ``evaluate(scored rows)``, and whether larger is better. All scores are exact."""
     larger = metrics.SCORERS[scorer][1]
-    binary = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR"}
-    multi = {"accuracy": "accuracy", "f1_weighted": "f1", "neg_log_loss": "logLoss"}
+    multi = {"accuracy": "accuracy", "f1_weighted": "f1"}
     plain = {"r2": "r2", "neg_mean_squared_error": "mse", "neg_mean_absolute_error": "mae"}
-    if scorer in binary:
-        return BinaryClassificationEvaluator(labelCol=label, metricName=binary[scorer]), larger
     if scorer in multi:
         return MulticlassClassificationEvaluator(labelCol=label, metricName=multi[scorer]), larger
     if scorer in plain:
         return RegressionEvaluator(labelCol=label, metricName=plain[scorer]), larger
-    return MetricEvaluator(scorer, label), larger
+    if scorer == "neg_log_loss":
+        return LogLossEvaluator(label), larger
+    return MetricEvaluator(scorer, label, key, group), larger
 
 
 # -- cross-validation and elimination ----------------------------------------------------
@@ -441,9 +490,10 @@ def in_parallel(work: Sequence[Callable], parallelism: int = 4) -> list:
         return pool.map(lambda w: inheritable_thread_target(SparkSession.active())(w)(), work)
 
 
-def cv_scores(df: DataFrame, estimator, scorer: str, fold: str, folds: int, label: str = "label") -> list[float]:
-    """Score of every fold for a model fitted on the others."""
-    judge, _ = evaluator(scorer, label)
+def cv_scores(df: DataFrame, estimator, scorer: str, fold: str, folds: int, label: str = "label", key: str | None = None,
+              group: str | None = None) -> list[float]:
+    """Score of every fold for a model fitted on the others; ranking scorers need ``key`` and ``group``."""
+    judge, _ = evaluator(scorer, label, key, group)
     work = [
         lambda train=train, test=test: judge.evaluate(estimator.fit(train).transform(test))
         for _, train, test in fold_pairs(df, fold, folds)
@@ -462,14 +512,20 @@ def out_of_fold(df: DataFrame, estimator, fold: str, folds: int) -> DataFrame:
     return out
 
 
+def _carried(df: DataFrame, spec: dict) -> list[str]:
+    """Columns beside features, label and fold that estimators and scorers may need."""
+    return [c for c in dict.fromkeys(spec.get(n) for n in ("key", "group", "validation")) if c and c in df.columns]
+
+
 def lofo(df: DataFrame, columns: Sequence[str], algo: str, spec: dict, scorer: str, fold: str, folds: int) -> DataFrame:
     """Mean loss of score when a feature is left out, over folds; positive means keep."""
     label = spec.get("label", "label")
     better = 1.0 if evaluator(scorer, label)[1] else -1.0
 
     def score(use: Sequence[str]) -> list[float]:
-        data = assemble(df, use, "features").select("features", label, fold)
-        return cv_scores(data, build(algo, {**spec, "features": "features"}), scorer, fold, folds, label)
+        data = assemble(df, use, "features").select("features", label, fold, *_carried(df, spec))
+        estimator = build(algo, {**spec, "features": "features"})
+        return cv_scores(data, estimator, scorer, fold, folds, label, spec.get("key"), spec.get("group"))
 
     whole = score(columns)
     rows = []
@@ -505,9 +561,9 @@ def eliminate(df: DataFrame, columns: Sequence[str], algo: str, spec: dict, scor
     better = 1.0 if evaluator(scorer, label)[1] else -1.0
     left, tried = list(columns), []
     while left:
-        data = assemble(df, left, "features").select("features", label, fold)
+        data = assemble(df, left, "features").select("features", label, fold, *_carried(df, spec))
         est = build(algo, {**spec, "features": "features"})
-        scores = cv_scores(data, est, scorer, fold, folds, label)
+        scores = cv_scores(data, est, scorer, fold, folds, label, spec.get("key"), spec.get("group"))
         tried.append((sum(scores) / folds, list(left)))
         if len(left) == 1:
             break

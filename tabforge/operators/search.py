@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 from itertools import product
@@ -26,6 +27,8 @@ GRIDS: dict[str, dict[str, list]] = {
     "LSVC": {"tol": [0.0005, 0.001, 0.005], "max_iter": [500, 1000, 2000]},
     "NB": {"alpha": [0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0, 2.0, 5.0, 10.0]},
     "RF": {"n_estimators": [21, 51, 101, 201, 501], "max_depth": [5, 7, 10, 20], "min_samples_leaf": [1, 2, 3], "bootstrap": [True, False], "criterion": ["gini", "entropy"]},
+    "RBF": {"C": [10.0 ** e for e in range(-2, 11)], "gamma": [10.0 ** e for e in range(-9, 4)], "tol": [0.0005, 0.001, 0.005]},
+    "SVM": {"C": [10.0 ** e for e in range(-2, 11)], "gamma": [10.0 ** e for e in range(-9, 4)], "tol": [0.0005, 0.001, 0.005]},
     "XGB": {"n_estimators": [21, 51, 101, 201, 501], "max_depth": [5, 6, 7, 8, 9, 10, 12, 15, 20], "learning_rate": [0.01, 0.02, 0.05, 0.1, 0.2], "subsample": [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]},
     "XT": {"n_estimators": [21, 51, 101, 201, 501, 1001, 2001], "max_depth": [3, 5, 7, 10, 20, 30], "min_samples_leaf": [1, 2], "bootstrap": [True, False]},
 }
@@ -40,16 +43,16 @@ def trials(grid: Mapping[str, Sequence], n: int, seed: int = 0) -> list[dict]:
 
 def search(df: DataFrame, algo: str, spec: dict, scorer: str, fold: str, folds: int, n_trials: int,
            grid: Mapping[str, Sequence] | None = None, seed: int = 0) -> tuple[dict, DataFrame]:
-    """Best parameters, and one row per trial: params, mean, std, rank."""
+    """Best parameters, and one row per trial: params, mean, std, rank. Trials without a defined score come last."""
     label = spec.get("label", "label")
     better = evaluator(scorer, label)[1]
     rows = []
     for params in trials(GRIDS[algo] if grid is None else grid, n_trials, seed):
-        scores = cv_scores(df, build(algo, spec, **params), scorer, fold, folds, label)
+        scores = cv_scores(df, build(algo, spec, **params), scorer, fold, folds, label, spec.get("key"), spec.get("group"))
         mean = sum(scores) / folds
         std = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
         rows.append((params, mean, std))
-    rows.sort(key=lambda r: (-r[1] if better else r[1], str(r[0])))
+    rows.sort(key=lambda r: (math.isnan(r[1]), 0.0 if math.isnan(r[1]) else -r[1] if better else r[1], str(r[0])))
     out = [(i, str(p), float(m), float(s)) for i, (p, m, s) in enumerate(rows, 1)]
     return rows[0][0], df.sparkSession.createDataFrame(out, "rank int, params string, mean double, std double")
 
@@ -66,8 +69,8 @@ def _curve_row(scores_train: Sequence[float], scores_cv: Sequence[float]) -> tup
     return tuple(float(x) for x in out)
 
 
-def _both_scores(df: DataFrame, estimator, scorer: str, fold: str, folds: int, label: str, keep=None):
-    judge, _ = evaluator(scorer, label)
+def _both_scores(df: DataFrame, estimator, spec: dict, scorer: str, fold: str, folds: int, label: str, keep=None):
+    judge, _ = evaluator(scorer, label, spec.get("key"), spec.get("group"))
     on_train, on_test = [], []
     for i in range(folds):
         train, test = df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)
@@ -87,12 +90,12 @@ def learning_curve(df: DataFrame, algo: str, spec: dict, scorer: str, key: str,
     label = spec.get("label", "label")
     rows = []
     for s in shares:
-        rows.append((float(s), *_both_scores(df, build(algo, spec), scorer, fold, folds, label, hash_share(key, 97) < s)))
+        rows.append((float(s), *_both_scores(df, build(algo, spec), spec, scorer, fold, folds, label, hash_share(key, 97) < s)))
     return df.sparkSession.createDataFrame(rows, "share double, " + _CURVE)
 
 
 def validation_curve(df: DataFrame, algo: str, spec: dict, scorer: str, fold: str, folds: int, name: str, values: Sequence) -> DataFrame:
     """Training and held-out scores for each value of one parameter."""
     label = spec.get("label", "label")
-    rows = [(str(v), *_both_scores(df, build(algo, spec, **{name: v}), scorer, fold, folds, label)) for v in values]
+    rows = [(str(v), *_both_scores(df, build(algo, spec, **{name: v}), spec, scorer, fold, folds, label)) for v in values]
     return df.sparkSession.createDataFrame(rows, "value string, " + _CURVE)

@@ -119,7 +119,7 @@ class FeaturePlan:
                 final += made
         p["clusters"] = p["components"] = None
         if s["clustering"] or s["pca"]:
-            df = assemble(df, nonzero, "_base")
+            df = self._standard(df, fit=True)
             if s["clustering"]:
                 p["clusters"] = Clusters.fit(df, "_base", *s["clustering"])
                 df = p["clusters"].transform(df)
@@ -159,6 +159,15 @@ class FeaturePlan:
                 df = p["codes"].transform(df)
         return df
 
+    def _standard(self, df: DataFrame, fit: bool = False) -> DataFrame:
+        """``_base``: the base columns cleaned and standardised, the input of clusters and components; the columns themselves stay."""
+        p = self.parts
+        copies = {f"_z{i}": F.coalesce(scaling.finite(c), F.lit(0.0)) for i, c in enumerate(p["base"])}
+        df = df.withColumns(copies)
+        if fit:
+            p["space"] = scaling.fit_standard(df, list(copies))
+        return assemble(p["space"].transform(df), list(copies), "_base").drop(*copies)
+
     def _numeric(self, df: DataFrame) -> list[str]:
         carried = set(self._carried(df))
         return [c for c in frame.numeric_columns(df) if c not in carried]
@@ -175,7 +184,7 @@ class FeaturePlan:
             fn = rowstats.sums_and_spread if flag == "numpy" else rowstats.shape_statistics
             df = scaler.transform(fill.transform(fn(df, p["base"])))
         if p["clusters"] or p["components"]:
-            df = assemble(df, p["base"], "_base")
+            df = self._standard(df)
             for part in (p["clusters"], p["components"]):
                 df = part.transform(df) if part else df
         if p["interactions"]:
@@ -202,6 +211,7 @@ class FeaturePlan:
         state["fill"] = [p["fill"].values, sorted(p["fill"].floats)] if p["fill"] else None
         state["log"] = p["log"].columns if p.get("log") else None
         state["scaler"] = [p["scaler"].shift, p["scaler"].scale] if p["scaler"] else None
+        state["space"] = [p["space"].shift, p["space"].scale] if p.get("space") else None
         state["stats"] = [[f, fill.values, sc.shift, sc.scale] for f, fill, sc in p["stats"]]
         state["vectors"] = list(p["vectors"])
         for c, v in p["vectors"].items():
@@ -236,6 +246,7 @@ class FeaturePlan:
         p["fill"] = scaling.Fill(*state["fill"]) if state["fill"] else None
         p["log"] = scaling.LogTransform(state["log"]) if state["log"] is not None else None
         p["scaler"] = scaling.Linear(*state["scaler"]) if state["scaler"] else None
+        p["space"] = scaling.Linear(*state["space"]) if state["space"] else None
         p["stats"] = [
             (f, scaling.Fill(values, list(values)), scaling.Linear(shift, scale)) for f, values, shift, scale in state["stats"]
         ]

@@ -31,10 +31,12 @@ DISTINCT_VALUES = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a local one only when the session names none."""
+    """This application's folder below ``spark.checkpoint.dir``; a local one only when the session names none and runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabforge-checkpoint-"))
     return context.getCheckpointDir()
 

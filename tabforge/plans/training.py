@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import DefaultParamsReader
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.operators import metrics, models, search, split
-from tabforge.operators.blending import blend_predictions, blend_probabilities
+from tabforge.operators.blending import blend_classes, blend_predictions, blend_probabilities
 from tabforge.operators.calibration import CALIBRATORS
 from tabforge.operators.frame import quoted
 from tabforge.operators.neighbours import NeighbourModel
@@ -20,11 +21,13 @@ from tabforge.operators.unsupervised import assemble
 from tabforge.plans.features import FeaturePlan
 from tabforge.plans.scale import materialise
 
-# Run settings next to those of the feature plan.
+# Run settings next to those of the feature plan. ``best_on``: choose the best model by "cv" or on the "test" rows.
 RUN_DEFAULTS: dict = {
     "algorithms": ["RF"], "estimators": 51, "seed": 42, "cv_folds": 3, "scorer": None, "params": {}, "grid_search": 0,
-    "calibration": None, "stopping_share": None, "lofo": False, "rfe": None,
+    "calibration": None, "stopping_share": None, "lofo": False, "rfe": None, "best_on": "cv",
 }
+# The scorer of each kind of model when none is named.
+SCORER = {"classification": "roc_auc", "multiclass": "accuracy", "ranking": "ndcg_score", "regression": "r2"}
 
 
 # Models of this package that save and load themselves; all others use the ML library's format.
@@ -48,21 +51,12 @@ class ScoredModel:
         pred = F.col("prediction").alias(f"pred_{self.algo}")
         if not self.classify:
             return out.select(key, pred)
-        out = out.withColumn("_score", self._score(out))
+        out = out.withColumn("_score", models.positive_score(out))
         if self.calibrator is None:
             return out.select(key, pred, F.col("_score").alias(f"prob_{self.algo}"))
         out = self.calibrator.transform(out, "_score", "_cal")
         return out.select(key, (F.col("_cal") > 0.5).cast("double").alias(f"pred_{self.algo}"), F.col("_cal").alias(f"prob_{self.algo}"))
 
-    @staticmethod
-    def _score(out: DataFrame) -> Column:
-        """Positive-class probability where the model has one, else its vote share or squashed margin."""
-        if "probability" in out.columns:
-            return models.positive_probability()
-        if "positive" in out.columns:
-            return F.col("positive")
-        return 1 / (1 + F.exp(-F.get(models.vector_to_array("rawPrediction"), F.lit(1))))
-
 
 def _calibrated(df: DataFrame, estimator, method: str, spec: Mapping, fold: str):
     """Model fitted for calibration, and the calibrator fitted on rows that model did not see."""
@@ -74,7 +68,7 @@ def _calibrated(df: DataFrame, estimator, method: str, spec: Mapping, fold: str)
     else:
         held = models.out_of_fold(df, estimator, fold, spec["cv_folds"])
         model = estimator.fit(df)
-    held = held.select(F.col(label).cast("double").alias(label), ScoredModel._score(held).alias("_score"))
+    held = held.select(F.col(label).cast("double").alias(label), models.positive_score(held).alias("_score"))
     return model, CALIBRATORS[method].fit(held, "_score", label)
 
 
@@ -123,7 +117,7 @@ def score_rows(plan: FeaturePlan, scored: list[ScoredModel], spec: Mapping, df:
     ready = plan.transform(df)
     if len(scored) > 1:
         ready = materialise(ready, columnar=True)
-    return _blend(_join_scores(ready, scored, spec["key"]), scored)
+    return _blend(_join_scores(ready, scored, spec["key"]), scored, spec)
 
 
 def _join_scores(ready: DataFrame, scored: list[ScoredModel], key: str) -> DataFrame:
@@ -133,11 +127,13 @@ def _join_scores(ready: DataFrame, scored: list[ScoredModel], key: str) -> DataF
     return out
 
 
-def _blend(df: DataFrame, scored: list[ScoredModel]) -> DataFrame:
+def _blend(df: DataFrame, scored: list[ScoredModel], spec: Mapping) -> DataFrame:
     if len(scored) < 2:
         return df
     if scored[0].classify:
         return blend_probabilities(df, [f"prob_{m.algo}" for m in scored], "prob_BLEND", "pred_BLEND")
+    if spec["model_type"] == "multiclass":
+        return blend_classes(df, [f"pred_{m.algo}" for m in scored], "pred_BLEND")
     return blend_predictions(df, [f"pred_{m.algo}" for m in scored], "pred_BLEND")
 
 
@@ -148,6 +144,8 @@ def _metric_table(df: DataFrame, spec: Mapping, algos: list[str]) -> DataFrame:
         for a in algos:
             if spec["model_type"] == "classification":
                 t = metrics.classification_metrics(rows, spec["target"], f"pred_{a}", f"prob_{a}")
+            elif spec["model_type"] == "multiclass":
+                t = metrics.classification_metrics(rows, spec["target"], f"pred_{a}")
             elif spec["model_type"] == "ranking":
                 t = metrics.ranking_metrics(rows, spec["target"], f"pred_{a}", spec["key"], [spec["group"]])
             else:
@@ -159,21 +157,35 @@ def _metric_table(df: DataFrame, spec: Mapping, algos: list[str]) -> DataFrame:
     return out
 
 
+def _best(table: DataFrame, cv: Mapping[str, list[float]], algos: list[str], scorer: str, on: str) -> str | None:
+    """Best algorithm by mean cross-validation score; by the test rows, else the training rows, where asked or not every score is defined."""
+    means = {a: sum(cv[a]) / len(cv[a]) for a in algos if cv.get(a)}
+    if on == "cv" and len(means) == len(algos) and not any(math.isnan(m) for m in means.values()):
+        sign = -1.0 if metrics.SCORERS[scorer][1] else 1.0
+        return min(means, key=lambda a: (sign * means[a], a))
+    for partition in ("test", "train"):
+        row = metrics.best_algorithm(table, scorer, partition).first()
+        if row is not None and row["algo"] is not None:
+            return row["algo"]
+    return None
+
+
 def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
     """Fit the feature plan and every algorithm on training rows; score and judge both partitions.
 
     The training table in model form is written to the checkpoint folder once:
-    cross-validation, elimination and search read it many times.
+    cross-validation, elimination and search read it many times. Search is left out for algorithms without a
+    parameter list, elimination for those that rank no features; the pairwise ranker takes part in neither.
     """
     spec = {**RUN_DEFAULTS, **spec}
     plan = FeaturePlan(spec)
     spec = {**spec, **plan.spec}
     classify = spec["model_type"] == "classification"
-    scorer = spec["scorer"] or {"classification": "roc_auc", "regression": "r2", "ranking": "ndcg_score"}[spec["model_type"]]
+    scorer = spec["scorer"] or SCORER[spec["model_type"]]
     key, target, folds = spec["key"], spec["target"], spec["cv_folds"]
 
     ready = plan.fit_transform(train_rows.filter(quoted(target).isNotNull()))
-    if classify:
+    if spec["model_type"] in ("classification", "multiclass"):
         ready = split.add_stratified_folds(ready, key, target, folds, spec["seed"])
     else:
         ready = split.add_folds(ready, key, folds, spec["seed"])
@@ -181,7 +193,7 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
         ready = split.mark_validation(ready, key, spec["stopping_share"], spec["seed"])
     ready = materialise(ready, columnar=True)
     columns = list(plan.parts["final"])
-    build_spec = {"features": "features", "label": target, "key": key, "estimators": spec["estimators"], "seed": spec["seed"]}
+    build_spec = {"features": "features", "label": target, "key": key, "group": spec["group"], "estimators": spec["estimators"], "seed": spec["seed"]}
     notes: dict = {"cv": {}, "params": {}, "lofo": {}, "rfe": {}, "importances": {}}
 
     scored = []
@@ -198,16 +210,16 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
         if spec["lofo"]:
             notes["lofo"][algo] = models.lofo(ready, use, algo, build_spec, scorer, "fold", folds)
             use = [c for c in use if c in set(kept(notes["lofo"][algo]))] or use
-        if spec["rfe"]:
+        if spec["rfe"] and algo in models.RANKED:
             notes["rfe"][algo] = models.eliminate(ready, use, algo, build_spec, scorer, "fold", folds, spec["rfe"])
             use = [c for c in use if c in set(kept(notes["rfe"][algo]))]
         chosen = use if len(use) < len(columns) else None
         data = assemble(ready.drop("features"), use) if chosen else ready
-        if spec["grid_search"]:
+        if spec["grid_search"] and algo in search.GRIDS:
             params, table = search.search(data, algo, local, scorer, "fold", folds, spec["grid_search"], seed=spec["seed"])
             notes["params"][algo] = (params, table)
         estimator = models.build(algo, local, **params)
-        notes["cv"][algo] = models.cv_scores(data, estimator, scorer, "fold", folds, target)
+        notes["cv"][algo] = models.cv_scores(data, estimator, scorer, "fold", folds, target, key, spec["group"])
         if classify and spec["calibration"]:
             model, calibrator = _calibrated(data, estimator, spec["calibration"], spec, "fold")
         else:
@@ -219,13 +231,11 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
 
     parts = []
     for name, rows in (("train", ready), ("test", materialise(plan.transform(test_rows), columnar=True))):
-        got = _blend(_join_scores(rows, scored, key), scored)
+        got = _blend(_join_scores(rows, scored, key), scored, spec)
         carried = [c for c in (target, spec["group"]) if c and c in rows.columns]
         parts.append(rows.select(key, *carried).join(got, key).withColumn("partition", F.lit(name)))
     predictions = materialise(parts[0].unionByName(parts[1], allowMissingColumns=True), columnar=True)
     algos = [m.algo for m in scored] + (["BLEND"] if len(scored) > 1 else [])
     table = _metric_table(predictions, spec, algos)
-    best_row = metrics.best_algorithm(table, scorer, "test").first()
-    if best_row is None or best_row["algo"] is None:
-        best_row = metrics.best_algorithm(table, scorer, "train").first()
-    return Run(plan, spec, scored, predictions, table, best_row["algo"] if best_row else None, notes)
+    best = _best(table, notes["cv"], [m.algo for m in scored], scorer, spec["best_on"])
+    return Run(plan, spec, scored, predictions, table, best, notes)
