@@ -39,7 +39,7 @@ def _vectors(spark, sf):
     return unsupervised.assemble(df, _TEXT).select("doc_id", "label", "fold", "features", *_TEXT)
 
 
-_SPEC = {"key": "doc_id", "estimators": 10, "seed": 42}
+_SPEC = {"key": "doc_id", "estimators": 51, "seed": 42}
 
 
 def _classifier(name, algo, **params):
@@ -52,13 +52,13 @@ def _classifier(name, algo, **params):
     return run
 
 
-_classifier("g01_logistic", "LOGR", max_iter=50)
+_classifier("g01_logistic", "LOGR")
 _classifier("g03_random_forest", "RF")
-_classifier("g04_gradient_boosting", "GB", n_estimators=10)
+_classifier("g04_gradient_boosting", "GB")
 _classifier("g05_boosting_xgb", "XGB", n_estimators=10)
-_classifier("g05_boosting_lgb", "LGB", n_estimators=10)
-_classifier("g05_boosting_catb", "CATB", n_estimators=5)
-_classifier("g08_linear_svc", "LSVC", max_iter=30)
+_classifier("g05_boosting_lgb", "LGB")
+_classifier("g05_boosting_catb", "CATB")
+_classifier("g08_linear_svc", "LSVC")
 _classifier("g09_kernel_svc", "RBF")
 _classifier("g10_naive_bayes", "NB")
 _classifier("g12_adaboost", "AB", n_estimators=10)
@@ -79,7 +79,7 @@ def g02(spark, sf):
 @query("g03_forest_regression")
 def g03r(spark, sf):
     data = _panel_vectors(spark, sf)
-    out = models.build("RFR", {**_SPEC, "key": "event_id"}, max_depth=4).fit(data).transform(data)
+    out = models.build("RFR", {**_SPEC, "key": "event_id"}).fit(data).transform(data)
     return out.select("event_id", "label", "prediction")
 
 
@@ -190,12 +190,12 @@ def x02(spark, sf):
 
 @query("f07_lofo")
 def f07(spark, sf):
-    return models.lofo(labelled_documents(spark, sf), _TEXT[:4], "LOGR", _SPEC, "roc_auc", "fold", 3)
+    return models.lofo(labelled_documents(spark, sf), _TEXT, "LOGR", _SPEC, "roc_auc", "fold", 3)
 
 
 @query("f08_rfe")
 def f08(spark, sf):
-    return models.eliminate(labelled_documents(spark, sf), _TEXT[:5], "LOGR", _SPEC, "roc_auc", "fold", 3, step=2)
+    return models.eliminate(labelled_documents(spark, sf), _TEXT, "LOGR", _SPEC, "roc_auc", "fold", 3, step=2)
 
 
 @query("f09_v06_importances")
@@ -213,7 +213,7 @@ def n21(spark, sf):
 @query("q01_search")
 def q01(spark, sf):
     grid = {"reg": [0.0, 0.01, 0.1], "fit_intercept": [True, False]}
-    return search.search(_vectors(spark, sf), "LOGR", _SPEC, "roc_auc", "fold", 3, 3, grid)[1]
+    return search.search(_vectors(spark, sf), "LOGR", _SPEC, "roc_auc", "fold", 3, 6, grid)[1]
 
 
 @query("q02_report")
@@ -224,12 +224,12 @@ def q02(spark, sf):
 
 @query("v04_learning_curve")
 def v04(spark, sf):
-    return search.learning_curve(_vectors(spark, sf), "LOGR", _SPEC, "roc_auc", "doc_id", "fold", 3, (0.3, 1.0))
+    return search.learning_curve(_vectors(spark, sf), "LOGR", _SPEC, "roc_auc", "doc_id", "fold", 3)
 
 
 @query("v05_validation_curve")
 def v05(spark, sf):
-    return search.validation_curve(_vectors(spark, sf), "LOGR", _SPEC, "roc_auc", "fold", 3, "reg", (0.0, 0.1))
+    return search.validation_curve(_vectors(spark, sf), "LOGR", _SPEC, "roc_auc", "fold", 3, "reg", (0.0, 1e-5, 1e-4, 1e-3, 1e-2, 0.1))
 
 
 @query("v07_partial_dependence")
@@ -382,5 +382,5 @@ def g05r(spark, sf):
 @query("g13_extra_trees_regression")
 def g13r(spark, sf):
     data = _panel_vectors(spark, sf)
-    out = models.build("XTR", {**_SPEC, "key": "event_id"}, max_depth=4).fit(data).transform(data)
+    out = models.build("XTR", {**_SPEC, "key": "event_id"}).fit(data).transform(data)
     return out.select("event_id", "label", "prediction")
