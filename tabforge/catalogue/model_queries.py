@@ -55,13 +55,13 @@ def _classifier(name, algo, **params):
 _classifier("g01_logistic", "LOGR")
 _classifier("g03_random_forest", "RF")
 _classifier("g04_gradient_boosting", "GB")
-_classifier("g05_boosting_xgb", "XGB", n_estimators=10)
+_classifier("g05_boosting_xgb", "XGB")
 _classifier("g05_boosting_lgb", "LGB")
 _classifier("g05_boosting_catb", "CATB")
 _classifier("g08_linear_svc", "LSVC")
 _classifier("g09_kernel_svc", "RBF")
 _classifier("g10_naive_bayes", "NB")
-_classifier("g12_adaboost", "AB", n_estimators=10)
+_classifier("g12_adaboost", "AB")
 _classifier("g13_extra_trees", "XT")
 
 
@@ -86,7 +86,7 @@ def g03r(spark, sf):
 @query("g04_boosted_regression")
 def g04r(spark, sf):
     data = _panel_vectors(spark, sf)
-    out = models.build("GBR", {**_SPEC, "key": "event_id"}, n_estimators=5).fit(data).transform(data)
+    out = models.build("GBR", {**_SPEC, "key": "event_id"}).fit(data).transform(data)
     return out.select("event_id", "label", "prediction")
 
 
@@ -346,14 +346,14 @@ def s10(spark, sf):
 
 @query("o05_positive_importances")
 def o05(spark, sf):
-    model = models.build("GB", _SPEC, n_estimators=5).fit(_vectors(spark, sf))
+    model = models.build("GB", _SPEC).fit(_vectors(spark, sf))
     return positive_importances(models.importance_table(spark, model, _TEXT))
 
 
 @query("k06_early_stopping")
 def k06s(spark, sf):
     df = split.mark_validation(_vectors(spark, sf), "doc_id", 0.2)
-    model = models.build("GB", {**_SPEC, "validation": "validation"}, n_estimators=20).fit(df)
+    model = models.build("GB", {**_SPEC, "validation": "validation"}).fit(df)
     return model.transform(df).select("doc_id", "label", "prediction")
 
 
