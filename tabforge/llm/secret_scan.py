@@ -5,8 +5,9 @@ Base spans come from three patterns. The lexer adds more: it reads source and co
 carries constants forward (a name that holds literals, assigned to another name), and scores each literal by the most sensitive
 name that it reaches and by how much it looks like a key. Literals that reach ``threshold`` are spans of kind ``literal``.
 
-A text without any sensitive name can give no such literal, so only texts with one are lexed. Rows are scanned where they are; nothing is
-shuffled.
+A text without any sensitive name can give no such literal, so only texts with one are lexed; the test before the lexer takes every spelling that
+``sensitivity`` takes (``api_key``, ``api-key``, ``api.key``, ``apiKey``). Literals and keys may have any length. Rows are scanned where they
+are; nothing is shuffled.
 
 Spans are ``(kind, start, end, base, score)`` in code points, end exclusive, ordered by start, then kind as listed.
 
@@ -42,10 +43,12 @@ SENSITIVE = {
 }
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your_", "your-", "xxxx", "dummy", "<", "${", "{{", "none", "null", "true", "false")
 _WORDS = re.compile("|".join(sorted(map(re.escape, SENSITIVE), key=len, reverse=True)))
+# For lower-cased texts: what ``sensitivity`` turns into an underscore, or puts one into, may stand between the words.
+_GATE = re.compile("|".join(sorted({re.escape(w).replace("_", "[_.-]?") for w in SENSITIVE})))
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
-_STRING = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'"
-_PAIR = re.compile(rf"(?:(?P<quoted>[\"'])(?P<key>[\w.$-]{{1,128}})(?P=quoted)|(?<![\w$])(?P<name>{_NAME}))(?:\[[^\]\n]{{0,64}}\])?[ \t]*(?P<sign>:=|=>|==?|:)[ \t]*", re.A)
+_NAME = r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
+_STRING = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'"
+_PAIR = re.compile(rf"(?:(?P<quoted>[\"'])(?P<key>[\w.$-]++)(?P=quoted)|(?<![\w$])(?P<name>{_NAME}))(?:\[[^\]\n]*+\])?[ \t]*(?P<sign>:=|=>|==?|:)[ \t]*", re.A)
 _TERM = re.compile(rf"(?P<string>{_STRING})|(?P<bare>[^\s\"',;(){{}}\[\]<>#&|]+)", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?:\\?\n[ \t]*)?")
 _IS_NAME = re.compile(rf"{_NAME}\Z", re.A)
@@ -114,7 +117,7 @@ def scan(text: str | None, threshold: float = 0.6) -> list[tuple[str, int, int,
     if not text:
         return []
     found = []
-    if _WORDS.search(low := text.lower()):
+    if _GATE.search(low := text.lower()):
         if ":" in low or "=" in low:
             found += [("assign", m.start(), m.end(), True, 1.0) for m in ASSIGN.finditer(text) if m.end("value") - m.start("value") >= ASSIGN_CHARS]
             found += lexed(text, threshold)

@@ -220,6 +220,19 @@ def test_secrets(odd, none):
     assert secret_scan.scan("ratio: none, a = b") == [] and secret_scan.find_secrets(odd).count() == len(ODD) and secret_scan.redact(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["signingKey", "encryptionKey", "api-key", "X-Api-Key", "private-key", "access-key", "auth-key", "private.key", "signing_key"])
+def test_secrets_in_every_spelling(name):
+    text = f'"{name}": "Zx81kQp93LmVt7Rw"'
+    assert ("literal", "Zx81kQp93LmVt7Rw") in [(k, text[s:e]) for k, s, e, _, _ in secret_scan.scan(text)]
+
+
+def test_secrets_of_any_length():
+    value = "Zx81kQp9-3LmVt7Rw" * 500
+    for text in (f'signing_key = "{value}"', f"passphrase = '{value}'", f'"{"x" * 200}_pwd": "{value}"', f'pwd["{"x" * 100}"] = "{value}"'):
+        assert [text[s:e] for k, s, e, _, _ in secret_scan.scan(text) if k == "literal"] == [value]
+    assert secret_scan.scan('pwd = "' + "\\x" * 50000) == []  # without an end
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {"documents": docs}
