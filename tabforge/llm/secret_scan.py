@@ -3,7 +3,8 @@
 Base spans come from three patterns. The lexer adds more: it reads source and configuration syntax (``name = "literal"``,
 ``"name": "literal"``, ``name: literal``, ``NAME=literal``, ``name := 'x'``, ``key => 'x'``) into name-value pairs, adds up literals joined by ``+``,
 carries constants forward (a name that holds literals, assigned to another name), and scores each literal by the most sensitive
-name that it reaches and by how much it looks like a key. Literals that reach ``threshold`` are spans of kind ``literal``.
+name that it reaches and by how much it looks like a key. A bare value that names no constant held so far is itself a literal
+(``NAME=literal``), unless it is the target of the next pair (``a = b = 'x'``). Literals that reach ``threshold`` are spans of kind ``literal``.
 
 A text without any sensitive name can give no such literal, so only texts with one are lexed; the test before the lexer takes every spelling that
 ``sensitivity`` takes (``api_key``, ``api-key``, ``api.key``, ``apiKey``). Literals and keys may have any length. Rows are scanned where they
@@ -70,8 +71,8 @@ def key_likeness(literal: str) -> float:
     return min(1.0, 0.2 + bits / 6 + 0.1 * (kinds - 1))
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """Name, its literals with their places, and the names it refers to, for every assignment in order."""
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """Name, its literals and the bare words that can be names or literals, both with their places, for every assignment in order."""
     at = 0
     while m := _PAIR.search(text, at):
         name, sign = m["key"] or m["name"], m["sign"]
@@ -84,7 +85,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], li
             if term["string"]:
                 literals.append((term["string"][1:-1], term.start() + 1, term.end() - 1))
             elif _IS_NAME.match(term["bare"]) and sign != ":":
-                names.append(term["bare"])
+                names.append((term["bare"], term.start(), term.end()))
             else:
                 bare = term["bare"].rstrip(".:")
                 literals.append((bare, term.start(), term.start() + len(bare)))
@@ -101,8 +102,13 @@ def lexed(text: str, threshold: float) -> list[tuple[str, int, int, bool, float]
     held: dict[str, list[tuple[str, int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
     for name, literals, names in assignments(text):
-        reached = literals + [x for n in names for x in held.get(n, [])]
-        held[name] = reached
+        reached = list(literals)
+        for bare in names:
+            if constant := held.get(bare[0]):
+                reached += constant
+            elif not ((after := _PAIR.match(text, bare[1])) and after["sign"] in ("=", ":=", "=>")):
+                reached.append(bare)
+        held[name] = list(dict.fromkeys(reached))  # each place once: "a = a + a" does not grow
         weight = sensitivity(name)
         if weight:
             value = "".join(x[0] for x in reached)

@@ -233,6 +233,14 @@ def test_secrets_of_any_length():
     assert secret_scan.scan('pwd = "' + "\\x" * 50000) == []  # without an end
 
 
+def test_secrets_without_quotes():
+    text = "PRIVATE_KEY=Zx81kQp93LmVt7Rw\nDB_PWD=hunter2x9Q\npassphrase=Abc123xyz9\nbase = Qw7rTy12uI\nauth_key := base\nn = 5\n"
+    found = [text[s:e] for k, s, e, _, _ in secret_scan.scan(text) if k == "literal"]
+    assert found == ["Zx81kQp93LmVt7Rw", "hunter2x9Q", "Abc123xyz9", "Qw7rTy12uI"]
+    for text in ("pwd = none\nsigning_key = abc", "access_key = signing_key = 'Zx81kQp93LmVt7Rw'"):
+        assert [text[s:e] for k, s, e, _, _ in secret_scan.scan(text)] in ([], ["Zx81kQp93LmVt7Rw"])
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {"documents": docs}
