@@ -18,7 +18,8 @@ aggregated with partial results, components come from min-label rounds with poin
 
 Defined cases: null texts and texts without words have no set, link with nothing and form their own component; null ids: a component's id is its
 smallest non-null id (null if it has none), a row is kept when its id equals it, null equal to null; repeated rows are copies and share
-the answer; an empty table gives no rows. Only id and text are read.
+the answer; an empty table gives no rows. Only id and text are read. ``deduplicated`` keeps exactly one row of every component, that of
+smallest id (null last), then of smallest text digest; rows without words are one component per id and text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,8 +112,8 @@ def class_of(found: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(found.tobytes()), dtype=">i8")[0])
 
 
-def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``_id, n_shingles, node, bands, sketch``; the last three are null without words."""
+def signatures(df: DataFrame, key: str, text: str, words: int, digest: bool = False) -> DataFrame:
+    """``_id, n_shingles, node, bands, sketch`` and on demand ``_digest`` of the text; ``node, bands, sketch`` are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +134,16 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     sketches.append((_scramble(values) & np.uint64(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sketches, pa.binary())], names=["_id", "n_shingles", "node", "bands", "sketch"])
+                    pa.array(sketches, pa.binary()), *part.columns[2:]], names=["_id", "n_shingles", "node", "bands", "sketch", *part.schema.names[2:]])
         _words.clear()
         give_back()
 
-    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>, sketch binary")
+    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *[text_digest(text).alias("_digest")] * digest)
+    return rows.mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>, sketch binary" + ", _digest binary" * digest)
+
+
+def text_digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def sets_of(df: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -269,9 +274,9 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return keep(met.select("a", "b").distinct())
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
-    """Per row: ``key, n_shingles, component_id, kept``."""
-    signed = keep(signatures(df, key, text, words))
+def labelled(df: DataFrame, key: str, text: str, words: int, percent: int, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows, and ``node, _least, label`` per class: its smallest id and its component."""
+    signed = keep(signatures(df, key, text, words, digest))
     banded = signed.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
     # the leader of a bucket is the class of smallest (name xor bucket): another order in every bucket, and a plain long to aggregate
     place = F.col("node").bitwiseXOR(F.col("band"))
@@ -299,7 +304,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         labels = joined(labels, links.compared(more, sets))
 
     classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_least"))
-    classes = keep(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    return signed, keep(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
+    """Per row: ``key, n_shingles, component_id, kept``."""
+    signed, classes = labelled(df, key, text, words, percent)
     least = classes.groupBy("label").agg(F.min("_least").alias("component_id"))
     named = classes.join(least, "label").select("node", "component_id")
     out = signed.select("_id", "n_shingles", "node").join(named, "node", "left")
@@ -307,10 +317,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return out.select(F.col("_id").alias(key), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that represent their groups."""
-    kept = near_duplicates(df, key=key, **options).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
+    """One row of ``df`` for each group."""
+    signed, classes = labelled(df, key, text, words, percent, digest=True)
+    # id and digest tell rows apart, but for repeated ones
+    rows = keep(signed.groupBy("_id", "_digest", "node").agg(F.count(F.lit(1)).alias("_rows")))
+    place = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_digest", "_rows")
+    first = rows.filter("node IS NOT NULL").join(classes.select("node", "label"), "node").groupBy("label").agg(F.min(place).alias("_first"))
+    chosen = keep(first.select("_first._id", "_first._digest", "_first._rows").union(rows.filter("node IS NULL").select("_id", "_digest", "_rows")))
+
+    def of(some: DataFrame) -> DataFrame:
+        side = some.select(F.col("_id").alias("_chosen"), F.col("_digest").alias("_chosen_digest"))
+        marked = df.withColumn("_digest", text_digest(text))
+        return marked.join(side, F.col(key).cast("long").eqNullSafe(F.col("_chosen")) & F.col("_digest").eqNullSafe(F.col("_chosen_digest")), "left_semi")
+
+    out = of(chosen.filter("_rows = 1"))
+    repeated = chosen.filter("_rows > 1")
+    if repeated.limit(1).count():
+        out = out.union(of(repeated).dropDuplicates([key, "_digest"]))
+    return out.drop("_digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

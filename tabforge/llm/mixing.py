@@ -40,6 +40,10 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def words_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, share: float, weights: Sequence[int], cap: int) -> DataFrame:
     """One row per source: ``source, source_size, target``. ``sizes`` has ``source, source_size``."""
     numbered = positions(sizes, [], [F.col("source").asc_nulls_last()], "_at")
@@ -84,8 +88,7 @@ def pareto_mix(
     share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: int = 2, seed: int = 17,
 ) -> DataFrame:
     """Per row: ``key, source, size, source_size, target, copies, taken``."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = keep(df.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size")))
+    docs = keep(df.select(F.col(key).alias("_key"), F.col(source).alias("source"), words_of(text).alias("size")))
     docs = docs.withColumn("_bits", F.length(F.bin("size")).cast("long"))
     classes = keep(docs.groupBy("source", "_bits").agg(F.sum("size").alias("_words")))
     targets = keep(source_targets(keep(classes.groupBy("source").agg(F.sum("_words").alias("source_size"))), share, weights, cap))
@@ -114,13 +117,30 @@ def pareto_mix(
         F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every row of ``df`` as often as it is taken. Rows that share a key are taken alike."""
-    plan = pareto_mix(df, key=key, **options).groupBy(F.col(key).alias("_k")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return (
-        df.join(plan, F.col(key).eqNullSafe(F.col("_k")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[f"`{c}`" for c in df.columns])
-    )
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as it is taken.
+
+    Rows of one key, source and size differ by one copy at most, and only where the border of the sample falls among them: those are
+    numbered by the digest of their text, and the first ones take the copy more.
+    """
+    of = ["_key", "_source", "_size"]
+    plan = pareto_mix(df, key=key, text=text, source=source, **options).select(
+        F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    plan = plan.groupBy(*of).agg(F.min("copies").alias("_copies"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("_more"))
+    plan = keep(plan.filter("_copies > 0 OR _more > 0"))
+    rows = df.withColumns({"_key": F.col(key), "_source": F.col(source), "_size": words_of(text)})
+    even = plan.filter("_more = 0").withColumnsRenamed({c: f"_p{c}" for c in of})
+    match = F.lit(True)
+    for c in of:
+        match = match & F.col(c).eqNullSafe(F.col(f"_p{c}"))
+    parts = [rows.join(even, match)]
+    border = plan.filter("_more > 0")
+    if border.limit(1).count():
+        few = positions(lookup_join(rows, border, of, "inner"), of, [F.md5(F.col(text).cast("binary"))], "_at")
+        parts.append(few.withColumn("_copies", F.col("_copies") + (F.col("_at") <= F.col("_more")).cast("long")).filter("_copies > 0"))
+    columns = [f"`{c}`" for c in df.columns]
+    parts = [p.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns) for p in parts]
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
 SQL = r"""

@@ -176,6 +176,33 @@ def test_mix_edges(odd, none):
     assert mixing.pareto_mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_one_row_of_each_group(spark, odd, none):
+    text = [" ".join(f"w{n}x{i}" for i in range(40)) for n in range(5)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (2, text[0] + " end"), (None, text[0]), (None, text[2]), (None, text[2]), (None, text[2] + " end"),
+            (7, text[3]), (None, text[3]), (8, None), (8, None), (8, ""), (9, text[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minmax_dedup.deduplicated(df).collect()
+    assert collections.Counter(r.doc_id for r in got) == {1: 2, None: 1, 7: 1, 8: 2, 9: 1}
+    assert {r.text[:3] for r in got if r.text} == {"w0x", "w1x", "w2x", "w3x", "w4x"}
+    assert minmax_dedup.deduplicated(odd).count() == len(ODD) - 1 and minmax_dedup.deduplicated(none).count() == 0
+
+
+def test_mix_of_shared_keys(spark):
+    random.seed(5)
+    rows = [(random.choice([None, None, 1, 2, i]), " ".join("w" * random.choice([3, 20, 20, i % 50])), random.choice("abc")) for i in range(10, 400)]
+    rows += [(None, f"x{i} " * 20, random.choice("abc")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.pareto_mix(df).collect()
+    count = lambda rows: collections.Counter({k: n for k, n in rows.items() if n})
+    want = collections.Counter()
+    for r in plan:
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = mixing.mixed(df).collect()
+    assert collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in got) == count(want)
+    assert any(len({r.copies for r in plan if (r.doc_id, r.source, r.size) == k}) == 2 for k in want)  # a border among equal rows
+    assert max(collections.Counter((r.doc_id, r.text, r.source) for r in got if r.text.startswith("x")).values()) <= 2
+
+
 def test_order_minhash(spark, odd, none):
     texts = [(3, "alpha beta gamma delta " * 9), (1, "short"), (2, None), (9, "é" * 41), (5, "alpha beta gamma delta " * 9)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
