@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from tabforge.operators.models import positive_probability
 from tabforge.plans.scale import materialise
 
-# Venn-Abers tables have at most this many score knots; finer scores share a knot.
-MAX_KNOTS = 10_000
-
 
 class Sigmoid:
     """Logistic regression on the score (Platt)."""
@@ -114,10 +111,11 @@ class VennAbers:
         self.scores, self.table = list(scores), table
 
     @classmethod
-    def fit(cls, df: DataFrame, score: str, label: str, max_knots: int = MAX_KNOTS) -> VennAbers:
+    def fit(cls, df: DataFrame, score: str, label: str, max_knots: int | None = None) -> VennAbers:
+        """Every distinct score is a knot; only on demand (``max_knots``) finer scores share one. The table is built on the driver."""
         counted = materialise(df.groupBy(F.col(score).cast("double").alias("k")).agg(
             F.count(label).cast("double").alias("n"), F.sum(label).cast("double").alias("p")))
-        if counted.count() > max_knots:
+        if max_knots is not None and counted.count() > max_knots:
             shares = [i / max_knots for i in range(1, max_knots + 1)]
             edges = sorted(set(df.agg(F.percentile_approx(score, shares, 10 * max_knots)).first()[0]))
             cut = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="k", outputCol="_b")

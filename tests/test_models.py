@@ -211,6 +211,17 @@ def test_venn_abers_by_brute_force(spark):
         assert out[t] == pytest.approx(p1 / (1 - p0 + p1)), t
 
 
+def test_venn_abers_keeps_every_score(spark):
+    n = 12_000
+    rows = [((i + 0.5) / n, float((i * 7919) % n < i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s double, y double")
+    fitted = calibration.VennAbers.fit(df, "s", "y")
+    want = calibration.venn_abers_table([(s, 1.0, y) for s, y in rows])
+    assert fitted.scores == [s for s, _ in rows]
+    out = {r.s: r.p for r in fitted.transform(df, "s", "p").collect()}
+    assert all(out[s] == pytest.approx(p1 / (1 - p0 + p1)) for (s, _), (p0, p1) in zip(rows, want[1::2]))
+
+
 def test_many_scores_share_knots(spark):
     df = spark.range(3000).select((F.col("id") / 3000).alias("s"), (F.col("id") % 2 + F.col("id") > 1500).cast("double").alias("y"))
     out = calibration.VennAbers.fit(df, "s", "y", max_knots=50).transform(df, "s", "p")
