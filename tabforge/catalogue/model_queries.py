@@ -102,7 +102,7 @@ def _panel_vectors(spark, sf):
 def g06(spark, sf):
     data = table(spark, sf, "embeddings").select(
         "vec_id", F.col("label").cast("double").alias("label"), array_to_vector("embedding").alias("features"))
-    est = models.build("XGBM", {**_SPEC, "key": "vec_id"}, n_estimators=2, max_depth=3)
+    est = models.build("XGBM", {**_SPEC, "key": "vec_id"})
     return est.fit(data).transform(data).select("vec_id", "label", "prediction")
 
 
@@ -257,7 +257,7 @@ def training_run(spark, sf):
         "doc_id", "quality", "lang", "source", "n_chars", F.size(words("text")).alias("n_words"))
     halves = split.train_test_split(docs.filter("quality is not null"), "doc_id", 0.3)
     spec = {"key": "doc_id", "target": "quality", "factors": ["lang", "source"], "encoder": "target", "scaling": "standard",
-            "algorithms": ["LOGR", "RF"], "estimators": 10, "counts": False}
+            "algorithms": ["LOGR", "RF"], "counts": False}
     return train(spec, *halves).metrics
 
 
@@ -375,7 +375,7 @@ def z01(spark, sf):
 @query("g05_boosted_regression_xgbr")
 def g05r(spark, sf):
     data = _panel_vectors(spark, sf)
-    out = models.build("XGBR", {**_SPEC, "key": "event_id"}, n_estimators=3, max_depth=4).fit(data).transform(data)
+    out = models.build("XGBR", {**_SPEC, "key": "event_id"}).fit(data).transform(data)
     return out.select("event_id", "label", "prediction")
 
 

@@ -21,3 +21,13 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     out = entry.entry(spark)
     assert out.columns == ["algo", "partition", "metric", "value"] and out.count() == 12
+
+
+def test_model_queries_use_default_sizes():
+    import inspect
+
+    from tabforge.catalogue import model_queries
+
+    for query in (model_queries.g06, model_queries.g05r, model_queries.training_run):
+        code = inspect.getsource(query)
+        assert not any(word in code for word in ("n_estimators", "max_depth", "estimators\""))
