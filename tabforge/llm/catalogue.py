@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tabforge.llm import byte_bpe, language_id, minmax_dedup, mixing, order_minhash, secret_scan, substring_dedup, topk_search, url_filter, warc
+from tabforge.llm import (
+    byte_bpe, cover_join, hard_negatives, language_id, minmax_dedup, mixing, order_minhash, secret_scan, substring_dedup, topk_search, url_filter,
+    vector_codes, warc)
 
 QUERIES = {
     "op1_topk_search": topk_search.query,
@@ -16,6 +18,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_pareto_mix": mixing.query,
     "op10_minmax_dedup": minmax_dedup.query,
+    "op11_cover_join": cover_join.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_vector_codes": vector_codes.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,6 +30,9 @@ ORACLES = {
     "op4_url_filter": url_filter.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op9_pareto_mix": mixing.SQL,
+    "op11_cover_join": cover_join.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

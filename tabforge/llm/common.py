@@ -25,6 +25,16 @@ def keep(df: DataFrame) -> DataFrame:
     return materialise(df, columnar=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the files of a table written by ``keep`` that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/table-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys in which null equals null; the keys of ``left`` stay."""
     side = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
