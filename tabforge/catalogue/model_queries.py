@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
-from tabforge.catalogue.metric_queries import scored
+from tabforge.catalogue.metric_queries import _S, scored
 from tabforge.catalogue.registry import query, table
 from tabforge.functions.calendar import dateparts
 from tabforge.operators import calibration, curves, metrics, models, scaling, search, selection, sequence, split, unsupervised
@@ -152,19 +152,52 @@ def m06(spark, sf):
 # -- calibration -------------------------------------------------------------------
 
 
-def _calibrator(name, method):
+_KNOTS = f"""with {_S}, k as (select p as k, count(*)::double as n, sum(y)::double as s from s group by 1),
+c as (select *, row_number() over (order by k) as i, sum(n) over (order by k) as cn, sum(s) over (order by k) as cs from k)"""
+
+
+def _monotone(name, n, s):
+    """SQL: the increasing fit at each distinct score, the greatest over left ends of the least mean over right ends."""
+    return f"""{name}m as (select a.i as l, b.i as r, (b.cs - a.cs + a.s + {s}) / (b.cn - a.cn + a.n + {n}) as mean from c a join c b on b.i >= a.i),
+{name}l as (select l, r as i, min(mean) over (partition by l order by r rows between current row and unbounded following) as low from {name}m),
+{name} as (select i, max(low) as fit from {name}l group by i)"""
+
+
+_FITTED = "select l_orderkey, l_linenumber, l_partkey, p, round({}, 9) as calibrated from s join c on p = k"
+
+
+def _calibrated(df, method):
+    fitted = calibration.CALIBRATORS[method].fit(df, "p", "y")
+    return fitted.transform(df, "p", "calibrated").select("l_orderkey", "l_linenumber", "l_partkey", "p", F.round("calibrated", 9).alias("calibrated"))
+
+
+def _calibrator(name, method, sql=None):
+    @query(name, sql)
+    def run(spark, sf):
+        return _calibrated(scored(spark, sf).withColumn("y", F.col("y").cast("double")), method)
+
+    return run
+
+
+def _unrounded(name, method):
+    """Nearly every row has a score of its own."""
+
     @query(name)
     def run(spark, sf):
-        df = scored(spark, sf).withColumn("y", F.col("y").cast("double"))
-        fitted = calibration.CALIBRATORS[method].fit(df, "p", "y")
-        return fitted.transform(df, "p", "calibrated").select("l_orderkey", "l_linenumber", "l_partkey", "p", F.round("calibrated", 9).alias("calibrated"))
+        p = F.col("l_extendedprice") / 110_000 + F.col("l_discount") / 10 - F.col("l_tax") / 10
+        df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", p.alias("p"), (F.col("l_quantity") > 25).cast("double").alias("y"))
+        return _calibrated(df, method)
 
     return run
 
 
 _calibrator("b01_sigmoid", "sigmoid")
-_calibrator("b02_isotonic", "isotonic")
-_calibrator("b03_venn_abers", "vennabers")
+_calibrator("b02_isotonic", "isotonic", f"{_KNOTS}, {_monotone('f', 0, 0)} {_FITTED.format('fit')} join f using (i)")
+# the new score meets a knot: one row more there, with label 0 and with label 1
+_calibrator("b03_venn_abers", "vennabers", f"{_KNOTS}, {_monotone('f0', 1, 0)}, {_monotone('f1', 1, 1)} "
+            f"{_FITTED.format('f1.fit / (1 - f0.fit + f1.fit)')} join f0 using (i) join f1 using (i)")
+_unrounded("b02_isotonic_unrounded", "isotonic")
+_unrounded("b03_venn_abers_unrounded", "vennabers")
 
 
 # -- clusters, components ------------------------------------------------------------------

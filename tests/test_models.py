@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators import calibration, curves, metrics, models, search, split, unsupervised
 from tabforge.operators.neighbours import k_nearest
+from tabforge.plans import steps
 from tabforge.plans.training import load_run, train
 from tabforge.sources import io
 from tabforge.streaming.score import score_stream, write_scores
@@ -217,11 +218,65 @@ def test_venn_abers_keeps_every_score(spark):
     df = spark.createDataFrame(rows, "s double, y double")
     fitted = calibration.VennAbers.fit(df, "s", "y")
     want = calibration.venn_abers_table([(s, 1.0, y) for s, y in rows])
-    assert fitted.scores == [s for s, _ in rows]
+    assert fitted.steps.table.count() == n + 1 and len(fitted.steps.cuts) <= steps.CUTS
     out = {r.s: r.p for r in fitted.transform(df, "s", "p").collect()}
     assert all(out[s] == pytest.approx(p1 / (1 - p0 + p1)) for (s, _), (p0, p1) in zip(rows, want[1::2]))
 
 
+def _noisy(n, seed, digits=None):
+    rng = np.random.default_rng(seed)
+    s = rng.random(n) if digits is None else np.round(rng.random(n), digits)
+    return [(float(a), float(b)) for a, b in zip(s, rng.random(n) < s**2)]
+
+
+@pytest.mark.parametrize("rows, range_rows", [
+    (_noisy(500, 1), 131_072), (_noisy(500, 1), 7), (_noisy(700, 2, 2), 5), ([(float(i), float(i < 40)) for i in range(80)], 3),
+    ([(float(i), float(i >= 40)) for i in range(80)], 3), ([(1.0, 1.0)], 5)])
+def test_isotonic_equals_plain_pooling(spark, rows, range_rows):
+    """Ranges merged eight at a time give the fit of one list; scores between blocks are interpolated."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    df = spark.createDataFrame(rows, "s double, y double")
+    fitted = calibration.Isotonic.fit(df, "s", "y", range_rows=range_rows)
+    s, y = [a for a, _ in rows], [b for _, b in rows]
+    out = {r.s: r.p for r in fitted.transform(df, "s", "p").collect()}
+    assert all(out[a] == pytest.approx(_isotonic_at(s, y, [1.0] * len(s), a)) for a in set(s))
+    probe = spark.createDataFrame([(float(x),) for x in np.linspace(-1, max(s) + 1, 97)] + [(None,), (float("nan"),)], "s double")
+    spans = IsotonicRegression(featuresCol="s", labelCol="y", predictionCol="p").fit(df)
+    want = {r.s: r.p for r in spans.transform(probe.filter("s is not null and not isnan(s)")).collect()}
+    got = [(r.s, r.p) for r in fitted.transform(probe, "s", "p").collect()]
+    assert sum(p is None for _, p in got) == 2 and all(p == pytest.approx(want[x]) for x, p in got if p is not None)
+
+
+@pytest.mark.parametrize("rows, range_rows", [(_noisy(900, 3), 4), (_noisy(600, 4, 2), 11), ([(float(i), float(i < 150)) for i in range(300)], 6)])
+def test_venn_abers_of_many_ranges_equals_one(spark, rows, range_rows, tmp_path):
+    df = spark.createDataFrame(rows, "s double, y double")
+    probe = spark.createDataFrame([(x,) for x in {a for a, _ in rows} | {float(x) for x in np.linspace(-1, 310, 400)} | {float(x) for x in np.linspace(0, 1, 300)}], "s double")
+    one = calibration.VennAbers.fit(df, "s", "y")
+    many = calibration.VennAbers.fit(df, "s", "y", range_rows=range_rows)
+    many.save(str(tmp_path / "v"))
+    many = calibration.VennAbers.load(str(tmp_path / "v"))
+    a, b = ({r.s: r.p for r in m.transform(probe, "s", "p").collect()} for m in (one, many))
+    assert len(a) == probe.count() and all(a[x] == pytest.approx(b[x]) for x in a)
+    knots = sorted({x for x, _ in rows})
+    table = calibration.venn_abers_table([(k, float(sum(x == k for x, _ in rows)), sum(y for x, y in rows if x == k)) for k in knots])
+    assert all(a[k] == pytest.approx(p1 / (1 - p0 + p1)) for k, (p0, p1) in zip(knots, table[1::2]))
+
+
+def test_steps_with_many_cuts(spark, monkeypatch):
+    """Several cuts, several ranges between two cuts, tables too large to broadcast."""
+    monkeypatch.setattr(steps, "CUTS", 5)
+    monkeypatch.setattr(steps, "PER_CUT", 2)
+    monkeypatch.setattr(steps, "fits", lambda df: False)
+    rows = _noisy(800, 5)
+    df = spark.createDataFrame(rows, "s double, y double")
+    fitted = calibration.VennAbers.fit(df, "s", "y", range_rows=64)
+    assert len(fitted.steps.cuts) == 4
+    want = calibration.venn_abers_table([(a, 1.0, b) for a, b in sorted(rows)])
+    out = {r.s: r.p for r in fitted.transform(df, "s", "p").collect()}
+    assert len(out) == 800 and all(out[a] == pytest.approx(p1 / (1 - p0 + p1)) for (a, _), (p0, p1) in zip(sorted(rows), want[1::2]))
+
+
 def test_many_scores_share_knots(spark):
     df = spark.range(3000).select((F.col("id") / 3000).alias("s"), (F.col("id") % 2 + F.col("id") > 1500).cast("double").alias("y"))
     out = calibration.VennAbers.fit(df, "s", "y", max_knots=50).transform(df, "s", "p")
