@@ -1,8 +1,9 @@
-"""Exact nearest neighbours by blocks: bounded distance matrices, only k candidates leave each.
+"""Nearest neighbours: exact by cells of space, approximate by random projections.
 
-A small reference table is broadcast after its size is measured. A larger one is
-cut into bounded blocks; query blocks meet every reference block once (the work
-any exact search has), and each meeting passes on its k best per query row.
+A small reference table is broadcast after its size is measured. Points of a larger one are kept in the
+cells of pivots. A query first meets its own cell; its k-th distance there, the radii of the other cells and the borders
+between cells then tell which of them can hold a nearer point, and it is sent to those alone. Meetings are of
+bounded blocks, and each passes on its k best per query.
 """
 
 from __future__ import annotations
@@ -12,14 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabforge.plans.scale import fits, hash32
+from tabforge.plans.scale import fits, hash32, materialise
 
 QUERY_BLOCK = 4_096
 REFERENCE_BLOCK = 16_384
+PIVOTS = 4_096
 
 
 def _nearest(queries: np.ndarray, points: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,78 +41,178 @@ def _nearest(queries: np.ndarray, points: np.ndarray, keys: np.ndarray, k: int)
     return d, chosen
 
 
+def _best(qk: np.ndarray, qx: np.ndarray, pk: np.ndarray, px: np.ndarray, pv: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest points of each query of a block."""
+    out_q, out_p, out_v, out_d = [], [], [], []
+    for a in range(0, len(qk), QUERY_BLOCK):
+        d, chosen = _nearest(qx[a : a + QUERY_BLOCK], px, pk, k + exclude_self)
+        for i, pick in enumerate(chosen):
+            pick = (pick[pk[pick] != qk[a + i]] if exclude_self else pick)[:k]
+            out_q.append(np.full(len(pick), qk[a + i]))
+            out_p.append(pk[pick])
+            out_v.append(pv[pick])
+            out_d.append(d[i, pick])
+    cat = lambda x, t: np.concatenate(x) if x else np.array([], dtype=t)
+    return pd.DataFrame({"_q": cat(out_q, "int64"), "_p": cat(out_p, "int64"), "_v": cat(out_v, float), "_d": cat(out_d, float)})
+
+
+def _top(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query among candidates: every task passes on at most k of each, then they are merged."""
+    order = W.partitionBy("_q").orderBy("_d", "_p")
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
+
+
+class Cells:
+    """A partition of space by pivots: a point belongs to the cell of its nearest pivot, a cell's radius covers its points.
+
+    No point of cell j is nearer to x than d(x, pivot j) - radius j; and none is nearer than
+    (d(x, pivot j)^2 - d(x, pivot i)^2) / (2 d(pivot i, pivot j)), the distance to the border, for x in cell i.
+    """
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        self.between = np.sqrt(_squares(centres, centres))
+
+    def home(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest pivot and distance to it."""
+        d = _squares(rows, self.centres)
+        cell = d.argmin(axis=1)
+        return cell, np.sqrt(d[np.arange(len(rows)), cell])
+
+    def reached(self, rows: np.ndarray, radii: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for the cells other than a row's own that can hold a point within its limit; empty cells have radius -inf."""
+        d = _squares(rows, self.centres)
+        cell = d.argmin(axis=1)
+        own = d[np.arange(len(rows)), cell]
+        border = (d - own[:, None]) / np.maximum(2 * self.between[cell], 1e-300)
+        least = np.maximum(np.sqrt(d) - radii[None, :], border)
+        # distances come from differences of squares: a margin keeps ties and near ties
+        scale = np.sqrt((rows**2).sum(axis=1))[:, None] + np.abs(self.centres).max(initial=0) + 1
+        near = (least <= limit[:, None] + 1e-6 * scale) & (radii > -np.inf)[None, :]
+        near[np.arange(len(rows)), cell] = False
+        return np.nonzero(near)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0.0)
+
+
+def _cells_join(q: DataFrame, p: DataFrame, k: int, block: int, n_points: int, exclude_self: bool) -> DataFrame:
+    """Candidates by cells: every query meets its own cell, then only the cells that can still hold one of its k nearest."""
+    spark = q.sparkSession
+    schema = "_q long, _p long, _v double, _d double"
+    wanted = min(PIVOTS, max(1, math.ceil(2 * n_points / block)))
+    # a bounded choice by hash; it decides where points are kept, not which are found
+    chosen = p.orderBy(hash32("_p"), "_p").limit(wanted).select("_z").collect()
+    shared = spark.sparkContext.broadcast(Cells(np.unique(np.array([r[0] for r in chosen], dtype=float), axis=0)))
+
+    def celled(df: DataFrame, vector: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    cell, gap = shared.value.home(np.stack(b[vector].to_numpy()))
+                    yield b.assign(_cell=cell.astype("int32"), _gap=gap)
+
+        return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_gap", T.DoubleType())]))
+
+    q, p = (materialise(celled(df, vector), columnar=True) for df, vector in ((q, "_x"), (p, "_z")))
+    sizes = {r["_cell"]: r for r in p.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("radius")).collect()}  # a row per pivot
+    radii = np.full(len(shared.value.centres), -np.inf)
+    for cell, r in sizes.items():
+        radii[cell] = r["radius"]
+    # a cell with more points than a block is cut by hash, and so are the queries that visit it
+    cuts = spark.createDataFrame([(c, math.ceil(r["n"] / block)) for c, r in sizes.items()], "_cell int, _cuts long")
+    points = p.join(F.broadcast(cuts), "_cell").withColumn("_cut", F.pmod(hash32("_p"), F.col("_cuts"))).select("_cell", "_cut", "_p", "_z", "_v")
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return _best(np.array([], "int64"), None, None, None, None, k, exclude_self)
+        return _best(a["_q"].to_numpy(), np.stack(a["_x"].to_numpy()), b["_p"].to_numpy(), np.stack(b["_z"].to_numpy()), b["_v"].to_numpy(), k, exclude_self)
+
+    def visited(visits: DataFrame) -> DataFrame:
+        visits = materialise(visits, columnar=True)
+        lots = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("_lots"))
+        lots = lots.join(cuts, "_cell")
+        left = visits.join(F.broadcast(lots), "_cell").withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
+        left = left.withColumn("_lot", F.pmod(hash32("_q", 1), F.col("_lots"))).select("_cell", "_cut", "_lot", "_q", "_x")
+        right = points.join(F.broadcast(lots.select("_cell", "_lots")), "_cell")
+        right = right.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1))).select("_cell", "_cut", "_lot", "_p", "_z", "_v")
+        keys = ["_cell", "_cut", "_lot"]
+        return materialise(_top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema), k), columnar=True)
+
+    first = visited(q.select("_q", "_x", "_cell"))
+    limits = first.groupBy("_q").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("_d"))).alias("_limit"))
+    open_ = q.select("_q", "_x").join(limits, "_q", "left")
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                some = b.iloc[at : at + 1024]
+                row, cell = shared.value.reached(np.stack(some["_x"].to_numpy()), radii, some["_limit"].fillna(np.inf).to_numpy())
+                yield pd.DataFrame({"_q": some["_q"].to_numpy()[row], "_x": some["_x"].to_numpy()[row], "_cell": cell.astype("int32")})
+
+    second = visited(open_.mapInPandas(others, "_q long, _x array<double>, _cell int"))
+    return first.union(second)
+
+
 def k_nearest(
     queries: DataFrame, points: DataFrame, features: str, query_key: str, point_key: str, value: str, k: int,
-    block: int = REFERENCE_BLOCK, broadcast: bool | None = None,
+    block: int = REFERENCE_BLOCK, broadcast: bool | None = None, exclude_self: bool = True,
 ) -> DataFrame:
-    """(query_key, point_key, value, distance) of the k nearest points of each query row, the row itself excluded.
+    """(query_key, point_key, value, distance) of the k nearest points of each query row; ties go to the smaller key.
 
-    Keys are integers; a point with the query's own key is not its neighbour.
+    Keys are integers; with ``exclude_self`` a point with the query's own key is not its neighbour.
     """
     q = queries.select(F.col(query_key).cast("long").alias("_q"), vector_to_array(features).alias("_x"))
     p = points.select(F.col(point_key).cast("long").alias("_p"), vector_to_array(features).alias("_z"), F.col(value).cast("double").alias("_v"))
-    schema = "_q long, _p long, _v double, _d double"
-
-    def best(qk, qx, pk, px, pv) -> pd.DataFrame:
-        out_q, out_p, out_v, out_d = [], [], [], []
-        for a in range(0, len(qk), QUERY_BLOCK):
-            part = qx[a : a + QUERY_BLOCK]
-            d, chosen = _nearest(part, px, pk, k + 1)
-            for i, pick in enumerate(chosen):
-                pick = pick[pk[pick] != qk[a + i]][:k]
-                out_q.append(np.full(len(pick), qk[a + i]))
-                out_p.append(pk[pick])
-                out_v.append(pv[pick])
-                out_d.append(d[i, pick])
-        cat = lambda x, t: np.concatenate(x) if x else np.array([], dtype=t)
-        return pd.DataFrame({"_q": cat(out_q, "int64"), "_p": cat(out_p, "int64"), "_v": cat(out_v, float), "_d": cat(out_d, float)})
-
     n_points = p.count()
     if broadcast is None:
         broadcast = n_points <= block and fits(p)
-    if broadcast:
+    if broadcast or not n_points:
         rows = p.toPandas()
         shared = queries.sparkSession.sparkContext.broadcast(
-            (rows["_p"].to_numpy(), np.stack(rows["_z"].to_numpy()), rows["_v"].to_numpy()))
+            (rows["_p"].to_numpy(), np.stack(rows["_z"].to_numpy()) if len(rows) else None, rows["_v"].to_numpy()))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pk, px, pv = shared.value
             for b in batches:
-                if len(b):
-                    yield best(b["_q"].to_numpy(), np.stack(b["_x"].to_numpy()), pk, px, pv)
+                if len(b) and len(pk):
+                    yield _best(b["_q"].to_numpy(), np.stack(b["_x"].to_numpy()), pk, px, pv, k, exclude_self)
 
-        near = q.mapInPandas(search, schema)
+        near = q.mapInPandas(search, "_q long, _p long, _v double, _d double")
     else:
-        cuts = max(1, math.ceil(n_points / block))
-        lots = max(1, math.ceil(q.count() / block))
-        left = q.withColumn("_lot", (hash32("_q") % lots).cast("int")).withColumn(
-            "_cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
-        right = p.withColumn("_cut", (hash32("_p") % cuts).cast("int")).withColumn(
-            "_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+        near = _cells_join(q, p, k, block, n_points, exclude_self)
+    return _top(near, k).select(F.col("_q").alias(query_key), F.col("_p").alias("neighbour"), F.col("_v").alias("value"), F.sqrt("_d").alias("distance"))
 
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return best(np.array([], "int64"), None, None, None, None)
-            return best(a["_q"].to_numpy(), np.stack(a["_x"].to_numpy()), b["_p"].to_numpy(), np.stack(b["_z"].to_numpy()), b["_v"].to_numpy())
 
-        near = left.groupBy("_lot", "_cut").cogroup(right.groupBy("_lot", "_cut")).applyInPandas(meet, schema)
-    order = F.array_sort(F.collect_list(F.struct("_d", "_p", "_v")))
-    top = near.groupBy("_q").agg(F.slice(order, 1, k).alias("_n"))
-    return top.select(F.col("_q").alias(query_key), F.inline("_n")).select(
-        query_key, F.col("_p").alias("neighbour"), F.col("_v").alias("value"), F.sqrt("_d").alias("distance"))
+def lsh_nearest(
+    queries: DataFrame, points: DataFrame, features: str, query_key: str, point_key: str, value: str, k: int, radius: float,
+    bucket_length: float, tables: int = 8, seed: int = 42, exclude_self: bool = True,
+) -> DataFrame:
+    """The k nearest points within ``radius`` that share a bucket of random projections with the query: approximate, never farther than asked.
+
+    Wider buckets and more tables find more and compare more.
+    """
+    q = queries.select(F.col(query_key).cast("long").alias("_q"), F.col(features).alias("_f"))
+    p = points.select(F.col(point_key).cast("long").alias("_p"), F.col(features).alias("_f"), F.col(value).cast("double").alias("_v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(p)
+    near = lsh.approxSimilarityJoin(q, p, radius, distCol="_dist").select("datasetA._q", "datasetB._p", "datasetB._v", F.col("_dist").alias("_d"))
+    near = near.filter("_q <> _p") if exclude_self else near
+    return _top(near, k).select(F.col("_q").alias(query_key), F.col("_p").alias("neighbour"), F.col("_v").alias("value"), F.col("_d").alias("distance"))
 
 
 class NeighbourModel:
     """k nearest training rows decide: vote (smallest class on ties) or mean; rows need an integer key."""
 
-    def __init__(self, points: DataFrame, features: str, value: str, key: str, k: int, classify: bool, weights: str = "uniform"):
+    def __init__(self, points: DataFrame, features: str, value: str, key: str, k: int, classify: bool, weights: str = "uniform",
+                 exclude_self: bool = True):
         self.points, self.features, self.value, self.key = points, features, value, key
-        self.k, self.classify, self.weights = k, classify, weights
+        self.k, self.classify, self.weights, self.exclude_self = k, classify, weights, exclude_self
 
     def save(self, path: str) -> None:
         self.points.write.mode("overwrite").parquet(f"{path}/points")
-        rows = [(self.features, self.value, self.key, self.k, self.classify, self.weights)]
-        schema = "features string, value string, key string, k int, classify boolean, weights string"
+        rows = [(self.features, self.value, self.key, self.k, self.classify, self.weights, self.exclude_self)]
+        schema = "features string, value string, key string, k int, classify boolean, weights string, exclude_self boolean"
         self.points.sparkSession.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/note")
 
     @classmethod
@@ -116,7 +221,8 @@ class NeighbourModel:
         return cls(spark.read.parquet(f"{path}/points"), **spark.read.parquet(f"{path}/note").first().asDict())
 
     def transform(self, df: DataFrame) -> DataFrame:
-        near = k_nearest(df, self.points, self.features, self.key, self.key, self.value, self.k)
+        near = k_nearest(df, self.points, self.features, self.key, self.key, self.value, self.k,
+                         exclude_self=self.exclude_self)
         w = F.lit(1.0) if self.weights == "uniform" else 1 / F.greatest(F.col("distance"), F.lit(1e-12))
         near = near.withColumn("_w", w)
         if self.classify:

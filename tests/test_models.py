@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabforge.operators import calibration, curves, metrics, models, search, split, unsupervised
-from tabforge.operators.neighbours import k_nearest
+from tabforge.operators.neighbours import Cells, k_nearest, lsh_nearest
 from tabforge.plans import steps
 from tabforge.plans.training import load_run, train
 from tabforge.sources import io
@@ -131,6 +131,53 @@ def test_neighbour_blocks_equal_broadcast(points):
     assert one.select(cols).exceptAll(many.select(cols)).isEmpty()
 
 
+@pytest.mark.parametrize("spread, block", [(0.05, 60), (1.0, 40), (0.0, 30)])
+def test_neighbours_by_cells_equal_brute_force(spark, spread, block):
+    """Clusters, one cloud and copies of few points; other queries than points, whose keys are the same numbers."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((12, 3))
+    points = centres[rng.integers(0, 12, 500)] + spread * rng.standard_normal((500, 3))
+    asked = centres[rng.integers(0, 12, 150)] + spread * rng.standard_normal((150, 3))
+    frames = [unsupervised.assemble(spark.createDataFrame([(i, *map(float, r), float(i % 3)) for i, r in enumerate(rows)], "key long, a double, b double, c double, label double"),
+                                    ["a", "b", "c"]) for rows in (asked, points)]
+    for exclude in (True, False):
+        near = k_nearest(*frames, "features", "key", "key", "label", 6, block=block, broadcast=False, exclude_self=exclude)
+        got = {}
+        for r in near.collect():
+            got.setdefault(r.key, []).append((r.distance, r.neighbour))
+        for i, x in enumerate(asked):
+            d = np.sqrt(((points - x) ** 2).sum(axis=1))
+            want = sorted(d[j] for j in range(500) if not (exclude and j == i))[:6]
+            assert sorted(a for a, _ in got[i]) == pytest.approx(want, abs=1e-7)
+            assert all(d[j] == pytest.approx(a, abs=1e-7) for a, j in got[i])
+
+
+def test_queries_visit_only_cells_in_reach():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 2)) * 10
+    cells = Cells(centres)
+    points = centres[rng.integers(0, 40, 3000)] + 0.3 * rng.standard_normal((3000, 2))
+    home, gap = cells.home(points)
+    radii = np.full(40, -np.inf)
+    np.maximum.at(radii, home, gap)
+    limit = np.full(3000, 0.2)
+    row, cell = cells.reached(points, radii, limit)
+    assert len(row) < 0.1 * 3000 * 40
+    visits = set(zip(row.tolist(), cell.tolist()))
+    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)) if len(points) <= 3000 else None
+    for i, j in zip(*np.nonzero(d <= 0.2)):
+        assert home[i] == home[j] or (i, home[j]) in visits
+
+
+def test_lsh_neighbours_are_near(points):
+    data = unsupervised.assemble(points, COLS)
+    exact = {(r.key, r.neighbour) for r in k_nearest(data, data, "features", "key", "key", "label", 3).collect()}
+    found = lsh_nearest(data, data, "features", "key", "key", "label", 3, radius=5.0, bucket_length=4.0)
+    rows = found.collect()
+    assert all(r.distance < 5.0 and r.key != r.neighbour for r in rows)
+    assert len(exact & {(r.key, r.neighbour) for r in rows}) >= 0.9 * len(exact)
+
+
 def test_pairwise_ranker_equals_regression_over_all_pairs(points):
     pdf = points.toPandas()
     dx, dy = [], []
