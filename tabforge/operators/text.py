@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import uuid
+
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.operators.scaling import NULL_TEXT
-from tabforge.plans.scale import lookup_join, materialise
+from tabforge.plans.scale import lookup_join, materialise, prefix_sums, shared_folder
+
+# An input of fewer bytes a core is spread over the cores before its texts are split.
+SPREAD_BYTES = 64 * 1024 * 1024
 
 # Fixed value: a word is a run of two or more letters, digits or underscores.
 WORD = r"([\p{L}\p{N}_]{2,})"
@@ -40,44 +43,101 @@ def with_terms(df: DataFrame, text: str, output: str, ngrams_max: int = 1) -> Da
     return df.withColumn(output, F.concat(*parts)).drop(*parts)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Small inputs lie in a file or two: spread over the cores. Larger ones are read by many tasks as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def term_counts(df: DataFrame, text: str, output: str, ngrams_max: int = 1) -> DataFrame:
+    """Add the distinct terms of each text with their numbers, as array<struct<term, tf>>; counted inside the row, without a shuffle.
+
+    Sorted terms end a run where the next one differs; the places of the ends tell the lengths of the runs.
+    """
+    out = with_terms(df, text, "_terms", ngrams_max).withColumn("_sorted", F.sort_array("_terms"))
+    ends = F.zip_with("_sorted", F.slice("_sorted", F.lit(2), F.size("_sorted")), lambda a, b: F.struct(a.alias("term"), (b.isNull() | (a != b)).alias("last")))
+    out = out.withColumn("_ends", F.transform(ends, lambda x, i: F.when(x["last"], F.struct(x["term"].alias("term"), (i + 1).alias("upto")))))
+    out = out.withColumn("_runs", F.filter("_ends", lambda x: x.isNotNull()))
+    earlier = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda x: x["upto"]))
+    runs = F.zip_with("_runs", F.slice(earlier, F.lit(1), F.size("_runs")), lambda x, before: F.struct(x["term"].alias("term"), (x["upto"] - before).cast("long").alias("tf")))
+    return out.withColumn(output, runs).drop("_terms", "_sorted", "_ends", "_runs")
+
+
+def vocabulary(long: DataFrame, documents: int) -> DataFrame:
+    """(term, idf) of rows that hold each term of a document once: smooth inverse document frequency."""
+    frequency = long.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return frequency.select("term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def tf_idf(df: DataFrame, key: str, text: str, ngrams_max: int = 1) -> DataFrame:
     """(key, term, weight) with smooth inverse document frequency, each document of length one.
 
-    Texts are spread by document, once: counting and scaling a document's terms
-    then need no further shuffle. The vocabulary stays a table, so it may be of
-    any size; frequent terms are counted by partial aggregates and their join is
-    a checked lookup.
+    Terms are counted inside each row, once, and written as a table. Frequencies are partial aggregates shuffled by term;
+    the vocabulary stays a table, so it may be of any size, and its join is a checked lookup. Rows of one key are one
+    document.
     """
-    listed = with_terms(df.select(key, text).repartition(key), text, "_terms", ngrams_max)
-    # the outer form keeps the planner from testing every text for words before the spread
-    long = listed.select(key, F.explode_outer("_terms").alias("term")).filter("term is not null")
-    counts = long.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    documents = df.count()
-    frequency = materialise(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    idf = F.log((1 + documents) / (1 + F.col("df"))) + 1
-    weighted = lookup_join(counts, frequency, "term", "inner").select(key, "term", (F.col("tf") * idf).alias("_w"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("_w") / length).alias("weight"))
+    kept = materialise(term_counts(_spread(df.select(key, text)), text, "_counts", ngrams_max).select(key, "_counts"), columnar=True)
+    documents = kept.count()
+    long = kept.select(key, F.inline("_counts"))
+    if not kept.groupBy(key).count().filter("count > 1").isEmpty():
+        long = long.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    idf = materialise(vocabulary(long, documents))
+    weighted = lookup_join(long, idf, "term", "inner").select(key, "term", (F.col("tf") * F.col("idf")).alias("_w"))
+    # a document's terms lie together, so its length is nearly whole before the shuffle
+    lengths = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_length"))
+    return lookup_join(weighted, materialise(lengths), key, "inner").select(key, "term", (F.col("_w") / F.col("_length")).alias("weight"))
 
 
 class TextVectors:
-    """TF-IDF as a sparse vector column, for model input; the vocabulary is held by every task."""
+    """TF-IDF as a sparse vector column, for model input.
 
-    def __init__(self, model):
-        self.model = model
+    The vocabulary is a table of terms, their numbers (running counts in the order of terms) and frequencies; vectors come from a join by term
+    and an aggregate per row. Neither the driver nor a task holds the vocabulary, unless it was measured to be small enough
+    to broadcast. Rows are written once with a number of their own, vectors are read back from a table.
+    """
+
+    def __init__(self, terms: DataFrame, output: str, size: int):
+        self.terms, self.output, self.size = terms, output, size
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, output: str, ngrams_max: int = 1) -> TextVectors:
-        tokens = with_terms(df.select(text), text, f"_{text}_terms", ngrams_max)
-        vocabulary = tokens.select(F.explode(f"_{text}_terms").alias("t")).distinct().count()
-        counter = CountVectorizer(inputCol=f"_{text}_terms", outputCol=f"_{text}_tf", vocabSize=max(vocabulary, 1), minDF=1.0)
-        counted = counter.fit(tokens)
-        idf = IDF(inputCol=f"_{text}_tf", outputCol="_idf").fit(counted.transform(tokens)).idf
-        scale = ElementwiseProduct(
-            inputCol=f"_{text}_tf", outputCol=f"_{text}_w", scalingVec=Vectors.dense(idf.toArray() + 1.0))
-        return cls(Pipeline(stages=[counted, scale, Normalizer(inputCol=f"_{text}_w", outputCol=output, p=2.0)]).fit(
-            tokens))
+        counts = materialise(term_counts(_spread(df.select(text)), text, "_counts", ngrams_max).select("_counts"), columnar=True)
+        found = materialise(vocabulary(counts.select(F.inline("_counts")), counts.count()), columnar=True)
+        numbered = prefix_sums(found, [], [F.col("term")], {"number": F.lit(1).cast("long")})
+        terms = materialise(numbered.withColumn("number", F.col("number") - 1), columnar=True)
+        size = terms.count()
+        if size >= 1 << 31:
+            raise ValueError("a vector has fewer than 2^31 places")
+        return cls(terms, output, max(size, 1))
+
+    def save(self, path: str) -> None:
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.terms.sparkSession.createDataFrame([(self.output, self.size)], "output string, size int").write.mode("overwrite").parquet(f"{path}/note")
+
+    @classmethod
+    def load(cls, path: str) -> TextVectors:
+        spark = SparkSession.active()
+        note = spark.read.parquet(f"{path}/note").first()
+        return cls(spark.read.parquet(f"{path}/terms"), note["output"], note["size"])
 
     def transform(self, df: DataFrame, text: str, ngrams_max: int = 1) -> DataFrame:
-        out = self.model.transform(with_terms(df, text, f"_{text}_terms", ngrams_max))
-        return out.drop(f"_{text}_terms", f"_{text}_tf", f"_{text}_w")
+        if df.isStreaming:
+            raise ValueError("text vectors regroup rows, which a stream cannot offer: score its batches")
+        rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), columnar=True)
+        long = term_counts(rows.select("_row", text), text, "_counts", ngrams_max).select("_row", F.inline("_counts"))
+        weighted = lookup_join(long, self.terms, "term", "inner")
+        places = F.array_sort(F.collect_list(F.struct(F.col("number").cast("int").alias("number"), (F.col("tf") * F.col("idf")).alias("w"))))
+        sparse = weighted.groupBy("_row").agg(places.alias("_places"))
+        length = F.sqrt(F.aggregate("_places", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        vectors = sparse.withColumn("_length", length).select("_row", F.transform("_places", lambda x: x["number"]).alias("_indices"),
+                                                              F.transform("_places", lambda x: x["w"] / F.col("_length")).alias("_values"))
+        # the fields of a vector, as it is stored
+        fields = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"),
+                          F.coalesce("_indices", F.array().cast("array<int>")).alias("indices"), F.coalesce("_values", F.array().cast("array<double>")).alias("values"))
+        out = rows.join(vectors, "_row", "left").withColumn(self.output, fields).drop("_row", "_indices", "_values")
+        path = f"{shared_folder(df.sparkSession)}/vectors-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        schema = T.StructType([f for f in out.schema.fields if f.name != self.output] + [T.StructField(self.output, VectorUDT())])
+        return df.sparkSession.read.schema(schema).parquet(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import PCAModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -215,7 +214,7 @@ class FeaturePlan:
         state["stats"] = [[f, fill.values, sc.shift, sc.scale] for f, fill, sc in p["stats"]]
         state["vectors"] = list(p["vectors"])
         for c, v in p["vectors"].items():
-            v.model.write().overwrite().save(f"{path}/vectors_{p['text'].index(c)}")
+            v.save(f"{path}/vectors_{p['text'].index(c)}")
         for name in ("encoder", "codes"):
             part = p[name]
             kind = None
@@ -250,7 +249,7 @@ class FeaturePlan:
         p["stats"] = [
             (f, scaling.Fill(values, list(values)), scaling.Linear(shift, scale)) for f, values, shift, scale in state["stats"]
         ]
-        p["vectors"] = {c: TextVectors(PipelineModel.load(f"{path}/vectors_{p['text'].index(c)}")) for c in state["vectors"]}
+        p["vectors"] = {c: TextVectors.load(f"{path}/vectors_{p['text'].index(c)}") for c in state["vectors"]}
         for name in ("encoder", "codes"):
             kind = state[name]
             p[name] = None

@@ -20,6 +20,8 @@ def score_stream(run: Run, stream: DataFrame) -> DataFrame:
     lagged = [c for c in stream.columns + run.plan.parts["base"] if "[-" in c]
     if lagged:
         raise ValueError(f"lagged features cannot be made on a stream: {lagged[:3]}")
+    if run.plan.parts["vectors"]:
+        raise ValueError("text vectors regroup rows, which a stream cannot offer: use write_batches")
     key = run.spec["key"]
     model = next((m for m in run.models if m.algo == run.best), run.models[0])
     return model.scores(run.plan.transform(stream), key).withColumn("scored_at", F.current_timestamp())
@@ -29,3 +31,12 @@ def write_scores(scores: DataFrame, path: str, checkpoint: str, once: bool = Fal
     """Append scores to a Parquet folder, exactly once per input row."""
     writer = scores.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def write_batches(run: Run, stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Score a stream batch by batch, with any features of single rows; a batch that runs again replaces its own folder."""
+    def score(batch: DataFrame, number: int) -> None:
+        run.score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

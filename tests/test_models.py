@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabforge.operators import calibration, curves, metrics, models, search, split, unsupervised
+from tabforge.operators import calibration, curves, metrics, models, search, split, text, unsupervised
 from tabforge.operators.neighbours import Cells, k_nearest, lsh_nearest
 from tabforge.plans import steps
 from tabforge.plans.training import load_run, train
@@ -394,6 +394,30 @@ def test_text_features_and_unlabelled_rows(spark):
     assert run.metrics.filter("partition = 'test'").isEmpty() and run.best == "LOGR"
 
 
+def test_text_vectors_equal_term_weights(spark, tmp_path):
+    """Numbers follow the sorted vocabulary; unseen terms have no place, texts without terms are empty vectors; repeated rows stay."""
+    texts = ["b a a c", "a d", "", None, "zz b b", "b a a c"]
+    df = spark.createDataFrame([(i, t and " ".join(w * 2 for w in t.split())) for i, t in enumerate(texts)], "key long, note string").fillna("nulltext")
+    fitted = text.TextVectors.fit(df, "note", "v", 2)
+    fitted.save(str(tmp_path / "v"))
+    fitted = text.TextVectors.load(str(tmp_path / "v"))
+    want = {(r.key, r.term): r.weight for r in text.tf_idf(df, "key", "note", 2).collect()}
+    terms = [r.term for r in fitted.terms.orderBy("number").collect()]
+    assert terms == sorted({t for _, t in want}) and [r.number for r in fitted.terms.orderBy("number").collect()] == list(range(len(terms)))
+    rows = fitted.transform(df.union(df.filter("key = 0")).union(spark.createDataFrame([(9, "new words only")], "key long, note string")), "note", 2).collect()
+    assert sorted(r.key for r in rows) == [0, 0, 1, 2, 3, 4, 5, 9]
+    for r in rows:
+        got = {(r.key, terms[i]): v for i, v in zip(r.v.indices, r.v.values)}
+        assert r.v.size == len(terms) and got == pytest.approx({k: w for k, w in want.items() if k[0] == r.key})
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb bb")], "key long, note string")
+    one = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb bb")], "key long, note string")
+    a, b = (sorted((r.key, r.term, r.weight) for r in text.tf_idf(d, "key", "note").collect()) for d in (df, one))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+
+
 # -- files ----------------------------------------------------------------------------------
 
 
