@@ -3,24 +3,30 @@
 Codes follow the sorted order of the categories, starting at 1. Categories
 unseen in training get the encoder's neutral value. A missing category is a
 category of its own. All listed columns are fitted in one pass.
+
+Contrast and one-hot encoders make a column per level, or, with ``vectors``, one
+vector column per factor: the fitted table then holds codes alone, and a row's
+vector follows from its code and the number of levels, which may be any.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.functions.vectors import sparse_vector
 from tabforge.operators.frame import quoted
 from tabforge.operators.variables import float_factor
 from tabforge.operators.scaling import fill_text
 from tabforge.plans.scale import lookup_join, materialise, prefix_sums
 
-# Contrast and one-hot encoders make a column per level; more levels than this are an error.
-MAX_LEVEL_COLUMNS = 2_000
-
 
 def _category(df: DataFrame, c: str, rounding: int | None) -> Column:
     """Category text; float factors are first reduced to their digits."""
@@ -121,19 +127,24 @@ class _Expanding(_Fitter):
     suffix = "e"
     default: object = 0
 
+    def __init__(self, columns: Sequence[str], target: str | None = None, rounding: int | None = None, keep: bool = False, vectors: bool = False):
+        super().__init__(columns, target, rounding, keep)
+        self.vectors = vectors
+
     def expressions(self, k: int) -> list[Column]:
         raise NotImplementedError
 
-    def fit(self, df: DataFrame) -> EncoderModel:
+    def fit(self, df: DataFrame) -> EncoderModel | LevelVectors:
         stats = self._stats(df)
+        codes = {c: materialise(_codes(stats, c)) for c in self.columns}
+        if self.vectors:
+            sizes = {c: t.count() for c, t in codes.items()}
+            return LevelVectors(self.suffix, {c: t.select("category", "code") for c, t in codes.items()}, sizes, self.rounding, self.keep)
         tables, outputs, defaults = {}, {}, {}
         for c in self.columns:
-            codes = materialise(_codes(stats, c))
-            exprs = self.expressions(codes.count())
-            if len(exprs) > MAX_LEVEL_COLUMNS:
-                raise ValueError(f"{c} would become {len(exprs)} columns")
-            names = [f"{c}_{self.suffix}{j}" for j in range(1, len(exprs) + 1)]
-            tables[c] = materialise(codes.select("category", *[e.alias(n) for e, n in zip(exprs, names)]))
+            exprs = self.expressions(codes[c].count())
+            names = [f"{c}_{self.suffix.partition('_')[0]}{j}" for j in range(1, len(exprs) + 1)]
+            tables[c] = materialise(codes[c].select("category", *[e.alias(n) for e, n in zip(exprs, names)]))
             outputs[c] = names
             defaults |= {n: self.default for n in names}
         return self._model(tables, outputs, defaults)
@@ -153,6 +164,8 @@ class BaseNEncoder(_Expanding):
 
     def __init__(self, columns: Sequence[str], base: int = 2, **kw):
         super().__init__(columns, **kw)
+        if self.vectors:
+            raise ValueError("digits are few columns, whatever the number of levels")
         self.base = base
 
     def expressions(self, k: int) -> list[Column]:
@@ -170,7 +183,6 @@ class BinaryEncoder(BaseNEncoder):
 
 
 class _Contrast(_Expanding):
-    suffix = "c"
     default = 0.0
 
     def expressions(self, k: int) -> list[Column]:
@@ -181,32 +193,144 @@ class _Contrast(_Expanding):
 
 
 class BackwardDifferenceEncoder(_Contrast):
+    suffix = "c_backdiff"
+
     def contrast(self, i: Column, j: int, k: int) -> Column:
         return F.when(i <= j, -(k - j) / k).otherwise(j / k)
 
 
 class HelmertEncoder(_Contrast):
+    suffix = "c_helmert"
+
     def contrast(self, i: Column, j: int, k: int) -> Column:
         return F.when(i <= j, -1.0).when(i == j + 1, float(j)).otherwise(0.0)
 
 
 class SumEncoder(_Contrast):
+    suffix = "c_sum"
+
     def contrast(self, i: Column, j: int, k: int) -> Column:
         return F.when(i == j, 1.0).when(i == k, -1.0).otherwise(0.0)
 
 
+def polynomial_row(level: int, k: int) -> np.ndarray:
+    """Orthonormal polynomials of degree 0..k-1 at one of the points 1..k.
+
+    The polynomials follow a three-term recurrence x P_j = b_{j+1} P_{j+1} + b_j P_{j-1} with b_j = j/2 sqrt((k^2 - j^2) / (4 j^2 - 1)), x centred.
+    Going up is stable while the values oscillate, up to degree sqrt(k^2 - 4 x^2); beyond, where they die away, going down from the highest
+    degree is. Both meet there.
+    """
+    x = level - (k + 1) / 2
+    j = np.arange(1, k, dtype=float)
+    b = np.concatenate([[0.0], j / 2 * np.sqrt((k * k - j * j) / (4 * j * j - 1)), [0.0]])
+    out = np.zeros(k)
+    turn = min(int(math.sqrt(max(k * k - 4 * x * x, 0.0))) + 1, k - 1)
+    before, at = 0.0, 1.0
+    out[0] = at
+    for d in range(turn):
+        before, at = at, (x * at - b[d] * before) / b[d + 1]
+        out[d + 1] = at
+    if turn < k - 1:
+        down = np.zeros(k)
+        after, at = 0.0, 1.0
+        down[k - 1] = at
+        for d in range(k - 1, turn - 1, -1):
+            after, at = at, (x * at - b[d + 1] * after) / b[d]
+            down[d - 1] = at
+            if abs(at) > 1e200:
+                down[d - 1:] *= 1e-200
+                after, at = after * 1e-200, at * 1e-200
+        pair = slice(turn - 1, turn + 1)
+        down /= np.abs(down[pair]).max()
+        down *= (out[pair] @ down[pair]) / (down[pair] @ down[pair])
+        out[turn:] = down[turn:]
+    return out / np.sqrt(out @ out)
+
+
+@functools.lru_cache(maxsize=256)
+def _contrasts(level: int, k: int) -> np.ndarray:
+    return polynomial_row(level, k)[1:]
+
+
 class PolynomialEncoder(_Contrast):
     """Orthonormal polynomials of the level index."""
 
+    suffix = "c_polynomial"
+
     def expressions(self, k: int) -> list[Column]:
-        if k < 2:
-            return []
-        x = np.arange(1, k + 1, dtype=float)
-        q, _ = np.linalg.qr(np.vander(x - x.mean(), k, increasing=True))
-        q = q * np.sign(q[-1])
+        q = np.array([polynomial_row(i, k) for i in range(1, k + 1)]).reshape(k, k)
         return [F.element_at(F.array(*[F.lit(float(v)) for v in q[:, j]]), F.col("code").cast("int")) for j in range(1, k)]
 
 
+def _polynomial(code: Column, k: int) -> Column:
+    @F.pandas_udf("array<double>")
+    def rows(codes: pd.Series) -> pd.Series:
+        return pd.Series([np.zeros(k - 1) if pd.isna(i) else _contrasts(int(i), k) for i in codes])
+
+    return array_to_vector(rows(code))
+
+
+def _dense(value: Callable[[Column, Column, int], Column]) -> Callable[[Column, int], Column]:
+    """A vector of contrasts from (code, column number, levels)."""
+    def made(code: Column, k: int) -> Column:
+        cells = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.when(code.isNull(), 0.0).otherwise(value(code, j, k).cast("double")))
+        return array_to_vector(cells if k > 1 else F.array().cast("array<double>"))
+
+    return made
+
+
+def _one_hot(code: Column, k: int) -> Column:
+    seen = code.isNotNull()
+    return sparse_vector(k, F.when(seen, F.array((code - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
+                         F.when(seen, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")))
+
+
+def _deviation(code: Column, k: int) -> Column:
+    none = F.array().cast("array<int>"), F.array().cast("array<double>")
+    last = (F.sequence(F.lit(0), F.lit(k - 2)), F.array_repeat(F.lit(-1.0), k - 1)) if k > 1 else none
+    one = F.array((code - 1).cast("int")), F.array(F.lit(1.0))
+    return sparse_vector(k - 1, *[F.when(code.isNull(), n).when(code == k, e).otherwise(o) for n, e, o in zip(none, last, one)])
+
+
+# What a level's vector is, from its code (null: unseen, all zeros) and the number of levels.
+LEVEL_VECTORS: dict[str, Callable[[Column, int], Column]] = {
+    "is": _one_hot,
+    "c_backdiff": _dense(lambda i, j, k: F.when(i <= j, -(k - j) / k).otherwise(j / k)),
+    "c_helmert": _dense(lambda i, j, k: F.when(i <= j, -1.0).when(i == j + 1, j.cast("double")).otherwise(0.0)),
+    "c_sum": _deviation,
+    "c_polynomial": _polynomial,
+}
+
+
+class LevelVectors:
+    """One vector column ``<factor>_levels`` per factor; tables hold the categories' codes."""
+
+    def __init__(self, kind: str, tables: dict[str, DataFrame], sizes: dict[str, int], rounding: int | None = None, keep: bool = False):
+        self.kind, self.tables, self.sizes, self.rounding, self.keep = kind, tables, sizes, rounding, keep
+        self.names = [f"{c}_levels" for c in tables]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for c, t in self.tables.items():
+            keyed = df.withColumn("_cat", _category(df, c, self.rounding))
+            keyed = keyed if self.keep else keyed.drop(c)
+            joined = lookup_join(keyed, t.select(F.col("category").alias("_cat"), F.col("code").alias("_code")), "_cat")
+            df = joined.withColumn(f"{c}_levels", LEVEL_VECTORS[self.kind](F.col("_code"), self.sizes[c])).drop("_cat", "_code")
+        return df
+
+    def save(self, path: str) -> None:
+        for i, t in enumerate(self.tables.values()):
+            t.write.mode("overwrite").parquet(f"{path}/table_{i}")
+        spark = next(iter(self.tables.values())).sparkSession
+        rows = [(i, c, self.sizes[c], self.kind, self.rounding, self.keep) for i, c in enumerate(self.tables)]
+        spark.createDataFrame(rows, "i int, c string, size int, kind string, rounding int, keep boolean").write.mode("overwrite").parquet(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LevelVectors:
+        meta = spark.read.parquet(f"{path}/levels").orderBy("i").collect()
+        tables = {r.c: spark.read.parquet(f"{path}/table_{r.i}") for r in meta}
+        return cls(meta[0].kind, tables, {r.c: r.size for r in meta}, meta[0].rounding, meta[0].keep)
+
+
 class HashingEncoder:
     """Indicator of the category's MD5 bucket, counted over all listed columns; nothing to fit."""
 
@@ -354,31 +478,29 @@ class CatBoostEncoder(_TargetFitter):
 
 
 class LabelModel:
-    """Codes 0..k-1 of the target's values in sorted order."""
+    """Codes 0..k-1 of the target's values in sorted order; a table of values and codes, however many."""
 
-    def __init__(self, target: str, labels: list):
-        self.target, self.labels = target, labels
+    def __init__(self, target: str, table: DataFrame):
+        self.target, self.table = target, table
 
     def transform(self, df: DataFrame) -> DataFrame:
-        y = quoted(self.target)
-        code = F.lit(None).cast("int")
-        for i, v in reversed(list(enumerate(self.labels))):
-            code = F.when(y == F.lit(v), F.lit(i)).otherwise(code)
-        return df.withColumn(self.target, code)
+        columns = df.columns
+        label, code = ("_" * (1 + max(map(len, columns))) + n for n in ("label", "code"))  # longer than any name of the table
+        side = self.table.withColumnsRenamed({"_label": label, "_code": code})
+        coded = lookup_join(df.withColumn(label, quoted(self.target)), side, label)
+        return coded.withColumn(self.target, F.col(code).cast("int")).select(*[quoted(c) for c in columns])
 
 
 class LabelEncoder:
     """Label encoding of a classification target."""
 
-    def __init__(self, target: str, max_classes: int = 1000):
-        self.target, self.max_classes = target, max_classes
+    def __init__(self, target: str):
+        self.target = target
 
     def fit(self, df: DataFrame) -> LabelModel:
-        values = df.select(quoted(self.target).alias("y")).filter("y is not null").distinct()
-        rows = values.orderBy("y").limit(self.max_classes + 1).collect()
-        if len(rows) > self.max_classes:
-            raise ValueError(f"{self.target} has more than {self.max_classes} classes")
-        return LabelModel(self.target, [r.y for r in rows])
+        values = df.select(quoted(self.target).alias("_label")).filter("_label is not null").distinct()
+        coded = prefix_sums(materialise(values), [], [F.col("_label")], {"_code": F.lit(1).cast("long")})
+        return LabelModel(self.target, materialise(coded.withColumn("_code", F.col("_code") - 1)))
 
 
 def factorize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Feature tests and feature selection.
 
-A test aggregates all features in one pass; only one number per feature (and
-class) reaches the driver.
+A test aggregates all features in one pass, per class and then over the classes;
+only a few numbers per feature reach the driver.
 """
 
 from __future__ import annotations
@@ -16,38 +16,39 @@ from pyspark.sql import functions as F
 from tabforge.functions.tails import chi2_tail, f_tail
 from tabforge.operators.frame import quoted
 from tabforge.operators.scaling import fit_standard
-
-MAX_CLASSES = 10_000
+from tabforge.plans.scale import materialise
 
 
 def _table(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, score double, pvalue double")
 
 
-def _class_sums(df: DataFrame, features: Sequence[str], y: str, squares: bool) -> list:
+def _class_sums(df: DataFrame, features: Sequence[str], y: str, squares: bool) -> DataFrame:
+    """A row per class: ``n`` and, per feature, the sum ``s0``, ``s1``, ... (and sum of squares ``q0``, ...)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(features):
         x = quoted(c).cast("double")
         aggs.append(F.sum(x).alias(f"s{i}"))
         if squares:
             aggs.append(F.sum(x * x).alias(f"q{i}"))
-    rows = df.groupBy(quoted(y).alias("y")).agg(*aggs).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{y} has more than {MAX_CLASSES} classes")
-    return rows
+    return df.groupBy(quoted(y).alias("y")).agg(*aggs)
 
 
 def f_classif(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
-    """One-way ANOVA F per feature between the classes of y. Values are centred first for accuracy."""
+    """One-way ANOVA F per feature between the classes of y. Values are centred first for accuracy; class sums are added up in Spark."""
     means = df.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     centred = df.select(quoted(y), *[(quoted(c) - F.lit(means[f"m{i}"])).alias(c) for i, c in enumerate(features)])
-    rows = _class_sums(centred, features, y, squares=True)
-    n, k = sum(r.n for r in rows), len(rows)
+    classes = _class_sums(centred, features, y, squares=True)
+    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")]
+    for i in range(len(features)):
+        s = F.col(f"s{i}")
+        aggs += [F.sum(f"q{i}").alias(f"q{i}"), F.sum(s).alias(f"s{i}"), F.sum(s * s / F.col("n")).alias(f"b{i}")]
+    row = classes.agg(*aggs).first()
+    n, k = row["n"], row["k"]
     out = []
     for i, c in enumerate(features):
-        total = sum(r[f"q{i}"] for r in rows)
-        grand = sum(r[f"s{i}"] for r in rows)
-        between = sum(r[f"s{i}"] ** 2 / r.n for r in rows) - grand * grand / n
+        total, grand = row[f"q{i}"], row[f"s{i}"]
+        between = row[f"b{i}"] - grand * grand / n
         within = total - grand * grand / n - between
         score = (between / (k - 1)) / (within / (n - k)) if within > 0 else math.inf
         out.append((c, float(score), f_tail(score, k - 1, n - k)))
@@ -70,14 +71,14 @@ def f_regression(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
 
 def chi2(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     """Chi-squared of class-wise feature sums against those expected from class shares."""
-    rows = _class_sums(df, features, y, squares=False)
-    n = sum(r.n for r in rows)
-    out = []
-    for i, c in enumerate(features):
-        total = sum(r[f"s{i}"] for r in rows)
-        score = sum((r[f"s{i}"] - r.n / n * total) ** 2 / (r.n / n * total) for r in rows) if total > 0 else 0.0
-        out.append((c, float(score), chi2_tail(score, len(rows) - 1)))
-    return _table(df, out)
+    classes = materialise(_class_sums(df, features, y, squares=False))
+    total = classes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(features))]).first()
+    gaps = []
+    for i in range(len(features)):
+        expected = F.col("n") / F.lit(total["n"]) * F.lit(total[f"s{i}"])
+        gaps.append(F.sum((F.col(f"s{i}") - expected) ** 2 / expected).alias(f"g{i}") if (total[f"s{i}"] or 0) > 0 else F.lit(0.0).alias(f"g{i}"))
+    row = classes.agg(F.count(F.lit(1)).alias("k"), *gaps).first()
+    return _table(df, [(c, float(row[f"g{i}"]), chi2_tail(row[f"g{i}"], total["k"] - 1)) for i, c in enumerate(features)])
 
 
 SCORERS: dict[str, Callable] = {"f_classif": f_classif, "f_regression": f_regression, "chi2": chi2}

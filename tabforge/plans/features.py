@@ -27,7 +27,7 @@ DEFAULTS: dict = {
     "encoder": "target", "rounding": 3, "sentinel": -1, "transforms": [], "counts": False, "log_transform": False,
     "pvalue_level": 0.05, "vectorize": False, "ngrams": 1, "scaling": "standard", "numpy": False, "scipy": False,
     "clustering": None, "pca": None, "interactions": None, "variance": None, "univariate": None,
-    "date": None, "group": None,
+    "date": None, "group": None, "level_vectors": False,
 }
 
 
@@ -82,7 +82,8 @@ class FeaturePlan:
         if factors:
             maker = encode.ENCODERS[s["encoder"]]
             supervised = issubclass(maker, encode._TargetFitter)
-            fitter = maker(factors, s["target"], rounding=s["rounding"]) if supervised else maker(factors, rounding=s["rounding"])
+            extra = {"vectors": True} if s["level_vectors"] and issubclass(maker, encode._Expanding) else {}
+            fitter = maker(factors, s["target"], rounding=s["rounding"]) if supervised else maker(factors, rounding=s["rounding"], **extra)
             p["encoder"] = fitter.fit(df)
             order = [quoted(c) for c in (s["date"], s["key"]) if c]
             encoded = fitter.fit_transform(df, order)
@@ -193,7 +194,7 @@ class FeaturePlan:
     def _finish(self, df: DataFrame) -> DataFrame:
         """Carried columns, the final feature columns and their vector."""
         p = self.parts
-        vectors = [f"_tv{i}" for i in range(len(p["vectors"]))]
+        vectors = [f"_tv{i}" for i in range(len(p["vectors"]))] + (p["encoder"].names if isinstance(p["encoder"], encode.LevelVectors) else [])
         if vectors:
             plain = ["_plain"] if p["final"] else []
             df = assemble(df, p["final"], "_plain") if plain else df
@@ -222,7 +223,7 @@ class FeaturePlan:
                 kind = ["hashing", part.columns, part.buckets, part.rounding]
             elif part is not None:
                 part.save(f"{path}/{name}")
-                kind = ["tables"]
+                kind = ["levels" if isinstance(part, encode.LevelVectors) else "tables"]
             state[name] = kind
         if p["clusters"]:
             state["clusters"] = list(p["clusters"].models)
@@ -255,6 +256,8 @@ class FeaturePlan:
             p[name] = None
             if kind and kind[0] == "hashing":
                 p[name] = encode.HashingEncoder(kind[1], kind[2], kind[3])
+            elif kind and kind[0] == "levels":
+                p[name] = encode.LevelVectors.load(spark, f"{path}/{name}")
             elif kind:
                 p[name] = encode.EncoderModel.load(spark, f"{path}/{name}")
         ks = state.get("clusters")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,78 @@ def test_blocked_positions_are_complete(spark):
     df = spark.range(1000).withColumn("g", F.lit("one"))
     got = scale.positions(df, ["g"], [F.desc("id")], "p", block_rows=64)
     assert got.filter(F.col("p") != 1000 - F.col("id")).isEmpty() and got.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["onehot", "backdiff", "helmert", "sum", "polynomial"])
+def test_level_vectors_equal_level_columns(spark, tmp_path, name):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(["d", "a", None, "b", "c", "a"])], "k long, c string")
+    new = df.union(spark.createDataFrame([(9, "zz")], df.schema))
+    maker = encode.ENCODERS[name]
+    columns = maker(["c"]).fit(df).transform(new)
+    made = [c for c in columns.columns if c != "k"]
+    fitted = maker(["c"], vectors=True).fit(df)
+    fitted.save(str(tmp_path / "v"))
+    vectors = encode.LevelVectors.load(spark, str(tmp_path / "v")).transform(new)
+    want = {r.k: [float(r[c]) for c in made] for r in columns.collect()}
+    got = {r.k: r.c_levels.toArray().tolist() for r in vectors.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert got[9] == [0.0] * len(made)
+
+
+@pytest.mark.parametrize("name", ["onehot", "backdiff", "helmert", "sum", "polynomial"])
+def test_fifty_thousand_levels(spark, name):
+    k = 50_000
+    df = spark.range(1, k + 1).select(F.format_string("%06d", "id").alias("c"))
+    fitted = encode.ENCODERS[name](["c"], vectors=True).fit(df)
+    levels = [1, 2, 400, 25_000, k - 1, k]
+    rows = fitted.transform(spark.createDataFrame([(i, f"{i:06d}") for i in levels] + [(0, "none")], "i long, c string")).collect()
+    got = {r.i: r.c_levels.toArray() for r in rows}
+    size = k if name == "onehot" else k - 1
+    assert all(len(v) == size for v in got.values()) and not got[0].any()
+    j = np.arange(1, k)
+    for i in levels:
+        if name == "onehot":
+            assert got[i].sum() == 1 and got[i][i - 1] == 1
+        elif name == "backdiff":
+            assert np.allclose(got[i], np.where(i <= j, -(k - j) / k, j / k))
+        elif name == "helmert":
+            assert np.allclose(got[i], np.where(i <= j, -1.0, np.where(i == j + 1, j, 0.0)))
+        elif name == "sum":
+            assert (got[i] == (np.full(k - 1, -1.0) if i == k else (j == i))).all()
+    if name == "polynomial":  # rows of an orthogonal matrix, but for its constant column
+        m = np.array([got[i] for i in levels])
+        assert np.allclose(m @ m.T + 1 / k, np.eye(len(levels)), atol=1e-9)
+
+
+def test_polynomials_are_orthonormal():
+    for k in (2, 5, 40, 700):
+        q = np.array([encode.polynomial_row(i, k) for i in range(1, k + 1)])
+        assert np.abs(q.T @ q - np.eye(k)).max() < 1e-12
+
+
+def test_many_classes(spark):
+    """Fifty thousand labels and classes: codes, ANOVA and chi-squared as plain arithmetic gives them."""
+    k = 50_000
+    rng = np.random.default_rng(1)
+    y = np.concatenate([np.arange(k), rng.integers(0, k, 30_000)])
+    x, z = rng.random(len(y)) + y / k, rng.integers(0, 9, len(y)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(y)), "y": 3 * y, "x": x, "z": z}))
+    coded = encode.LabelEncoder("y").fit(df).transform(df)
+    assert coded.columns == df.columns and dict(coded.dtypes)["y"] == "int"
+    assert coded.join(df.select("i", F.col("y").alias("w")), "i").filter("y * 3 <> w").isEmpty()
+    n, sizes = len(y), np.bincount(y)
+    sums = {c: np.bincount(y, weights=v) for c, v in (("x", x), ("z", z))}
+    anova = {r.feature: r.score for r in selection.f_classif(df, ["x", "z"], "y").collect()}
+    squared = {r.feature: r.score for r in selection.chi2(df, ["x", "z"], "y").collect()}
+    for c, v in (("x", x), ("z", z)):
+        between = (sums[c] ** 2 / sizes).sum() - v.sum() ** 2 / n
+        within = (v**2).sum() - v.sum() ** 2 / n - between
+        assert anova[c] == pytest.approx((between / (k - 1)) / (within / (n - k)), rel=1e-9)
+        expected = sizes / n * v.sum()
+        assert squared[c] == pytest.approx(((sums[c] - expected) ** 2 / expected).sum(), rel=1e-9)
+
+
+def test_labels_keep_null_and_unseen_values_null(spark):
+    fitted = encode.LabelEncoder("y").fit(spark.createDataFrame([("b",), ("a",), (None,)], "y string"))
+    rows = fitted.transform(spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7), (4, "c", 8)], "k int, y string, _code int")).orderBy("k").collect()
+    assert [(r.y, r._code) for r in rows] == [(0, 5), (1, 6), (None, 7), (None, 8)]
