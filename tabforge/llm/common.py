@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder (``spark.checkpoint.dir``) and read it back: read several times, survives lost executors."""
-    return materialise(df, columnar=True)
+    out = materialise(df, columnar=True)
+    for made in _scopes:
+        made.append(out)
+    return out
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that ``keep`` writes within; those still listed at the end are removed."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for table_ in made:
+            drop(table_)
 
 
 def drop(df: DataFrame) -> None:

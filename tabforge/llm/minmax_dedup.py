@@ -13,8 +13,8 @@ The rest. A bucket that still holds several components may hide a link between t
 prefixes: shingles in order of rarity, of which two similar sets share one among their first n - ceil(0.85 n) + 1, with length
 and position bounds; only pairs from different components are confirmed. Whatever the size of a bucket, no link is lost there.
 
-Scale. Texts are scanned, not shuffled, while the classes to confirm fit a measured broadcast; beyond it they are joined by id. Bands are
-aggregated with partial results, components come from min-label rounds with pointer jumping, each written to the shared folder.
+Scale. Texts are scanned, not shuffled, while the classes to confirm fit a measured broadcast; beyond it they are joined by id and digest.
+``deduplicated`` chooses rows by file and row number, and a scan joined with bitmaps brings them back (``places``). Bands are aggregated with partial results, components come from min-label rounds with pointer jumping, each written to the shared folder.
 
 Defined cases: null texts and texts without words have no set, link with nothing and form their own component; null ids: a component's id is its
 smallest non-null id (null if it has none), a row is kept when its id equals it, null equal to null; repeated rows are copies and share
@@ -24,7 +24,7 @@ smallest id (null last), then of smallest text digest; rows without words are on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import give_back, keep
+from tabforge.llm.common import give_back, keep, scratch
+from tabforge.llm.places import Placed
 from tabforge.plans.scale import fits, lookup_join
 
 WORDS = 5
@@ -112,8 +113,8 @@ def class_of(found: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(found.tobytes()), dtype=">i8")[0])
 
 
-def signatures(df: DataFrame, key: str, text: str, words: int, digest: bool = False) -> DataFrame:
-    """``_id, n_shingles, node, bands, sketch`` and on demand ``_digest`` of the text; ``node, bands, sketch`` are null without words."""
+def signatures(df: DataFrame, key: str, text: str, words: int, place: Sequence[Column] = ()) -> DataFrame:
+    """``_id, n_shingles, node, bands, sketch, _digest`` of the text and the columns ``place``; ``node, bands, sketch`` are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +139,9 @@ def signatures(df: DataFrame, key: str, text: str, words: int, digest: bool = Fa
         _words.clear()
         give_back()
 
-    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *[text_digest(text).alias("_digest")] * digest)
-    return rows.mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>, sketch binary" + ", _digest binary" * digest)
+    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), text_digest(text).alias("_digest"), *place)
+    carried = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
+    return rows.mapInArrow(run, ", ".join(["_id long, n_shingles long, node long, bands array<long>, sketch binary", *carried]))
 
 
 def text_digest(text: str) -> Column:
@@ -147,11 +149,12 @@ def text_digest(text: str) -> Column:
 
 
 def sets_of(df: DataFrame, signed: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``node, found``: the full sets of the given classes, from one document each."""
-    some = lookup_join(signed.filter("node IS NOT NULL").select("_id", "node"), nodes, "node", "inner")
-    wanted = keep(some.groupBy("node").agg(F.min("_id").alias("_id")))
-    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = lookup_join(rows, wanted, "_id", "inner").select("node", "_text")
+    """``node, found``: the full sets of the given classes, from one document each, known by its id and the digest of its text."""
+    some = lookup_join(signed.filter("node IS NOT NULL").select("_id", "_digest", "node"), nodes, "node", "inner")
+    first = some.groupBy("node").agg(F.min(F.struct("_digest", F.col("_id").isNull().alias("_none"), "_id")).alias("_first"))
+    wanted = keep(first.select("node", "_first._id", "_first._digest"))
+    rows = df.select(F.col(key).cast("long").alias("_id"), text_digest(text).alias("_digest"), F.col(text).alias("_text"))
+    rows = lookup_join(rows, wanted, ["_digest", "_id"], "inner").select("node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,9 +277,9 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return keep(met.select("a", "b").distinct())
 
 
-def labelled(df: DataFrame, key: str, text: str, words: int, percent: int, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+def labelled(df: DataFrame, key: str, text: str, words: int, percent: int, place: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
     """The signatures of the rows, and ``node, _least, label`` per class: its smallest id and its component."""
-    signed = keep(signatures(df, key, text, words, digest))
+    signed = keep(signatures(df, key, text, words, place))
     banded = signed.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
     # the leader of a bucket is the class of smallest (name xor bucket): another order in every bucket, and a plain long to aggregate
     place = F.col("node").bitwiseXOR(F.col("band"))
@@ -318,24 +321,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
-    """One row of ``df`` for each group."""
-    signed, classes = labelled(df, key, text, words, percent, digest=True)
-    # id and digest tell rows apart, but for repeated ones
-    rows = keep(signed.groupBy("_id", "_digest", "node").agg(F.count(F.lit(1)).alias("_rows")))
-    place = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_digest", "_rows")
-    first = rows.filter("node IS NOT NULL").join(classes.select("node", "label"), "node").groupBy("label").agg(F.min(place).alias("_first"))
-    chosen = keep(first.select("_first._id", "_first._digest", "_first._rows").union(rows.filter("node IS NULL").select("_id", "_digest", "_rows")))
-
-    def of(some: DataFrame) -> DataFrame:
-        side = some.select(F.col("_id").alias("_chosen"), F.col("_digest").alias("_chosen_digest"))
-        marked = df.withColumn("_digest", text_digest(text))
-        return marked.join(side, F.col(key).cast("long").eqNullSafe(F.col("_chosen")) & F.col("_digest").eqNullSafe(F.col("_chosen_digest")), "left_semi")
-
-    out = of(chosen.filter("_rows = 1"))
-    repeated = chosen.filter("_rows > 1")
-    if repeated.limit(1).count():
-        out = out.union(of(repeated).dropDuplicates([key, "_digest"]))
-    return out.drop("_digest")
+    """One row of ``df`` for each group; decided on narrow rows, the texts stay where they are."""
+    placed = Placed(df)
+    with scratch() as made:
+        signed, classes = labelled(placed.df, key, text, words, percent, [placed.file.alias("_file"), placed.row.alias("_row")])
+        place = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_digest", "_file", "_row")
+        some = signed.filter("node IS NOT NULL").join(classes.select("node", "label"), "node").groupBy("label").agg(F.min(place).alias("_first"))
+        without = signed.filter("node IS NULL").groupBy("_id", "_digest").agg(F.min(F.struct("_file", "_row")).alias("_first"))
+        out = placed.rows(some.select("_first._file", "_first._row").union(without.select("_first._file", "_first._row")))
+        del made[-1]  # the bitmaps, which the result reads
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

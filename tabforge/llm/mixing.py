@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import WORD, keep
+from tabforge.llm.common import WORD, keep, scratch
+from tabforge.llm.places import Placed
 from tabforge.plans.scale import lookup_join, positions, prefix_sums
 
 RANGES = 1024
@@ -88,7 +89,14 @@ def pareto_mix(
     share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: int = 2, seed: int = 17,
 ) -> DataFrame:
     """Per row: ``key, source, size, source_size, target, copies, taken``."""
-    docs = keep(df.select(F.col(key).alias("_key"), F.col(source).alias("source"), words_of(text).alias("size")))
+    out = _planned(df.select(F.col(key).alias("_key"), F.col(source).alias("source"), words_of(text).alias("size")), share, weights, cap, seed)
+    return out.withColumnRenamed("_key", key)
+
+
+def _planned(docs: DataFrame, share: float, weights: Sequence[int], cap: int, seed: int) -> DataFrame:
+    """The plan for ``_key, source, size``; further columns of ``docs`` stay, and settle ties in their order."""
+    extra = docs.columns[3:]
+    docs = keep(docs)
     docs = docs.withColumn("_bits", F.length(F.bin("size")).cast("long"))
     classes = keep(docs.groupBy("source", "_bits").agg(F.sum("size").alias("_words")))
     targets = keep(source_targets(keep(classes.groupBy("source").agg(F.sum("_words").alias("source_size"))), share, weights, cap))
@@ -109,38 +117,31 @@ def pareto_mix(
     inside = F.coalesce(F.col("_range") < F.coalesce("_border", F.lit(RANGES + 1)), F.lit(False))
     at_border = F.coalesce(F.col("_range") == F.col("_border"), F.lit(False))
     rest = docs.filter(~at_border).withColumn("_in", inside)
-    head = prefix_sums(docs.filter(at_border), ["source"], [F.col("_q"), F.col("_key"), F.col("size")], {"_before": F.col("size")}, inclusive=False)
+    head = prefix_sums(docs.filter(at_border), ["source"], [F.col("_q"), F.col("_key"), F.col("size"), *[F.col(c) for c in extra]], {"_before": F.col("size")}, inclusive=False)
     head = head.withColumn("_in", 2 * (F.col("_base") + F.col("_before")) + F.col("size") <= 2 * F.col("_open")).drop("_before")
     out = rest.unionByName(head)
     copies = (F.floor("_e") + F.col("_in").cast("long")).cast("long")
-    return out.select(
-        F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
 
 
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: int = 2, seed: int = 17,
+) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken.
 
-    Rows of one key, source and size differ by one copy at most, and only where the border of the sample falls among them: those are
-    numbered by the digest of their text, and the first ones take the copy more.
+    The plan is made on narrow rows that know their file and row number, and a scan joined with bitmaps brings the texts back (``places``). Where
+    the border of the sample falls among rows of one key, source and size, the digest of the text decides.
     """
-    of = ["_key", "_source", "_size"]
-    plan = pareto_mix(df, key=key, text=text, source=source, **options).select(
-        F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    plan = plan.groupBy(*of).agg(F.min("copies").alias("_copies"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("_more"))
-    plan = keep(plan.filter("_copies > 0 OR _more > 0"))
-    rows = df.withColumns({"_key": F.col(key), "_source": F.col(source), "_size": words_of(text)})
-    even = plan.filter("_more = 0").withColumnsRenamed({c: f"_p{c}" for c in of})
-    match = F.lit(True)
-    for c in of:
-        match = match & F.col(c).eqNullSafe(F.col(f"_p{c}"))
-    parts = [rows.join(even, match)]
-    border = plan.filter("_more > 0")
-    if border.limit(1).count():
-        few = positions(lookup_join(rows, border, of, "inner"), of, [F.md5(F.col(text).cast("binary"))], "_at")
-        parts.append(few.withColumn("_copies", F.col("_copies") + (F.col("_at") <= F.col("_more")).cast("long")).filter("_copies > 0"))
-    columns = [f"`{c}`" for c in df.columns]
-    parts = [p.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns) for p in parts]
-    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    placed = Placed(df)
+    with scratch() as made:
+        digest = F.unhex(F.md5(F.col(text).cast("binary")))
+        narrow = placed.df.select(F.col(key).alias("_key"), F.col(source).alias("source"), words_of(text).alias("size"),
+                                  digest.alias("_digest"), placed.file.alias("_file"), placed.row.alias("_row"))
+        plan = _planned(narrow, share, weights, cap, seed).filter("copies > 0")
+        out = placed.rows(plan.select("_file", "_row", F.col("copies").alias("_copies")), cap)
+        del made[-1]  # the bitmaps, which the result reads
+    return out
 
 
 SQL = r"""
