@@ -21,10 +21,14 @@ LEAST_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognisable language; the classifier learns from the labelled ones, missing labels are filled in."""
     columns = docs.columns
-    model = language_id.fit(docs)
-    out = language_id.predict(docs, model)
+    # names of our own, so that no column of the documents meets one that the classifier adds
+    own = {c: f"column_{i}" for i, c in enumerate(columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    model = language_id.fit(rows, own["text"], own["lang"])
+    out = language_id.predict(rows, model, own["text"])
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & ~(F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
-    return out.filter(sure).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    kept = out.filter(sure).withColumn(own["lang"], F.coalesce(own["lang"], "lang_pred"))
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; the table of a stage is removed when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(before), True)
+        before = path
     return docs
