@@ -9,7 +9,7 @@ from tabforge.catalogue.registry import query, table
 from tabforge.functions.calendar import dateparts
 from tabforge.operators import calibration, curves, metrics, models, scaling, search, selection, sequence, split, unsupervised
 from tabforge.operators.frame import literal, positive_importances, top_n
-from tabforge.operators.neighbours import k_nearest
+from tabforge.operators.neighbours import k_nearest, lsh_nearest
 from tabforge.operators.text import words
 from tabforge.plans.scale import materialise
 from tabforge.plans.training import train
@@ -112,10 +112,27 @@ with w as (select sum((a.p_retailprice - b.p_retailprice) * (a.p_size - b.p_size
 select p_partkey, p_brand, round(p_size * w, 6) as score from part, w""")
 def g07(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    model = models.PairwiseRanker(["p_size"], "p_brand", "p_retailprice", prediction="score").fit(part)
+    model = models.PairwiseRanker(["p_size"], "p_brand", "p_retailprice", prediction="score", loss="squared").fit(part)
     return model.transform(part).select("p_partkey", "p_brand", F.round("score", 6).alias("score"))
 
 
+def _newton(steps):
+    """SQL: Newton steps for the mean logistic loss over pairs, from 0."""
+    at = ["w0 as (select 0::double as w)"]
+    for i in range(steps):
+        at.append(f"""w{i + 1} as materialized (select any_value(w) - avg(-d / (1 + exp(w * d))) / avg(d * d / ((1 + exp(w * d)) * (1 + exp(-w * d)))) as w from d, w{i})""")
+    return ", ".join(at)
+
+
+@query("g07_pairwise_logistic", f"""
+with d as materialized (select (a.p_size - b.p_size)::double as d from part a join part b on a.p_brand = b.p_brand and a.p_retailprice > b.p_retailprice),
+{_newton(8)} select p_partkey, p_brand, round(p_size * w, 6) + 0 as score from part, w8""")
+def g07l(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    model = models.PairwiseRanker(["p_size"], "p_brand", "p_retailprice", reg=0.0, prediction="score").fit(part)
+    return model.transform(part).select("p_partkey", "p_brand", (F.round("score", 6) + 0).alias("score"))
+
+
 _NEAR = """near as (select a.vec_id, b.vec_id as neighbour, b.label, list_distance(a.embedding::double[], b.embedding::double[]) as d
   from embeddings a join embeddings b on a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by d, b.vec_id) <= 5)"""
 
@@ -130,6 +147,19 @@ def j10(spark, sf):
     return k_nearest(p, p, "features", "vec_id", "vec_id", "label", 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("j10_projection_neighbours", "select count(*) as queries, true as sound, true as recalled from embeddings")
+def j10l(spark, sf):
+    """Neighbours by random projections: none farther than asked, distances right, nine tenths of the exact ones found."""
+    p = _points(spark, sf)
+    exact = k_nearest(p, p, "features", "vec_id", "vec_id", "label", 5)
+    found = lsh_nearest(p, p, "features", "vec_id", "vec_id", "label", 5, radius=1.5, bucket_length=2.0)
+    both = exact.alias("e").join(found.alias("f"), ["vec_id", "neighbour"], "full")
+    near = (F.col("f.distance") < 1.5) & (F.col("e.distance").isNull() | (F.abs(F.col("f.distance") - F.col("e.distance")) < 1e-6))
+    judged = both.agg(F.min(F.coalesce(near, F.lit(True))).alias("sound"), F.sum(F.col("e.distance").isNotNull().cast("long")).alias("wanted"),
+                      F.sum((F.col("e.distance").isNotNull() & F.col("f.distance").isNotNull()).cast("long")).alias("met"))
+    return judged.crossJoin(p.agg(F.count(F.lit(1)).alias("queries"))).select("queries", "sound", (F.col("met") >= 0.9 * F.col("wanted")).alias("recalled"))
+
+
 @query("g11_knn", f"""with {_NEAR}, v as (select vec_id, label, count(*) c from near group by 1, 2)
 select vec_id, label::double as prediction from v qualify row_number() over (partition by vec_id order by c desc, label) = 1""")
 def g11(spark, sf):

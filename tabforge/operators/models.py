@@ -13,6 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -24,12 +25,15 @@ from pyspark.ml.classification import (
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,16 +264,24 @@ class PairwiseRankerModel:
 
 
 class PairwiseRanker:
-    """Linear ranker minimising the squared error over all pairs within each group.
+    """Linear ranker over the pairs of rows of a group that differ in their label.
 
-    The sum over all pairs of ((y_a - y_b) - w.(x_a - x_b))^2 equals n_g times
-    the sum over rows of ((y - mean y) - w.(x - mean x))^2 (pairwise regularised
-    least squares, Pahikkala et al. 2007). So group means and one weighted
-    regression give the exact minimum, and no pair is ever formed.
+    ``loss="logistic"`` (as boosted rankers have it): the mean of log(1 + exp(-(s_a - s_b))) over pairs with y_a > y_b, plus reg/2 |w|^2, by
+    Newton steps. A group is cut into blocks of ``block`` rows by hash; a task meets two blocks at a time as matrices and passes on
+    sums (loss, gradient, Hessian) only, so no pair is a row, and a large group is many meetings. The blocks are written once.
+
+    ``loss="squared"``: the sum over all pairs of ((y_a - y_b) - w.(x_a - x_b))^2 equals n_g times the sum over rows of
+    ((y - mean y) - w.(x - mean x))^2 (pairwise regularised least squares, Pahikkala et al. 2007). So group means and one weighted
+    regression give the exact minimum.
     """
 
-    def __init__(self, columns: Sequence[str], group: str, label: str, reg: float = 0.0, prediction: str = "prediction"):
-        self.columns, self.group, self.label, self.reg, self.prediction = list(columns), group, label, reg, prediction
+    def __init__(self, columns: Sequence[str], group: str, label: str, reg: float | None = None, prediction: str = "prediction",
+                 loss: str = "logistic", block: int = 2048, max_iter: int = 50, tol: float = 1e-9):
+        if loss not in ("logistic", "squared"):
+            raise ValueError(f"unknown pair loss {loss}")
+        self.columns, self.group, self.label, self.prediction = list(columns), group, label, prediction
+        self.reg = reg if reg is not None else (1e-4 if loss == "logistic" else 0.0)
+        self.loss, self.block, self.max_iter, self.tol = loss, block, max_iter, tol
 
     def centred(self, df: DataFrame) -> DataFrame:
         """Rows less their group's means, with the group size as weight."""
@@ -279,13 +291,156 @@ class PairwiseRanker:
         joined = lookup_join(df.filter(quoted(self.label).isNotNull()), materialise(means), self.group, "inner")
         return joined.select("_n", *[(quoted(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(names)])
 
+    def meetings(self, df: DataFrame) -> DataFrame:
+        """``first`` (rows of the first block), ``y``, ``x`` (row by row): the rows of two blocks of a group, or of one (first = all)."""
+        x = F.array(*[quoted(c).cast("double") for c in self.columns])
+        rows = df.filter(quoted(self.label).isNotNull()).select(F.col(self.group).alias("_g"), quoted(self.label).cast("double").alias("_y"), x.alias("_x"))
+        rows = materialise(rows.withColumn("_i", F.monotonically_increasing_id()), columnar=True)
+        sizes = rows.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block)).alias("_parts"), F.count_distinct("_y").alias("_values"))
+        rows = lookup_join(rows, materialise(sizes.filter("_values > 1")), "_g", "inner").withColumn("_part", F.pmod(F.xxhash64("_i"), F.col("_parts")))
+        met = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        met = met.withColumns({"_a": F.least("_part", "_other"), "_b": F.greatest("_part", "_other")})
+        held = F.sort_array(F.collect_list(F.struct("_part", "_i", "_y", "_x")))
+        out = met.groupBy("_g", "_a", "_b").agg(held.alias("_rows"))
+        return materialise(out.select(
+            F.when(F.col("_a") == F.col("_b"), F.size("_rows")).otherwise(F.size(F.filter("_rows", lambda r: r["_part"] == F.col("_a")))).alias("first"),
+            F.transform("_rows", lambda r: r["_y"]).alias("y"), F.flatten(F.transform("_rows", lambda r: r["_x"])).alias("x")), columnar=True)
+
+    def _sums(self, met: DataFrame, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Pairs, loss, gradient and Hessian at ``w``; numbers of features squared reach the driver."""
+        d = len(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 + d + d * d)
+            for batch in batches:
+                for first, ys, xs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    total += pair_sums(ys.values.to_numpy(), xs.values.to_numpy().reshape(-1, d), first, w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["place", "value"])
+
+        rows = met.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        total = np.zeros(2 + d + d * d)
+        for r in rows:
+            total[r["place"]] = r["value"]
+        return total[0], total[1], total[2:2 + d], total[2 + d:].reshape(d, d)
+
+    def _newton(self, df: DataFrame) -> np.ndarray:
+        met = self.meetings(df)
+        w = np.zeros(len(self.columns))
+        best, least, step = w, math.inf, None
+        for _ in range(self.max_iter):
+            pairs, loss, gradient, hessian = self._sums(met, w)
+            if not pairs:
+                return w
+            value = loss / pairs + self.reg / 2 * float(w @ w)
+            if value > least + 1e-15 * abs(least):  # too far: half the way
+                step = step / 2
+                w = best - step
+            else:
+                best, least = w, value
+                step = np.linalg.lstsq(hessian / pairs + self.reg * np.eye(len(w)), gradient / pairs + self.reg * w, rcond=None)[0]
+                w = best - step
+            if np.abs(step).max(initial=0) <= self.tol * (1 + np.abs(best).max(initial=0)):
+                break
+        return w if np.isfinite(w).all() else best
+
     def fit(self, df: DataFrame) -> PairwiseRankerModel:
+        if self.loss == "logistic":
+            return PairwiseRankerModel(self.columns, self._newton(df), self.prediction)
         data = assemble(self.centred(df), self.columns, "_x")
         line = LinearRegression(featuresCol="_x", labelCol=self.label, weightCol="_n", fitIntercept=False,
                                 regParam=self.reg, standardization=False, solver="normal").fit(data)
         return PairwiseRankerModel(self.columns, line.coefficients.toArray(), self.prediction)
 
 
+def pair_sums(y: np.ndarray, x: np.ndarray, first: int, w: np.ndarray) -> np.ndarray:
+    """Pairs, logistic loss, gradient and Hessian, in a row, over the pairs of the first rows with the others (of all rows, if there are no others)."""
+    one = slice(0, first)
+    two = slice(first, len(y)) if first < len(y) else one
+    sign = np.sign(y[one][:, None] - y[two][None, :])
+    if two is one:
+        sign = np.maximum(sign, 0.0)  # each pair once
+    s = x @ w
+    margin = sign * (s[one][:, None] - s[two][None, :])
+    some = sign != 0
+    loss = np.where(some, np.logaddexp(0.0, -margin), 0.0).sum()
+    p = np.where(some, 1.0 / (1.0 + np.exp(np.clip(margin, -700, 700))), 0.0)
+    c, h = -sign * p, p * (1.0 - p)
+    a, b = x[one], x[two]
+    gradient = a.T @ c.sum(axis=1) - b.T @ c.sum(axis=0)
+    cross = a.T @ h @ b
+    hessian = (a * h.sum(axis=1)[:, None]).T @ a + (b * h.sum(axis=0)[:, None]).T @ b - cross - cross.T
+    return np.concatenate([[some.sum(), loss], gradient, hessian.ravel()])
+
+
+class ExtraTreesModel:
+    """A forest over the marks of random cuts."""
+
+    def __init__(self, forest, cuts: np.ndarray, features: str):
+        self.forest, self.cuts, self.features = forest, cuts, features  # cuts: features x cuts of each
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """Those of a feature's cuts together."""
+        return DenseVector(self.forest.featureImportances.toArray().reshape(self.cuts.shape).sum(axis=1))
+
+    def thresholds(self) -> list[list[float]]:
+        """Per feature, the cuts that the trees use."""
+        used = self.forest.featureImportances.toArray().reshape(self.cuts.shape) > 0
+        return [sorted(row[u].tolist()) for row, u in zip(self.cuts, used)]
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_marks", cut_marks(F.col(self.features), self.cuts))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.forest.transform(self.marked(df)).drop("_marks")
+
+    def save(self, path: str) -> None:
+        self.forest.write().overwrite().save(f"{path}/forest")
+        _write_note(path, {"cuts": self.cuts.tolist(), "features": self.features, "kind": type(self.forest).__name__})
+
+    @classmethod
+    def load(cls, path: str) -> ExtraTreesModel:
+        note = _read_note(path)
+        kind = {c.__name__: c for c in (RandomForestClassificationModel, RandomForestRegressionModel)}[note["kind"]]
+        return cls(kind.load(f"{path}/forest"), np.array(note["cuts"]), note["features"])
+
+
+def cut_marks(features: Column, cuts: np.ndarray) -> Column:
+    """A vector with a 1 for every cut that its feature exceeds."""
+
+    @F.pandas_udf("array<double>")
+    def marks(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_numpy())
+        return pd.Series(list((rows[:, :, None] > cuts[None, :, :]).reshape(len(rows), -1).astype(float)))
+
+    return array_to_vector(marks(vector_to_array(features)))
+
+
+class ExtraTrees:
+    """Extremely randomised trees (Geurts et al. 2006): whole samples, and cuts drawn at random before any split is looked for.
+
+    Each feature gets cuts drawn uniformly between its least and greatest value, and every row is marked by the cuts it exceeds. A node looks at a
+    random subset of marks, which is a random cut of some random features, and takes the best. All trees are grown together, by one forest
+    over the marks with two bins.
+    """
+
+    def __init__(self, forest, cuts: int = 48, marks: int = 768):
+        self.forest, self.cuts, self.marks = forest, cuts, marks
+
+    def fit(self, df: DataFrame) -> ExtraTreesModel:
+        features, label, seed = self.forest.getFeaturesCol(), self.forest.getLabelCol(), self.forest.getSeed()
+        low, high = df.select(Summarizer.metrics("min", "max").summary(F.col(features)).alias("s")).select("s.min", "s.max").first()
+        low, high = low.toArray(), high.toArray()
+        each = max(4, min(self.cuts, self.marks // max(len(low), 1)))
+        cuts = low[:, None] + np.random.default_rng(seed).random((len(low), each)) * (high - low)[:, None]
+        # as many marks a node as give the usual root of the features, with room for cuts beyond the node's own values
+        share = min(1.0, 1.0 / (4.0 * math.sqrt(len(low))))
+        keep = [c for c in (label, self.forest.getOrDefault("weightCol") if self.forest.isDefined("weightCol") else None) if c]
+        data = materialise(df.select(*keep, cut_marks(F.col(features), cuts).alias("_marks")), columnar=True)
+        forest = self.forest.copy().setFeaturesCol("_marks").setMaxBins(2).setFeatureSubsetStrategy(f"{share:.6f}").setBootstrap(False)
+        return ExtraTreesModel(forest.fit(data), cuts, features)
+
+
 # -- registry ----------------------------------------------------------------------
 
 
@@ -328,6 +483,11 @@ def _forest(kind: str, depth: int, bootstrap: bool = True, impurity: str | None
     return build
 
 
+def _extra_trees(kind: str, depth: int):
+    forest = _forest(kind, depth, False)
+    return lambda spec, **p: ExtraTrees(forest(spec, **{**p, "bootstrap": False}), p.get("cuts", 48))
+
+
 def _logistic(spec: dict, **p):
     return _scaled(LogisticRegression(
         labelCol=spec["label"], maxIter=p.get("max_iter", 500), regParam=p.get("reg", 0.0),
@@ -400,8 +560,8 @@ ALGORITHMS: dict[str, tuple[str, Callable]] = {
     "XGB": ("classification", _gbt("classification", 3, 0.05, 300, 1.0)),
     "XGBM": ("multiclass", _multiclass_boost),
     "XGBR": ("regression", _gbt("regression", 10, 0.1, None, 0.9)),
-    "XT": ("classification", _forest("classification", 10, False)),
-    "XTR": ("regression", _forest("regression", 10, False)),
+    "XT": ("classification", _extra_trees("classification", 10)),
+    "XTR": ("regression", _extra_trees("regression", 10)),
 }
 
 

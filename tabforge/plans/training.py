@@ -33,7 +33,7 @@ SCORER = {"classification": "roc_auc", "multiclass": "accuracy", "ranking": "ndc
 # Models of this package that save and load themselves; all others use the ML library's format.
 OWN_MODELS = {
     c.__name__: c
-    for c in (models.AdaBoostModel, models.KernelSVCModel, models.PairwiseRankerModel, models.ScaledBayesModel, NeighbourModel)
+    for c in (models.AdaBoostModel, models.ExtraTreesModel, models.KernelSVCModel, models.PairwiseRankerModel, models.ScaledBayesModel, NeighbourModel)
 }
 
 
@@ -200,7 +200,7 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
     for algo in spec["algorithms"]:
         params = dict(spec["params"].get(algo, {}))
         if algo == "XGRK":
-            ranker = models.PairwiseRanker(columns, spec["group"], target)
+            ranker = models.PairwiseRanker(columns, spec["group"], target, **params)
             scored.append(ScoredModel(algo, ranker.fit(ready), False))
             continue
         local = dict(build_spec)

@@ -187,10 +187,55 @@ def test_pairwise_ranker_equals_regression_over_all_pairs(points):
             dx.append(x[i] - x[j])
             dy.append(y[i] - y[j])
     want = np.linalg.lstsq(np.array(dx), np.array(dy), rcond=None)[0]
-    model = models.PairwiseRanker(["a", "b"], "g", "t").fit(points.withColumn("t", F.col("c") + 2 * F.col("a")))
+    model = models.PairwiseRanker(["a", "b"], "g", "t", loss="squared").fit(points.withColumn("t", F.col("c") + 2 * F.col("a")))
     assert np.allclose(model.weights, want)
 
 
+def test_pairwise_logistic_equals_plain_newton(points, tmp_path):
+    """Groups of one block and of many give the fit of a list of all pairs; equal labels form no pair."""
+    df = points.withColumn("t", F.round(F.col("c") + F.col("a") - 0.5 * F.col("b"), 0))
+    pdf = df.toPandas()
+    dx = []
+    for _, part in pdf.groupby("g"):
+        x, y = part[["a", "b"]].to_numpy(), part["t"].to_numpy()
+        dx += [x[i] - x[j] for i, j in itertools.permutations(range(len(part)), 2) if y[i] > y[j]]
+    dx, w = np.array(dx), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(dx @ w))
+        w = w - np.linalg.solve((dx * (p * (1 - p))[:, None]).T @ dx / len(dx) + 0.01 * np.eye(2), -(dx * p[:, None]).mean(axis=0) + 0.01 * w)
+    for block in (2048, 7):
+        model = models.PairwiseRanker(["a", "b"], "g", "t", reg=0.01, block=block).fit(df)
+        assert np.allclose(model.weights, w, atol=1e-8)
+    model.save(str(tmp_path / "r"))
+    assert models.PairwiseRankerModel.load(str(tmp_path / "r")).weights == model.weights
+    assert models.PairwiseRanker(["a", "b"], "g", "t").fit(df.withColumn("t", F.lit(1.0))).weights == [0.0, 0.0]
+
+
+def test_pair_sums_of_blocks_equal_those_of_the_group():
+    rng = np.random.default_rng(4)
+    x, y, w = rng.normal(size=(50, 3)), rng.integers(0, 4, 50).astype(float), rng.normal(size=3)
+    whole = models.pair_sums(y, x, 50, w)
+    cut = [np.arange(0, 20), np.arange(20, 35), np.arange(35, 50)]
+    parts = sum(models.pair_sums(y[c], x[c], len(c), w) for c in cut)
+    parts = parts + sum(models.pair_sums(np.concatenate([y[a], y[b]]), np.concatenate([x[a], x[b]]), len(a), w) for a, b in itertools.combinations(cut, 2))
+    assert np.allclose(whole, parts)
+
+
+@pytest.mark.parametrize("algo", ["XT", "XTR"])
+def test_extra_trees_cut_at_random(points, algo, tmp_path):
+    data = unsupervised.assemble(points, COLS)
+    fits = [models.build(algo, {"key": "key", "estimators": 10, "seed": seed}).fit(data) for seed in (1, 1, 2)]
+    same, other = fits[0].thresholds() == fits[1].thresholds(), fits[0].thresholds() == fits[2].thresholds()
+    assert same and not other and all(len(t) > 3 for t in fits[0].thresholds()[:2])
+    assert fits[0].forest.toDebugString == fits[1].forest.toDebugString.replace(fits[1].forest.uid, fits[0].forest.uid)
+    fits[0].save(str(tmp_path / "x"))
+    back = models.ExtraTreesModel.load(str(tmp_path / "x"))
+    a, b = (sorted((r.key, r.prediction) for r in m.transform(data).collect()) for m in (fits[0], back))
+    assert a == b
+    ranked = dict(models.importances(fits[0], COLS))
+    assert ranked["a"] == max(ranked.values()) and sum(ranked.values()) == pytest.approx(1)
+
+
 def test_importances_lofo_and_elimination(points):
     spec = {"key": "key", "estimators": 5}
     table = models.lofo(points, ["a", "c", "d"], "LOGR", spec, "roc_auc", "fold", 3)
