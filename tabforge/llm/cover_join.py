@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import drop, give_back, keep
 from tabforge.llm.minmax_dedup import components
-from tabforge.llm.vectors import matrices, packed
+from tabforge.llm.vectors import matrices, packed, packed_floats, unpacked_floats
 from tabforge.plans.scale import lookup_join
 
 LEAF = 24
@@ -296,23 +296,22 @@ def traverse(one: CoverTree, two: CoverTree, found: Found, at_one: int, at_two:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, label, name, vector``: a digest and the bytes of the vectors that can link."""
+    """``id, label, name, dim, vector``: a digest, the length and the bytes of the vectors that can link."""
     for batch in batches:
         names: list = [None] * batch.num_rows
+        dims: list = [None] * batch.num_rows
         vectors: list = [None] * batch.num_rows
         for at, rows in matrices(batch.column(2)):
             some = np.abs(rows).max(axis=1) > 0
-            for i, row in zip(at[some], packed(rows[some] + 0.0)):  # no negative zeros
-                names[i], vectors[i] = hashlib.md5(row).digest(), row
+            whole = rows[some] + 0.0  # no negative zeros
+            for i, row, short in zip(at[some], packed(whole), packed_floats(whole)):
+                names[i], dims[i], vectors[i] = hashlib.md5(row).digest(), rows.shape[1], short
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(vectors, pa.binary())], names=["id", "label", "name", "vector"])
+            [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(dims, pa.int32()), pa.array(vectors, pa.binary())],
+            names=["id", "label", "name", "dim", "vector"])
     give_back()
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
-
-
 def _celled(pivots: dict[int, np.ndarray]):
     """Adds the nearest pivot of the group and the distance to it."""
 
@@ -325,7 +324,8 @@ def _celled(pivots: dict[int, np.ndarray]):
                     at = np.flatnonzero(groups == group)
                     for lo in range(0, len(at), 2048):
                         some = at[lo:lo + 2048]
-                        products = unit(_matrix(batch.column("vector").take(pa.array(some)))) @ pivots[group].T
+                        rows = unpacked_floats(batch.column("vector").take(pa.array(some)), pivots[group].shape[1])
+                        products = unit(rows) @ pivots[group].T
                         cells[some], gaps[some] = products.argmax(axis=1), apart(products.max(axis=1)) + MARGIN
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(gaps)], names=[*batch.schema.names, "cell", "gap"])
         give_back()
@@ -356,7 +356,7 @@ def _trees(tree_rows: int):
                     block = int(blocks[part[0]])
                     some = part[at:at + tree_rows - size]
                     cut = batch.slice(some[0], len(some))
-                    held.append((cut.column("node").to_numpy(), cut.column("weight").to_numpy(), _matrix(cut.column("vector"))))
+                    held.append((cut.column("node").to_numpy(), cut.column("weight").to_numpy(), unpacked_floats(cut.column("vector"), cut.column("dim")[0].as_py())))
                     size, at = size + len(some), at + len(some)
         if held:
             yield built()
@@ -434,12 +434,12 @@ def _pivots(classes: DataFrame, groups: DataFrame, cell_bytes: int, expected: in
     if not total:
         return {}
     share = F.col("want") / F.col("n") * min(1.0, expected / total)
-    some = lookup_join(classes.select("group", "node", "vector"), large.select("group", share.alias("share")), "group", "inner")
+    some = lookup_join(classes.select("group", "dim", "node", "vector"), large.select("group", share.alias("share")), "group", "inner")
     fraction = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen: dict[int, list] = {}
-    for row in some.filter(fraction < F.col("share")).select("group", "node", "vector").collect():
-        chosen.setdefault(row["group"], []).append((row["node"], bytes(row["vector"])))
-    return {g: unit(np.array([np.frombuffer(v, np.float64) for _, v in sorted(found)])) for g, found in chosen.items()}
+    for row in some.filter(fraction < F.col("share")).select("group", "dim", "node", "vector").collect():
+        chosen.setdefault(row["group"], []).append((row["node"], row["dim"], bytes(row["vector"])))
+    return {g: unit(unpacked_floats(pa.array([v for _, _, v in sorted(found)]), found[0][1])) for g, found in chosen.items()}
 
 
 def near_vectors(
@@ -453,11 +453,11 @@ def near_vectors(
     kind = df.schema[label].dataType.simpleString()
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.withColumn("vector", F.when(F.col("label").isNotNull(), F.col("vector")))
-    signed = keep(rows.mapInArrow(_vectors, f"id long, label {kind}, name binary, vector binary"))
+    signed = keep(rows.mapInArrow(_vectors, f"id long, label {kind}, name binary, dim int, vector binary"))
     usable = signed.filter("name IS NOT NULL")
 
-    classes = usable.groupBy("label", "name").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"), F.first("vector").alias("vector"))
-    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", (F.octet_length("vector") / 8).cast("int")))
+    classes = usable.groupBy("label", "name", "dim").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"), F.first("vector").alias("vector"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))
     groups = keep(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.monotonically_increasing_id()))
     grouped = lookup_join(classes.select("label", "dim", "node", "weight", "vector"), groups, ["label", "dim"], "inner").drop("label")
     centres = _pivots(grouped, groups, cell_bytes, pivots)
@@ -471,7 +471,7 @@ def near_vectors(
     blocks = keep(blocks.select("group", "cell", "parts", "part", "radius").withColumn("block", F.monotonically_increasing_id()))
     sizes = blocks.select("group", "cell", "parts").distinct()
     parted = lookup_join(celled, sizes, ["group", "cell"], "inner").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    parted = lookup_join(parted, blocks.select("group", "cell", "part", "block"), ["group", "cell", "part"], "inner").select("block", "node", "weight", "vector")
+    parted = lookup_join(parted, blocks.select("group", "cell", "part", "block"), ["group", "cell", "part"], "inner").select("block", "dim", "node", "weight", "vector")
     number = blocks.count()
     dealt = parted.repartition(_tasks(number), "block").sortWithinPartitions("block", "node")
     trees = keep(dealt.mapInArrow(_trees(tree_rows), "block long, tree binary"))

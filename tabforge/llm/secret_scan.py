@@ -24,9 +24,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.llm.common import give_back
+
 KINDS = ("assign", "access", "hex", "literal")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
 
@@ -156,12 +159,18 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", threshold:
             at = max(at, end)
         return "".join(out) + value[at:] if out else value
 
-    @F.pandas_udf("string")
-    def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([cut(t) for t in texts], dtype=object)
+    at = df.columns.index(text)
+
+    def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):  # few texts at a time
+                part = batch.slice(low, 512)
+                columns = list(part.columns)
+                columns[at] = pa.array([cut(t) for t in columns[at].to_pylist()], columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        give_back()
 
-    return df.withColumn(text, redacted(F.col(text)))
+    return df.mapInArrow(redacted, df.schema)
 
 
 def span_text(spans: Column) -> Column:

@@ -30,3 +30,19 @@ def integers(rows: np.ndarray, scale: float, limit: int) -> np.ndarray:
 def packed(rows: np.ndarray) -> list[bytes]:
     """Little-endian bytes of each row."""
     return [r.tobytes() for r in np.ascontiguousarray(rows)]
+
+
+def packed_floats(rows: np.ndarray) -> list[bytes]:
+    """Bytes of each row of doubles, as single floats where these hold the same numbers."""
+    with np.errstate(over="ignore"):
+        small = rows.astype(np.float32)
+    same = (small == rows).all(axis=1)
+    return [(s if fit else r).tobytes() for r, s, fit in zip(rows, small, same)]
+
+
+def unpacked_floats(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of doubles of ``packed_floats``."""
+    cells = column.to_pylist()
+    if all(len(c) == 4 * dim for c in cells):
+        return np.frombuffer(b"".join(cells), np.float32).reshape(len(cells), dim).astype(np.float64)
+    return np.array([np.frombuffer(c, np.float32 if len(c) == 4 * dim else np.float64) for c in cells], dtype=np.float64).reshape(len(cells), dim)
