@@ -41,10 +41,9 @@ select event_type as tag_id, event_id, user_id, value from events where event_ty
 def s04(spark, sf):
     events = table(spark, sf, "events").select(F.col("event_type").alias("tag_id"), "event_id", "user_id", "value")
     folder = io.scratch_folder(spark)
-    for kind in ("click", "error", "view"):
-        io.write_frame(events.filter(F.col("tag_id") == kind).drop("tag_id"), f"{folder}/{kind}.parquet")
+    io.dump_frames(events, folder)
     members = events.select(F.col("tag_id").alias("member")).filter("member in ('click', 'error')").distinct()
-    return io.load_frames(spark, folder, members, extension="parquet")
+    return io.load_frames(spark, folder, members, extension="partitions")
 
 
 @query("s05_dump_group", "select event_type as tag_id, count(*)::bigint as n, min(event_id) as first from events group by 1")

@@ -25,7 +25,10 @@ from tabforge.functions.vectors import sparse_vector
 from tabforge.operators.frame import quoted
 from tabforge.operators.variables import float_factor
 from tabforge.operators.scaling import fill_text
-from tabforge.plans.scale import lookup_join, materialise, prefix_sums
+from tabforge.plans.scale import BLOCK_ROWS, lookup_join, materialise, prefix_sums
+
+# Texts put in order by one task take about so many bytes.
+BLOCK_BYTES = 256 * 1024 * 1024
 
 
 def _category(df: DataFrame, c: str, rounding: int | None) -> Column:
@@ -504,10 +507,20 @@ class LabelEncoder:
 
 
 def factorize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Texts replaced by integer codes (sorted order, from 0); missing text is a value of its own."""
-    model = OrdinalEncoder(columns, keep=True).fit(fill_text(df, columns))
-    coded = model.transform(fill_text(df, columns))
-    return coded.withColumns({c: F.col(f"`{c}_code`") - 1 for c in columns}).drop(*[f"{c}_code" for c in columns])
+    """Texts replaced by integer codes (sorted order, from 0); missing text is a value of its own.
+
+    Texts may be long: rows and codes meet by 128-bit digests, each distinct text is moved once, to be put in order, in blocks of bounded size.
+    """
+    df = fill_text(df, columns)
+    for c in columns:
+        digest = F.unhex(F.md5(quoted(c).cast("binary")))
+        distinct = materialise(df.select(digest.alias("_digest"), quoted(c).alias("_text")).groupBy("_digest").agg(F.first("_text").alias("_text")), columnar=True)
+        width = distinct.agg(F.avg(F.octet_length("_text"))).first()[0] or 1.0
+        rows = max(1_000, min(BLOCK_ROWS, int(BLOCK_BYTES / (width + 32))))
+        codes = prefix_sums(distinct, [], [F.col("_text")], {"_code": F.lit(1).cast("long")}, block_rows=rows)
+        codes = materialise(codes.select("_digest", (F.col("_code") - 1).alias("_code")), columnar=True)
+        df = lookup_join(df.withColumn("_digest", digest), codes, "_digest").withColumn(c, F.col("_code")).drop("_digest", "_code")
+    return df
 
 
 # The encoder names a specification may use.

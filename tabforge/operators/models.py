@@ -646,8 +646,10 @@ def in_parallel(work: Sequence[Callable], parallelism: int = 4) -> list:
     """Run independent jobs from a few driver threads; Spark shares the cluster among them."""
     if len(work) < 2:
         return [w() for w in work]
+    # wrapped here, where the caller's job tags are known; once for each, as threads must not share their properties
+    spark = SparkSession.active()
     with ThreadPool(min(parallelism, len(work))) as pool:
-        return pool.map(lambda w: inheritable_thread_target(SparkSession.active())(w)(), work)
+        return pool.map(lambda w: w(), [inheritable_thread_target(spark)(w) for w in work])
 
 
 def cv_scores(df: DataFrame, estimator, scorer: str, fold: str, folds: int, label: str = "label", key: str | None = None,

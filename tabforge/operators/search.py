@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import threading
+import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, wait
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +46,45 @@ def trials(grid: Mapping[str, Sequence], n: int, seed: int = 0) -> list[dict]:
 
 
 def search(df: DataFrame, algo: str, spec: dict, scorer: str, fold: str, folds: int, n_trials: int,
-           grid: Mapping[str, Sequence] | None = None, seed: int = 0) -> tuple[dict, DataFrame]:
-    """Best parameters, and one row per trial: params, mean, std, rank. Trials without a defined score come last."""
+           grid: Mapping[str, Sequence] | None = None, seed: int = 0, timeout: float | None = None, parallelism: int = 2) -> tuple[dict, DataFrame]:
+    """Best parameters, and one row per finished trial: params, mean, std, rank. Trials without a defined score come last.
+
+    ``parallelism`` trials run at a time. After ``timeout`` seconds no trial begins, and the jobs of running ones are cancelled by their tags; what
+    finished before counts. Without any finished trial the parameters are {}, the algorithm's defaults.
+    """
     label = spec.get("label", "label")
     better = evaluator(scorer, label)[1]
-    rows = []
-    for params in trials(GRIDS[algo] if grid is None else grid, n_trials, seed):
-        scores = cv_scores(df, build(algo, spec, **params), scorer, fold, folds, label, spec.get("key"), spec.get("group"))
+    context, run, stop = df.sparkSession.sparkContext, uuid.uuid4().hex, threading.Event()
+    choices = trials(GRIDS[algo] if grid is None else grid, n_trials, seed)
+
+    def trial(i: int) -> tuple[dict, float, float] | None:
+        if stop.is_set():
+            return None
+        context.addJobTag(f"{run}-{i}")
+        try:
+            scores = cv_scores(df, build(algo, spec, **choices[i]), scorer, fold, folds, label, spec.get("key"), spec.get("group"))
+        except Exception:
+            if stop.is_set():  # cancelled
+                return None
+            raise
+        finally:
+            context.removeJobTag(f"{run}-{i}")
         mean = sum(scores) / folds
-        std = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
-        rows.append((params, mean, std))
+        return choices[i], mean, (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(trial), i) for i in range(len(choices))]
+        open_ = wait(running, timeout).not_done
+        if open_:
+            stop.set()
+            while wait(running, 0.2).not_done:  # a trial between two jobs is met by the next round
+                for i, work in enumerate(running):
+                    if not work.done():
+                        context.cancelJobsWithTag(f"{run}-{i}")
+    rows = [r for r in (work.result() for work in running) if r]
     rows.sort(key=lambda r: (math.isnan(r[1]), 0.0 if math.isnan(r[1]) else -r[1] if better else r[1], str(r[0])))
     out = [(i, str(p), float(m), float(s)) for i, (p, m, s) in enumerate(rows, 1)]
-    return rows[0][0], df.sparkSession.createDataFrame(out, "rank int, params string, mean double, std double")
+    return rows[0][0] if rows else {}, df.sparkSession.createDataFrame(out, "rank int, params string, mean double, std double")
 
 
 def report(results: DataFrame, n_top: int = 3) -> DataFrame:

@@ -43,7 +43,7 @@ def with_terms(df: DataFrame, text: str, output: str, ngrams_max: int = 1) -> Da
     return df.withColumn(output, F.concat(*parts)).drop(*parts)
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Small inputs lie in a file or two: spread over the cores. Larger ones are read by many tasks as they are."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -78,7 +78,7 @@ def tf_idf(df: DataFrame, key: str, text: str, ngrams_max: int = 1) -> DataFrame
     the vocabulary stays a table, so it may be of any size, and its join is a checked lookup. Rows of one key are one
     document.
     """
-    kept = materialise(term_counts(_spread(df.select(key, text)), text, "_counts", ngrams_max).select(key, "_counts"), columnar=True)
+    kept = materialise(term_counts(spread(df.select(key, text)), text, "_counts", ngrams_max).select(key, "_counts"), columnar=True)
     documents = kept.count()
     long = kept.select(key, F.inline("_counts"))
     if not kept.groupBy(key).count().filter("count > 1").isEmpty():
@@ -103,7 +103,7 @@ class TextVectors:
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, output: str, ngrams_max: int = 1) -> TextVectors:
-        counts = materialise(term_counts(_spread(df.select(text)), text, "_counts", ngrams_max).select("_counts"), columnar=True)
+        counts = materialise(term_counts(spread(df.select(text)), text, "_counts", ngrams_max).select("_counts"), columnar=True)
         found = materialise(vocabulary(counts.select(F.inline("_counts")), counts.count()), columnar=True)
         numbered = prefix_sums(found, [], [F.col("term")], {"number": F.lit(1).cast("long")})
         terms = materialise(numbered.withColumn("number", F.col("number") - 1), columnar=True)

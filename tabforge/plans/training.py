@@ -23,7 +23,7 @@ from tabforge.plans.scale import materialise
 
 # Run settings next to those of the feature plan. ``best_on``: choose the best model by "cv" or on the "test" rows.
 RUN_DEFAULTS: dict = {
-    "algorithms": ["RF"], "estimators": 51, "seed": 42, "cv_folds": 3, "scorer": None, "params": {}, "grid_search": 0,
+    "algorithms": ["RF"], "estimators": 51, "seed": 42, "cv_folds": 3, "scorer": None, "params": {}, "grid_search": 0, "search_seconds": None,
     "calibration": None, "stopping_share": None, "lofo": False, "rfe": None, "best_on": "cv",
 }
 # The scorer of each kind of model when none is named.
@@ -216,7 +216,8 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
         chosen = use if len(use) < len(columns) else None
         data = assemble(ready.drop("features"), use) if chosen else ready
         if spec["grid_search"] and algo in search.GRIDS:
-            params, table = search.search(data, algo, local, scorer, "fold", folds, spec["grid_search"], seed=spec["seed"])
+            params, table = search.search(data, algo, local, scorer, "fold", folds, spec["grid_search"], seed=spec["seed"],
+                                           timeout=spec["search_seconds"])
             notes["params"][algo] = (params, table)
         estimator = models.build(algo, local, **params)
         notes["cv"][algo] = models.cv_scores(data, estimator, scorer, "fold", folds, target, key, spec["group"])

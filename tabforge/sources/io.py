@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.operators import encode
-from tabforge.plans.scale import shared_folder
+from tabforge.plans.scale import fits, lookup_join, materialise, shared_folder
 
 # Type names of column overrides; any other name means text.
 OVERRIDES = {
@@ -53,20 +53,23 @@ def read_frame(
     dtypes: Mapping[str, str] | None = None,
     schema: T.StructType | str | None = None,
     fmt: str = "csv",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a table with a header row, or Parquet. A missing path is an error.
 
-    ``schema`` skips inference; ``dtypes`` overrides the type of single columns.
+    ``schema`` skips inference, which reads every file once more; ``dtypes`` overrides the type of single columns. Quoted fields may hold line
+    breaks, for which a file is read as a whole by one task; with ``multi_line=False`` (no field holds one) large files are split.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "parquet":
         return spark.read.parquet(*paths)
+    options = {**DELIMITED, "sep": sep, "multiLine": multi_line}
     if schema is None:
-        types = _delimited_types(spark.read.options(**DELIMITED, sep=sep).csv(paths))
+        types = _delimited_types(spark.read.options(**options).csv(paths))
         types |= {c: OVERRIDES.get(t, "string") for c, t in (dtypes or {}).items()}
         schema = ", ".join(f"`{c}` {t}" for c, t in types.items())
     # a value that does not fit its declared type is an error, not a null
-    return spark.read.schema(schema).options(**DELIMITED, sep=sep, mode="FAILFAST").csv(paths)
+    return spark.read.schema(schema).options(**options, mode="FAILFAST").csv(paths)
 
 
 def _flat(field: T.StructField) -> Column:
@@ -106,28 +109,40 @@ def load_frames(
     sep: str = ",",
     schema: T.StructType | str | None = None,
     splits: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read the files of a group's members as one table with a leading ``tag_id``.
 
-    With ``splits`` there is one file or folder per member, named after it;
-    otherwise one consolidated table already carries ``tag_id``. Either way the
-    members are chosen by a semi join, not by listing names on the driver.
+    With ``splits`` there is one file or folder per member, named after it, or a folder written by ``dump_frames`` (``extension="partitions"``);
+    otherwise one consolidated table already carries ``tag_id``. Either way the members are chosen by a semi join, not by listing names on the
+    driver. In a dumped folder the members' table, once measured and broadcast, prunes the sub-folders before they are read.
     """
+    wanted = members.select(F.col(member).cast("string").alias("tag_id")).distinct()
+    if extension == "partitions":
+        found = spark.read.schema(schema) if schema is not None else spark.read
+        fields = [f for f in found.parquet(folder).schema.fields if f.name != "tag_id"]
+        df = spark.read.schema(T.StructType([*fields, T.StructField("tag_id", T.StringType())])).parquet(folder)
+        df = df.select("tag_id", *[f"`{f.name}`" for f in fields])
+        # the planner prunes by a table that has a condition
+        wanted = wanted.filter(F.length("tag_id") >= 0)
+        return df.join(F.broadcast(wanted) if fits(wanted) else wanted, "tag_id", "left_semi")
     if splits:
         path = f"{folder}/*.{extension}"
-        df = read_frame(spark, path, sep, schema=schema, fmt=extension)
+        df = read_frame(spark, path, sep, schema=schema, fmt=extension, multi_line=multi_line)
         name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{extension}(/[^/]*)?$", 1)
         df = df.select(F.url_decode(name).alias("tag_id"), "*")
     else:
-        df = read_frame(spark, folder, sep, schema=schema, fmt=extension)
+        df = read_frame(spark, folder, sep, schema=schema, fmt=extension, multi_line=multi_line)
         df = df.select("tag_id", *[c for c in df.columns if c != "tag_id"])
-    wanted = members.select(F.col(member).cast("string").alias("tag_id")).distinct()
     return df.join(wanted, "tag_id", "left_semi")
 
 
-def dump_frames(df: DataFrame, folder: str, tag: str = "tag_id", mode: str = "overwrite") -> None:
-    """Write one sub-folder per member."""
-    df.write.mode(mode).partitionBy(tag).parquet(folder)
+def dump_frames(df: DataFrame, folder: str, tag: str = "tag_id", mode: str = "overwrite", file_rows: int = 1_000_000) -> None:
+    """Write one sub-folder per member, in files of about ``file_rows`` rows: a large member is written by many tasks, a small one by one."""
+    sizes = df.groupBy(tag).agg(F.ceil(F.count(F.lit(1)) / F.lit(file_rows)).alias("_files"))
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = lookup_join(df, materialise(sizes), tag, "inner").withColumn("_file", F.pmod(F.xxhash64(*plain), F.col("_files")))
+    dealt.repartition(tag, "_file").drop("_files", "_file").write.mode(mode).partitionBy(tag).parquet(folder)
 
 
 def get_data(

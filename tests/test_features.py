@@ -248,3 +248,12 @@ def test_labels_keep_null_and_unseen_values_null(spark):
     fitted = encode.LabelEncoder("y").fit(spark.createDataFrame([("b",), ("a",), (None,)], "y string"))
     rows = fitted.transform(spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7), (4, "c", 8)], "k int, y string, _code int")).orderBy("k").collect()
     assert [(r.y, r._code) for r in rows] == [(0, 5), (1, 6), (None, 7), (None, 8)]
+
+
+def test_factorize_long_texts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK_BYTES", 1)
+    texts = ["b" * 5000, "a" * 9000, None, "", "c", "b" * 5000] + [f"{i:05d}" for i in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.t for r in encode.factorize(df, ["t"]).collect()}
+    order = {t: n for n, t in enumerate(sorted({"NULLTEXT" if t is None else t for t in texts}))}
+    assert got == {i: order["NULLTEXT" if t is None else t] for i, t in enumerate(texts)}

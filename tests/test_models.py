@@ -439,6 +439,56 @@ def test_text_features_and_unlabelled_rows(spark):
     assert run.metrics.filter("partition = 'test'").isEmpty() and run.best == "LOGR"
 
 
+class _Sleeper:
+    """An estimator whose fits are Spark jobs of a given length."""
+
+    def __init__(self, seconds):
+        self.seconds = seconds
+
+    def fit(self, df):
+        def wait(rows):
+            import time
+
+            time.sleep(self.seconds)
+            yield from rows
+
+        df.sparkSession.range(0, 1, 1, 1).mapInPandas(wait, "id long").collect()
+        return self
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.col("label"))
+
+
+def test_search_keeps_its_time_budget(points, monkeypatch):
+    """Trials that would take minutes are cancelled at the deadline; those that finished before are kept."""
+    import time
+
+    monkeypatch.setattr(search, "build", lambda algo, spec, seconds: _Sleeper(seconds))
+    data = unsupervised.assemble(points, COLS)
+    search.search(data, "LOGR", {"key": "key"}, "accuracy", "fold", 3, 1, {"seconds": [0.1]})
+    start = time.monotonic()
+    best, table = search.search(data, "LOGR", {"key": "key"}, "accuracy", "fold", 3, 4, {"seconds": [0.1, 600.0, 601.0, 602.0]}, timeout=25.0)
+    assert time.monotonic() - start < 80
+    assert best == {"seconds": 0.1} and [r.params for r in table.collect()] == ["{'seconds': 0.1}"]
+    best, table = search.search(data, "LOGR", {"key": "key"}, "accuracy", "fold", 3, 1, {"seconds": [600.0]}, timeout=1.0)
+    assert best == {} and table.count() == 0
+    assert points.count() == 600  # no later job is cancelled
+
+
+def test_members_prune_folders(spark, tmp_path):
+    """Only the members' sub-folders are read; a large member lies in several files; names that look like numbers stay text."""
+    df = spark.range(9000).select(F.when(F.col("id") < 6000, "big").otherwise(F.concat(F.lit("0"), (F.col("id") % 3).cast("string"))).alias("tag_id"), "id")
+    io.dump_frames(df, str(tmp_path / "g"), file_rows=1000)
+    assert len(list((tmp_path / "g" / "tag_id=big").glob("*.parquet"))) >= 4
+    members = spark.createDataFrame([("01",), ("none",)], "member string")
+    out = io.load_frames(spark, str(tmp_path / "g"), members, extension="partitions")
+    assert out.columns == ["tag_id", "id"] and {r.tag_id for r in out.collect()} == {"01"} and out.count() == 1000
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString().lower()
+    read = io.load_frames(spark, str(tmp_path / "g"), members, extension="partitions")
+    rows = read.select(F.input_file_name().alias("f")).distinct().collect()
+    assert all("tag_id=01" in r.f for r in rows)
+
+
 def test_text_vectors_equal_term_weights(spark, tmp_path):
     """Numbers follow the sorted vocabulary; unseen terms have no place, texts without terms are empty vectors; repeated rows stay."""
     texts = ["b a a c", "a d", "", None, "zz b b", "b a a c"]
