@@ -12,7 +12,7 @@ from tabforge.operators.frame import literal, positive_importances, top_n
 from tabforge.operators.neighbours import k_nearest, lsh_nearest
 from tabforge.operators.text import spread, words
 from tabforge.plans.scale import materialise
-from tabforge.plans.training import train
+from tabforge.plans.training import load_run, train
 from tabforge.sources import io
 from tabforge.streaming.score import score_stream, write_scores
 
@@ -395,6 +395,23 @@ def s11(spark, sf):
     return orders.select("o_orderkey", "o_totalprice").join(scored_rows, "o_orderkey")
 
 
+@query("s11_b07_saved_run", """
+with h as (select o_orderkey, o_totalprice::double as y, o_custkey::double as x,
+  (('0x' || substr(md5('42:' || o_orderkey), 1, 8))::bigint)::double / 4294967296.0 < 0.25 as test from orders),
+z as (select regr_slope(y, x) a, regr_intercept(y, x) b from h where not test)
+select o_orderkey, test, round(a * x + b, 2) as prediction, y as value from h, z""")
+def saved_run(spark, sf):
+    """One table split by key, a run on it saved and recorded; found again, it scores all rows, and its kept predictions are read back."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), F.col("o_custkey").cast("double").alias("x"))
+    spec = {"key": "o_orderkey", "target": "value", "model_type": "regression", "scaling": None, "algorithms": ["LR"]}
+    folder = io.scratch_folder(spark)
+    train(spec, orders).save(spark, f"{folder}/run1", f"{folder}/runs")
+    back = load_run(spark, io.latest_run(spark, f"{folder}/runs"))
+    kept = back.predictions.select("o_orderkey", (F.col("partition") == "test").alias("test"))
+    scores = back.score(orders).select("o_orderkey", F.round("pred_LR", 2).alias("prediction"))
+    return kept.join(scores, "o_orderkey").join(orders.select("o_orderkey", "value"), "o_orderkey")
+
+
 @query("s10_metrics_sink", """
 select 'RULE' as algo, 'all' as partition, 'accuracy' as metric, round(avg(((l_quantity > 25) = (l_extendedprice > 37500))::int), 8) as value from lineitem""")
 def s10(spark, sf):

@@ -570,9 +570,15 @@ RANKED = frozenset(("CATB", "CATBR", "GB", "GBR", "LGB", "LGBR", "LOGR", "LR", "
 
 
 def build(algo: str, spec: dict, **params):
-    """Estimator by name. ``spec``: features, label, key, estimators, seed, optional validation column."""
+    """Estimator by name. ``spec``: features, label, key, estimators, seed, optional validation and weight columns."""
     full = {"features": "features", "label": "label", "key": "key", "estimators": 51, "seed": 42, **spec}
-    return ALGORITHMS[algo][1](full, **params)
+    made = ALGORITHMS[algo][1](full, **params)
+    if full.get("weight"):
+        inner = made.forest if isinstance(made, ExtraTrees) else made.getStages()[-1] if isinstance(made, Pipeline) else made
+        if not hasattr(inner, "setWeightCol"):
+            raise ValueError(f"{algo} takes no row weights")
+        inner.setWeightCol(full["weight"])
+    return made
 
 
 class MetricEvaluator:
@@ -676,7 +682,7 @@ def out_of_fold(df: DataFrame, estimator, fold: str, folds: int) -> DataFrame:
 
 def _carried(df: DataFrame, spec: dict) -> list[str]:
     """Columns beside features, label and fold that estimators and scorers may need."""
-    return [c for c in dict.fromkeys(spec.get(n) for n in ("key", "group", "validation")) if c and c in df.columns]
+    return [c for c in dict.fromkeys(spec.get(n) for n in ("key", "group", "validation", "weight")) if c and c in df.columns]
 
 
 def lofo(df: DataFrame, columns: Sequence[str], algo: str, spec: dict, scorer: str, fold: str, folds: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable, Mapping
 
@@ -21,6 +22,14 @@ from tabforge.operators.variables import latest_lag, transform_columns
 # Column transforms a specification may name.
 PARTS: dict[str, Callable[[Column], Mapping[str, Column]]] = {"dateparts": dateparts, "timeparts": timeparts, "bizday": bizday}
 
+
+
+def part(name: str) -> Callable[[Column], Mapping[str, Column]]:
+    """A transform of ``PARTS``, or the user's own, named ``module:function``: it takes a column and gives named columns."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function) if function else PARTS[name]
+
+
 # Every specification key with its default.
 DEFAULTS: dict = {
     "key": "key", "target": "target", "model_type": "classification", "features": "*", "drop": [], "factors": [],
@@ -44,7 +53,7 @@ class FeaturePlan:
         s = self.spec
         for column, name in s["transforms"]:
             root = latest_lag(df, column)
-            df = transform_columns(df, root, PARTS[name])
+            df = transform_columns(df, root, part(name))
         df = frame.select_features(df, s["features"], [c for c in self._carried(df)])
         df = frame.drop_by_root(df, s["drop"])
         booleans = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]

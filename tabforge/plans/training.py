@@ -11,7 +11,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.operators import metrics, models, search, split
+from tabforge.operators import metrics, models, search, sequence, split
 from tabforge.operators.blending import blend_classes, blend_predictions, blend_probabilities
 from tabforge.operators.calibration import CALIBRATORS
 from tabforge.operators.frame import quoted
@@ -20,11 +20,15 @@ from tabforge.operators.selection import kept
 from tabforge.operators.unsupervised import assemble
 from tabforge.plans.features import FeaturePlan
 from tabforge.plans.scale import materialise
+from tabforge.sources import io
 
-# Run settings next to those of the feature plan. ``best_on``: choose the best model by "cv" or on the "test" rows.
+# Run settings next to those of the feature plan. ``best_on``: choose the best model by "cv" or on the "test" rows;
+# ``split`` (share of test rows), ``split_by`` ("key", "time"), ``lags``, ``forecast``, ``leaders``, ``lag_target``: see ``partitions``;
+# ``sampling`` ("undersample", "oversample") and ``class_weights``: the rows that models are fitted on.
 RUN_DEFAULTS: dict = {
     "algorithms": ["RF"], "estimators": 51, "seed": 42, "cv_folds": 3, "scorer": None, "params": {}, "grid_search": 0, "search_seconds": None,
     "calibration": None, "stopping_share": None, "lofo": False, "rfe": None, "best_on": "cv",
+    "split": 0.25, "split_by": "key", "lags": 0, "forecast": None, "leaders": [], "lag_target": True, "sampling": None, "class_weights": False,
 }
 # The scorer of each kind of model when none is named.
 SCORER = {"classification": "roc_auc", "multiclass": "accuracy", "ranking": "ndcg_score", "regression": "r2"}
@@ -83,8 +87,11 @@ class Run:
     def score(self, df: DataFrame) -> DataFrame:
         return score_rows(self.plan, self.models, self.spec, df)
 
-    def save(self, spark: SparkSession, path: str) -> None:
+    def save(self, spark: SparkSession, path: str, registry: str | None = None) -> None:
+        """Plan, models and calibrators, and what the run found: predictions (also ranked by the best model), metrics, importances, elimination
+        and search tables. ``registry`` names the run table that ``io.latest_run`` looks in."""
         self.plan.save(spark, f"{path}/features")
+        self._save_tables(path)
         kinds = {}
         for m in self.models:
             target = f"{path}/model_{m.algo}"
@@ -97,11 +104,47 @@ class Run:
             if method:
                 m.calibrator.save(f"{path}/calibrator_{m.algo}")
             kinds[m.algo] = [m.classify, m.columns, own, method]
-        state = json.dumps({"spec": self.spec, "kinds": kinds, "best": self.best})
+        notes = {kind: list(self.notes.get(kind, {})) for kind in TABLES}
+        chosen = {algo: found[0] for algo, found in self.notes.get("params", {}).items()}
+        state = json.dumps({"spec": self.spec, "kinds": kinds, "best": self.best, "notes": notes, "cv": self.notes.get("cv", {}), "chosen": chosen,
+                            "tables": [n for n in ("predictions", "metrics") if getattr(self, n) is not None]})
         spark.createDataFrame([(state,)], "state string").write.mode("overwrite").parquet(f"{path}/run")
+        if registry:
+            io.record_run(spark, registry, path.rstrip("/").rsplit("/", 1)[-1], path)
+
+
+    def _save_tables(self, path: str) -> None:
+        if self.predictions is not None:
+            self.predictions.write.mode("overwrite").partitionBy("partition").parquet(f"{path}/predictions")
+            best = self.ranking
+            if best:
+                io.ranked_predictions(self.predictions.select(self.spec["key"], "partition"), self.predictions.drop("partition"), self.spec["key"], best).write.mode(
+                    "overwrite").parquet(f"{path}/ranked")
+        if self.metrics is not None:
+            io.save_metrics(self.metrics, f"{path}/metrics")
+        for kind in TABLES:
+            for algo, found in self.notes.get(kind, {}).items():
+                table = found[1] if kind == "params" else found
+                table.write.mode("overwrite").parquet(f"{path}/{kind}_{algo}")
+
+    @property
+    def ranking(self) -> str | None:
+        """The column that ranks predictions: the best model's probability, else its prediction."""
+        names = [f"prob_{self.best}", f"pred_{self.best}"]
+        return next((n for n in names if self.predictions is not None and n in self.predictions.columns), None)
+
+    def submission(self, sample: DataFrame, partition: str = "test") -> DataFrame:
+        """The sample with its second column taken from the best model's predictions of the same ids."""
+        rows = self.predictions.filter(F.col("partition") == partition)
+        return io.submission(sample, rows.select(self.spec["key"], self.ranking), self.ranking)
+
+
+# Tables by algorithm that a run keeps: search results, LOFO and elimination tables, importances.
+TABLES = ("params", "lofo", "rfe", "importances")
 
 
 def load_run(spark: SparkSession, path: str) -> Run:
+    """The run as it was saved; its tables are read when they are used."""
     state = json.loads(spark.read.parquet(f"{path}/run").first()["state"])
     scored = []
     for algo, (classify, columns, own, method) in state["kinds"].items():
@@ -109,7 +152,11 @@ def load_run(spark: SparkSession, path: str) -> Run:
         model = OWN_MODELS[own].load(source) if own else DefaultParamsReader.loadParamsInstance(source, spark)
         calibrator = CALIBRATORS[method].load(f"{path}/calibrator_{algo}") if method else None
         scored.append(ScoredModel(algo, model, classify, calibrator, columns))
-    return Run(FeaturePlan.load(spark, f"{path}/features"), state["spec"], scored, None, None, state["best"], {})
+    tables = {n: spark.read.parquet(f"{path}/{n}") if n in state["tables"] else None for n in ("predictions", "metrics")}
+    notes: dict = {kind: {a: spark.read.parquet(f"{path}/{kind}_{a}") for a in algos} for kind, algos in state["notes"].items()}
+    notes["params"] = {a: (state["chosen"][a], t) for a, t in notes["params"].items()}
+    notes["cv"] = state["cv"]
+    return Run(FeaturePlan.load(spark, f"{path}/features"), state["spec"], scored, tables["predictions"], tables["metrics"], state["best"], notes)
 
 
 def score_rows(plan: FeaturePlan, scored: list[ScoredModel], spec: Mapping, df: DataFrame) -> DataFrame:
@@ -170,9 +217,36 @@ def _best(table: DataFrame, cv: Mapping[str, list[float]], algos: list[str], sco
     return None
 
 
-def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
+def partitions(spec: Mapping, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of one table: by time where the specification names a date and lags or ``split_by="time"``, else by a hash of the key.
+
+    With ``lags`` (or a ``forecast``) the table is first put in sequence: lagged columns per group, the target of ``forecast`` rows ahead.
+    """
+    spec = {**RUN_DEFAULTS, **spec}
+    sequenced = bool(spec["lags"] or spec["forecast"])
+    if sequenced:
+        rows = sequence.sequence_frame(rows, spec["target"], spec["date"], spec["key"], spec["forecast"] or 1, spec["lags"], list(spec["leaders"]),
+                                       spec.get("group"), lag_target=spec["lag_target"])
+        rows = materialise(rows, columnar=True)
+    if spec["split_by"] == "time" or sequenced:
+        boundary = sequence.split_date(rows, spec["date"], spec["split"])
+        late = quoted(spec["date"]) > F.lit(boundary)
+        return rows.filter(~late), rows.filter(late)
+    return split.train_test_split(rows, spec["key"], spec["split"], spec["seed"])
+
+
+def _sampled(spec: Mapping, rows: DataFrame) -> DataFrame:
+    """Training rows balanced by class as the specification asks: ``undersample`` or ``oversample``."""
+    if spec["sampling"] is None:
+        return rows
+    return {"undersample": split.undersample, "oversample": split.oversample}[spec["sampling"]](rows, spec["key"], spec["target"], seed=spec["seed"] + 2)  # another seed than the split has
+
+
+def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame | None = None) -> Run:
     """Fit the feature plan and every algorithm on training rows; score and judge both partitions.
 
+    Without ``test_rows`` the specification splits (and, with lags, sequences) the one table: see ``partitions``.
+
     The training table in model form is written to the checkpoint folder once:
     cross-validation, elimination and search read it many times. Search is left out for algorithms without a
     parameter list, elimination for those that rank no features; the pairwise ranker takes part in neither.
@@ -180,6 +254,8 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
     spec = {**RUN_DEFAULTS, **spec}
     plan = FeaturePlan(spec)
     spec = {**spec, **plan.spec}
+    if test_rows is None:
+        train_rows, test_rows = partitions(spec, train_rows)
     classify = spec["model_type"] == "classification"
     scorer = spec["scorer"] or SCORER[spec["model_type"]]
     key, target, folds = spec["key"], spec["target"], spec["cv_folds"]
@@ -191,9 +267,15 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
         ready = split.add_folds(ready, key, folds, spec["seed"])
     if spec["stopping_share"]:
         ready = split.mark_validation(ready, key, spec["stopping_share"], spec["seed"])
+    if spec["class_weights"]:
+        ready = split.class_weights(ready, target, "weight")
     ready = materialise(ready, columnar=True)
+    fitting = _sampled(spec, ready)
+    fitting = ready if fitting is ready else materialise(fitting, columnar=True)
     columns = list(plan.parts["final"])
     build_spec = {"features": "features", "label": target, "key": key, "group": spec["group"], "estimators": spec["estimators"], "seed": spec["seed"]}
+    if spec["class_weights"]:
+        build_spec["weight"] = "weight"
     notes: dict = {"cv": {}, "params": {}, "lofo": {}, "rfe": {}, "importances": {}}
 
     scored = []
@@ -201,20 +283,20 @@ def train(spec: Mapping, train_rows: DataFrame, test_rows: DataFrame) -> Run:
         params = dict(spec["params"].get(algo, {}))
         if algo == "XGRK":
             ranker = models.PairwiseRanker(columns, spec["group"], target, **params)
-            scored.append(ScoredModel(algo, ranker.fit(ready), False))
+            scored.append(ScoredModel(algo, ranker.fit(fitting), False))
             continue
         local = dict(build_spec)
         if spec["stopping_share"] and algo.startswith(("XGB", "LGB", "CATB", "GB")):
             local["validation"] = "validation"
         use = columns
         if spec["lofo"]:
-            notes["lofo"][algo] = models.lofo(ready, use, algo, build_spec, scorer, "fold", folds)
+            notes["lofo"][algo] = models.lofo(fitting, use, algo, build_spec, scorer, "fold", folds)
             use = [c for c in use if c in set(kept(notes["lofo"][algo]))] or use
         if spec["rfe"] and algo in models.RANKED:
-            notes["rfe"][algo] = models.eliminate(ready, use, algo, build_spec, scorer, "fold", folds, spec["rfe"])
+            notes["rfe"][algo] = models.eliminate(fitting, use, algo, build_spec, scorer, "fold", folds, spec["rfe"])
             use = [c for c in use if c in set(kept(notes["rfe"][algo]))]
         chosen = use if len(use) < len(columns) else None
-        data = assemble(ready.drop("features"), use) if chosen else ready
+        data = assemble(fitting.drop("features"), use) if chosen else fitting
         if spec["grid_search"] and algo in search.GRIDS:
             params, table = search.search(data, algo, local, scorer, "fold", folds, spec["grid_search"], seed=spec["seed"],
                                            timeout=spec["search_seconds"])

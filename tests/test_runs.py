@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabforge.operators import metrics, models, search
 from tabforge.operators.unsupervised import assemble
 from tabforge.plans.training import load_run, train
+from tabforge.sources import io
 
 SMALL = {
     "AB": {"n_estimators": 3}, "XGB": {"n_estimators": 3}, "XGBM": {"n_estimators": 2, "max_depth": 3}, "XGBR": {"n_estimators": 3, "max_depth": 3},
@@ -123,3 +124,67 @@ def test_no_local_folder_on_a_cluster():
     Session.conf = type("Conf", (), {"get": lambda self, name, other: other})()
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         shared_folder(Session())
+
+
+def test_a_run_keeps_what_it_found(spark, table, tmp_path):
+    out = run(table, "classification", algorithms=["LOGR", "RF"], lofo=True, rfe=1, grid_search=2, group=None)
+    out.save(spark, str(tmp_path / "r1"), str(tmp_path / "runs"))
+    back = load_run(spark, io.latest_run(spark, str(tmp_path / "runs")))
+    plain = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert plain(back.predictions) == plain(out.predictions) and plain(back.metrics) == plain(out.metrics.select(*back.metrics.columns))
+    assert back.notes["cv"] == out.notes["cv"] and back.best == out.best
+    for kind in ("lofo", "rfe", "importances"):
+        assert set(back.notes[kind]) == set(out.notes[kind]) and all(plain(back.notes[kind][a]) == plain(t) for a, t in out.notes[kind].items())
+    assert {a: p for a, (p, _) in back.notes["params"].items()} == {a: p for a, (p, _) in out.notes["params"].items()}
+    ranked = spark.read.parquet(str(tmp_path / "r1" / "ranked"))
+    assert ranked.count() == out.predictions.count() and back.ranking in ranked.columns
+    sample = spark.createDataFrame([(4, 0.0), (8, 0.0), (10_000, 0.0)], "key long, score double")
+    got = {r.key: r.score for r in back.submission(sample).collect()}
+    want = {r.key: r[back.ranking] for r in out.predictions.filter("partition = 'test'").collect()}
+    assert got == {4: want[4], 8: want[8], 10_000: None}
+
+
+def test_one_table_is_split(table):
+    rows = labelled(table, "regression")
+    spec = {**BASE, "model_type": "regression", "algorithms": ["LR"], "split": 0.3}
+    out = train(spec, rows)
+    sizes = {r.partition: r["count"] for r in out.predictions.groupBy("partition").count().collect()}
+    assert sizes["train"] + sizes["test"] == 160 and 20 < sizes["test"] < 80
+    late = train({**spec, "split_by": "time", "date": "d", "drop": ["d"]}, rows.withColumn("d", F.col("key"))).predictions
+    assert late.filter("partition = 'test'").agg(F.min("key")).first()[0] > late.filter("partition = 'train'").agg(F.max("key")).first()[0]
+
+
+def test_a_panel_is_put_in_sequence(table):
+    rows = labelled(table, "regression").withColumn("d", F.floor(F.col("key") / 5))
+    spec = {**BASE, "model_type": "regression", "algorithms": ["LR"], "features": "*", "date": "d", "group": "g", "lags": 2, "forecast": 1, "leaders": ["b"]}
+    out = train(spec, rows)
+    assert {"a[-1]", "a[-2]", "y[-1]", "y[-2]", "b"} <= set(out.plan.parts["final"]) and "a" not in out.plan.parts["final"]
+    assert out.predictions.count() == 160
+
+
+@pytest.mark.parametrize("how", [{"sampling": "undersample"}, {"sampling": "oversample"}, {"class_weights": True}])
+def test_rare_classes_are_balanced(table, how):
+    rows = table.withColumn("y", ((F.col("key") % 8 == 0) & (F.col("a") > 0.2)).cast("double")).drop("s")
+    spec = {**BASE, "algorithms": ["LOGR"], "features": ["a", "b"]}
+    plain, balanced = (train({**spec, **more}, rows.filter("key % 4 <> 1"), rows.filter("key % 4 = 1")).predictions for more in ({}, how))
+    share = lambda p: p.filter("partition = 'train'").agg(F.avg("prob_LOGR")).first()[0]
+    assert balanced.count() == plain.count() == 160 and share(balanced) > share(plain) + 0.15
+
+
+def test_weights_are_refused_where_they_have_no_place():
+    with pytest.raises(ValueError, match="weights"):
+        models.build("AB", {"weight": "w"})
+
+
+def doubled(column):
+    """A user's transform: named columns from one column."""
+    return {"twice": 2 * column, "squared": column * column}
+
+
+def test_user_transforms(spark, table, tmp_path):
+    out = run(table, "regression", algorithms=["LR"], features=["a", "b", "a_twice", "a_squared"], transforms=[("a", "tests.test_runs:doubled")])
+    assert {"a_twice", "a_squared"} <= set(out.plan.parts["final"])
+    out.save(spark, str(tmp_path / "r"))
+    rows = labelled(table, "regression")
+    a, b = (sorted(map(tuple, r.score(rows).collect())) for r in (out, load_run(spark, str(tmp_path / "r"))))
+    assert a == b
