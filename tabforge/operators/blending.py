@@ -23,6 +23,14 @@ def blend_classes(df: DataFrame, columns: Sequence[str], pred: str = "pred") ->
     return df.withColumn(pred, F.array_min(ranked)["c"])
 
 
+def blend_class_probabilities(df: DataFrame, columns: Sequence[str], proba: str = "proba") -> DataFrame:
+    """Mean of arrays of class probabilities, class by class."""
+    parts = F.array(*[quoted(c) for c in columns])
+    places = F.sequence(F.lit(0), F.size(quoted(columns[0])) - 1)
+    mean = F.transform(places, lambda k: F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.get(p, k)) / len(columns))
+    return df.withColumn(proba, mean)
+
+
 def blend_predictions(df: DataFrame, columns: Sequence[str], pred: str = "pred", rounded: bool = False) -> DataFrame:
     """Mean prediction; ``rounded`` gives the nearest integer (half to even)."""
     mean = add([quoted(c).cast("double") for c in columns]) / len(columns)

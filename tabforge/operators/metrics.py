@@ -170,6 +170,13 @@ def classification_metrics(df: DataFrame, y: str, pred: str, proba: str | None =
     return out
 
 
+def multiclass_log_loss(df: DataFrame, y: str, probabilities: str) -> DataFrame:
+    """Mean of -ln p of the true class, probabilities clipped away from 0; a class beyond the array has probability 0."""
+    p = F.coalesce(F.get(probabilities, F.col(y).cast("int")), F.lit(0.0))
+    value = F.avg(-F.log(F.greatest(F.lit(EPSILON), F.least(p, F.lit(1.0) - EPSILON))))
+    return labeled(df, y).agg(value.alias("value")).filter("value is not null").select(F.lit("neg_log_loss").alias("metric"), "value")
+
+
 # -- regression --------------------------------------------------------------------
 
 

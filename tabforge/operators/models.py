@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -24,7 +25,6 @@ from pyspark.ml.classification import (
     LinearSVCModel,
     LogisticRegression,
     NaiveBayes,
-    OneVsRest,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -32,7 +32,14 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
+    GBTRegressionModel,
+    GBTRegressor,
+    LinearRegression,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,6 +152,90 @@ class AdaBoost:
         return AdaBoostModel(trees, classes, self.prediction)
 
 
+class SoftmaxBoostModel:
+    """Scores of all classes, each a sum of trees, turned into probabilities."""
+
+    def __init__(self, models: Sequence[GBTRegressionModel], priors: Sequence[float], prediction: str):
+        self.models, self.priors, self.prediction = list(models), [float(p) for p in priors], prediction
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        return DenseVector(np.mean([m.featureImportances.toArray() for m in self.models], axis=0))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        names = [f"_class{k}" for k in range(len(self.models))]
+        for name, m in zip(names, self.models):
+            df = m.copy().setPredictionCol(name).transform(df)
+        scores = F.array(*[F.col(n) + F.lit(p) for n, p in zip(names, self.priors)])
+        df = df.withColumn("_scores", scores).drop(*names).withColumn("_shares", softmax(F.col("_scores")))
+        return df.withColumn(self.prediction, argmax("_shares").cast("double")).withColumn("probability", array_to_vector("_shares")).drop("_scores", "_shares")
+
+    def save(self, path: str) -> None:
+        for k, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path}/class_{k}")
+        _write_note(path, {"priors": self.priors, "prediction": self.prediction})
+
+    @classmethod
+    def load(cls, path: str) -> SoftmaxBoostModel:
+        note = _read_note(path)
+        return cls([GBTRegressionModel.load(f"{path}/class_{k}") for k in range(len(note["priors"]))], **note)
+
+
+def softmax(scores: Column) -> Column:
+    """Exponentials of an array as shares of their sum."""
+    grown = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return F.transform(grown, lambda e: e / F.aggregate(grown, F.lit(0.0), lambda a, x: a + x))
+
+
+class SoftmaxBoost:
+    """Gradient boosting of the multinomial log loss (Friedman 2001): in every round one regression tree per class.
+
+    The trees of a round follow the gradients of the same probabilities, y - p, and are grown side by side. A leaf holds the mean gradient;
+    times the number of classes that is the Newton step at even odds. Scores live in a column that is written every few rounds.
+    """
+
+    def __init__(self, n_estimators: int = 51, max_depth: int = 5, learning_rate: float = 0.1, subsample: float = 0.9, seed: int = 0,
+                 featuresCol: str = "features", labelCol: str = "label", predictionCol: str = "prediction", every: int = 5):
+        self.n, self.depth, self.rate, self.subsample, self.seed = n_estimators, max_depth, learning_rate, subsample, seed
+        self.features, self.label, self.prediction, self.every = featuresCol, labelCol, predictionCol, every
+
+    def fit(self, df: DataFrame) -> SoftmaxBoostModel:
+        data = df.select(F.col(self.features), F.col(self.label).cast("int").alias(self.label))
+        counts = {r[0]: r[1] for r in data.groupBy(self.label).count().collect()}  # a row per class
+        classes, total = max(counts) + 1, sum(counts.values())
+        priors = [math.log(max(counts.get(k, 0), 0.5) / total) for k in range(classes)]
+        data = data.withColumn("_f", F.array(*[F.lit(p) for p in priors]))
+        step = self.rate * classes
+        trees: list[list[DecisionTreeRegressionModel]] = [[] for _ in range(classes)]
+        for t in range(self.n):
+            if t % self.every == 0:
+                data = materialise(data)
+            shares = data.withColumn("_p", softmax(F.col("_f")))
+
+            def grow(k: int, t: int = t, shares: DataFrame = shares) -> DecisionTreeRegressionModel:
+                gradient = (F.col(self.label) == k).cast("double") - F.get("_p", F.lit(k))
+                one = RandomForestRegressor(numTrees=1, bootstrap=False, subsamplingRate=self.subsample, featureSubsetStrategy="all", maxDepth=self.depth,
+                                            seed=self.seed + t * classes + k, featuresCol=self.features, labelCol="_g")
+                return one.fit(shares.select(self.features, gradient.alias("_g"))).trees[0]
+
+            grown = in_parallel([lambda k=k: grow(k) for k in range(classes)])
+            for k, tree in enumerate(grown):
+                trees[k].append(tree)
+                data = tree.setFeaturesCol(self.features).setPredictionCol(f"_t{k}").transform(data)
+            moved = F.array(*[F.get("_f", F.lit(k)) + step * F.col(f"_t{k}") for k in range(classes)])
+            data = data.withColumn("_f", moved).drop(*[f"_t{k}" for k in range(classes)])
+        return SoftmaxBoostModel([_sum_of_trees(own, step, self.features) for own in trees], priors, self.prediction)
+
+
+def _sum_of_trees(trees: Sequence[DecisionTreeRegressionModel], weight: float, features: str) -> GBTRegressionModel:
+    context = SparkSession.active().sparkContext
+    gateway, kinds = context._gateway, context._jvm.org.apache.spark.ml.regression
+    parts, weights = gateway.new_array(kinds.DecisionTreeRegressionModel, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        parts[i], weights[i] = tree._java_obj, float(weight)
+    return GBTRegressionModel(kinds.GBTRegressionModel(f"softmax_{uuid.uuid4().hex[:12]}", parts, weights)).setFeaturesCol(features)
+
+
 def _write_note(path: str, note: dict) -> None:
     row = [(json.dumps(note),)]
     SparkSession.active().createDataFrame(row, "note string").write.mode("overwrite").parquet(f"{path}/note")
@@ -509,9 +600,8 @@ def _naive_bayes(spec: dict, **p):
 
 
 def _multiclass_boost(spec: dict, **p):
-    inner = GBTClassifier(maxDepth=p.get("max_depth", 5), stepSize=p.get("learning_rate", 0.1), seed=spec["seed"],
-                          maxIter=p.get("n_estimators", spec["estimators"]), subsamplingRate=p.get("subsample", 0.9))
-    return OneVsRest(classifier=inner, featuresCol=spec["features"], labelCol=spec["label"])
+    return SoftmaxBoost(p.get("n_estimators", spec["estimators"]), p.get("max_depth", 5), p.get("learning_rate", 0.1), p.get("subsample", 0.9), spec["seed"],
+                        featuresCol=spec["features"], labelCol=spec["label"])
 
 
 def _ada(spec: dict, **p):

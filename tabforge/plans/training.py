@@ -7,12 +7,13 @@ import math
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.operators import metrics, models, search, sequence, split
-from tabforge.operators.blending import blend_classes, blend_predictions, blend_probabilities
+from tabforge.operators.blending import blend_class_probabilities, blend_classes, blend_predictions, blend_probabilities
 from tabforge.operators.calibration import CALIBRATORS
 from tabforge.operators.frame import quoted
 from tabforge.operators.neighbours import NeighbourModel
@@ -37,7 +38,8 @@ SCORER = {"classification": "roc_auc", "multiclass": "accuracy", "ranking": "ndc
 # Models of this package that save and load themselves; all others use the ML library's format.
 OWN_MODELS = {
     c.__name__: c
-    for c in (models.AdaBoostModel, models.ExtraTreesModel, models.KernelSVCModel, models.PairwiseRankerModel, models.ScaledBayesModel, NeighbourModel)
+    for c in (models.AdaBoostModel, models.ExtraTreesModel, models.KernelSVCModel, models.PairwiseRankerModel, models.ScaledBayesModel, models.SoftmaxBoostModel,
+              NeighbourModel)
 }
 
 
@@ -54,7 +56,8 @@ class ScoredModel:
         out = self.model.transform(assemble(df.drop("features"), self.columns) if self.columns else df)
         pred = F.col("prediction").alias(f"pred_{self.algo}")
         if not self.classify:
-            return out.select(key, pred)
+            shares = [vector_to_array("probability").alias(f"prob_{self.algo}")] if "probability" in out.columns else []
+            return out.select(key, pred, *shares)
         out = out.withColumn("_score", models.positive_score(out))
         if self.calibrator is None:
             return out.select(key, pred, F.col("_score").alias(f"prob_{self.algo}"))
@@ -180,7 +183,9 @@ def _blend(df: DataFrame, scored: list[ScoredModel], spec: Mapping) -> DataFrame
     if scored[0].classify:
         return blend_probabilities(df, [f"prob_{m.algo}" for m in scored], "prob_BLEND", "pred_BLEND")
     if spec["model_type"] == "multiclass":
-        return blend_classes(df, [f"pred_{m.algo}" for m in scored], "pred_BLEND")
+        df = blend_classes(df, [f"pred_{m.algo}" for m in scored], "pred_BLEND")
+        shares = [f"prob_{m.algo}" for m in scored]
+        return blend_class_probabilities(df, shares, "prob_BLEND") if set(shares) <= set(df.columns) else df
     return blend_predictions(df, [f"pred_{m.algo}" for m in scored], "pred_BLEND")
 
 
@@ -193,6 +198,8 @@ def _metric_table(df: DataFrame, spec: Mapping, algos: list[str]) -> DataFrame:
                 t = metrics.classification_metrics(rows, spec["target"], f"pred_{a}", f"prob_{a}")
             elif spec["model_type"] == "multiclass":
                 t = metrics.classification_metrics(rows, spec["target"], f"pred_{a}")
+                if f"prob_{a}" in rows.columns:
+                    t = t.unionAll(metrics.multiclass_log_loss(rows, spec["target"], f"prob_{a}"))
             elif spec["model_type"] == "ranking":
                 t = metrics.ranking_metrics(rows, spec["target"], f"pred_{a}", spec["key"], [spec["group"]])
             else:

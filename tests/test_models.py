@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabforge.operators import calibration, curves, metrics, models, search, split, text, unsupervised
@@ -439,6 +440,29 @@ def test_text_features_and_unlabelled_rows(spark):
     assert run.metrics.filter("partition = 'test'").isEmpty() and run.best == "LOGR"
 
 
+def test_softmax_boosting(spark, tmp_path):
+    """Three classes along a line: probabilities sum to 1, the log loss falls with the rounds, saved and loaded models agree, seeds repeat."""
+    rng = np.random.default_rng(8)
+    x = rng.random((400, 2)) * 3
+    df = spark.createDataFrame([(i, *map(float, r), float(min(int(r[0]), 2))) for i, r in enumerate(x)], "key long, a double, b double, label double")
+    data = unsupervised.assemble(df, ["a", "b"])
+    losses = []
+    for n in (1, 12):
+        fitted = models.build("XGBM", {"key": "key"}, n_estimators=n, max_depth=3).fit(data)
+        out = fitted.transform(data).select("key", "label", "prediction", vector_to_array("probability").alias("p"))
+        rows = out.collect()
+        assert all(len(r.p) == 3 and sum(r.p) == pytest.approx(1) and r.prediction == max(range(3), key=lambda k: r.p[k]) for r in rows)
+        losses.append(value(metrics.multiclass_log_loss(out, "label", "p"), "neg_log_loss"))
+        assert losses[-1] == pytest.approx(np.mean([-np.log(r.p[int(r.label)]) for r in rows]))
+    assert losses[1] < 0.3 < losses[0] < np.log(3) and np.mean([r.prediction == r.label for r in rows]) > 0.97
+    fitted.save(str(tmp_path / "s"))
+    again = models.build("XGBM", {"key": "key"}, n_estimators=12, max_depth=3).fit(data)
+    for other in (models.SoftmaxBoostModel.load(str(tmp_path / "s")), again):
+        same = {r.key: r.p for r in other.transform(data).select("key", vector_to_array("probability").alias("p")).collect()}
+        assert all(same[r.key] == pytest.approx(r.p) for r in rows)
+    assert dict(models.importances(fitted, ["a", "b"]))["a"] > 0.9
+
+
 class _Sleeper:
     """An estimator whose fits are Spark jobs of a given length."""
 
