@@ -218,7 +218,7 @@ class SoftmaxBoost:
                                             seed=self.seed + t * classes + k, featuresCol=self.features, labelCol="_g")
                 return one.fit(shares.select(self.features, gradient.alias("_g"))).trees[0]
 
-            grown = in_parallel([lambda k=k: grow(k) for k in range(classes)])
+            grown = in_parallel([lambda k=k: grow(k) for k in range(classes)], 8)
             for k, tree in enumerate(grown):
                 trees[k].append(tree)
                 data = tree.setFeaturesCol(self.features).setPredictionCol(f"_t{k}").transform(data)
