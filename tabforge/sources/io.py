@@ -142,7 +142,7 @@ def dump_frames(df: DataFrame, folder: str, tag: str = "tag_id", mode: str = "ov
     sizes = df.groupBy(tag).agg(F.ceil(F.count(F.lit(1)) / F.lit(file_rows)).alias("_files"))
     plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     dealt = lookup_join(df, materialise(sizes), tag, "inner").withColumn("_file", F.pmod(F.xxhash64(*plain), F.col("_files")))
-    dealt.repartition(tag, "_file").drop("_files", "_file").write.mode(mode).partitionBy(tag).parquet(folder)
+    dealt.repartition(tag, "_file").drop("_files", "_file").write.mode(mode).option("maxRecordsPerFile", file_rows).partitionBy(tag).parquet(folder)
 
 
 def get_data(
