@@ -1,5 +1,6 @@
 """Metrics, models, calibration and whole runs: brute force, invariants, save and load."""
 
+import functools
 import itertools
 
 import numpy as np
@@ -370,6 +371,25 @@ def test_steps_with_many_cuts(spark, monkeypatch):
     assert len(out) == 800 and all(out[a] == pytest.approx(p1 / (1 - p0 + p1)) for (a, _), (p0, p1) in zip(sorted(rows), want[1::2]))
 
 
+def test_steps_of_several_blocks(spark, monkeypatch):
+    """Tables of more rows than a block: neighbours by tiles, and places by running counts over values and beginnings."""
+    monkeypatch.setattr(steps, "shifted", functools.partial(steps.shifted, block_rows=40))
+    monkeypatch.setattr(steps, "positions", functools.partial(steps.positions, block_rows=40))
+    monkeypatch.setattr(steps, "prefix_sums", functools.partial(steps.prefix_sums, block_rows=40))
+    bounds = [i / 2 for i in range(100)]
+    table = spark.createDataFrame([(float("-inf"), -1.0)] + [(b, b * 10) for b in bounds], "lo double, fit double")
+    values = [None, float("nan"), float("-inf"), float("inf"), -7.0, 0.0, -0.0, 0.25, 0.5, 13.2, 13.5, 13.5, 49.5, 60.0]
+    asked = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = []
+    for small in (True, False):
+        monkeypatch.setattr(steps, "fits", lambda df, small=small: small)
+        out = steps.Steps.build(table, following=["lo"]).join(asked, "v")
+        got.append({r.i: (r._step_lo, r._step_fit, r._step_next_lo) for r in out.collect()})
+        assert out.columns == ["i", "v", "_value", "_step_lo", "_step_fit", "_step_next_lo"]
+    assert got[0] == got[1] and len(got[0]) == len(values)
+    assert got[0][0] == (None, None, None) and got[0][9] == (13.0, 130.0, 13.5) and got[0][13] == (49.5, 495.0, None)
+
+
 def test_many_scores_share_knots(spark):
     df = spark.range(3000).select((F.col("id") / 3000).alias("s"), (F.col("id") % 2 + F.col("id") > 1500).cast("double").alias("y"))
     out = calibration.VennAbers.fit(df, "s", "y", max_knots=50).transform(df, "s", "p")
