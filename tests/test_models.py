@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabforge.operators import calibration, curves, metrics, models, search, split, text, unsupervised
+from tabforge.operators import calibration, curves, metrics, models, neighbours, search, split, text, unsupervised
 from tabforge.operators.neighbours import Cells, k_nearest, lsh_nearest
 from tabforge.plans import steps
 from tabforge.plans.training import load_run, train
@@ -180,6 +180,28 @@ def test_lsh_neighbours_are_near(points):
     assert len(exact & {(r.key, r.neighbour) for r in rows}) >= 0.9 * len(exact)
 
 
+def test_neighbours_hold_one_tile_of_distances(monkeypatch):
+    """The matrix of distances is bounded whatever the numbers of queries, points and cells."""
+    held = []
+    squares, nearest = neighbours._squares, neighbours._nearest
+    monkeypatch.setattr(neighbours, "TILE", 6000)
+    monkeypatch.setattr(neighbours, "FIRST", 16)
+    monkeypatch.setattr(neighbours, "_squares", lambda a, b: held.append(len(a) * len(b)) or squares(a, b))
+    monkeypatch.setattr(neighbours, "_nearest", lambda q, p, *rest: held.append(len(q) * len(p)) or nearest(q, p, *rest))
+    rng = np.random.default_rng(8)
+    keys, rows = np.arange(700), rng.integers(0, 4, (700, 3)).astype(float)
+    best = neighbours._best(keys, rows, keys, rows, np.zeros(700), 5, True)
+    cells = Cells(np.unique(rows[:70], axis=0))
+    held.clear()
+    neighbours._best(keys, rows, keys, rows, np.zeros(700), 5, True)
+    home, gap = cells.home(rows)
+    assert max(held) <= 6000 and len(best) == 3500
+    d = ((rows[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2)
+    for i, near in best.groupby("_q"):
+        assert near["_p"].tolist() == sorted((j for j in range(700) if j != i), key=lambda j: (d[i, j], j))[:5]
+    assert gap == pytest.approx(np.sqrt(((rows - cells.centres[home]) ** 2).sum(axis=1)), abs=1e-7)
+
+
 def test_pairwise_ranker_equals_regression_over_all_pairs(points):
     pdf = points.toPandas()
     dx, dy = [], []
