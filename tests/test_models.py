@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -180,6 +181,30 @@ def test_lsh_neighbours_are_near(points):
     assert len(exact & {(r.key, r.neighbour) for r in rows}) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("width, block", [(0.5, 50), (6.0, 40)])
+def test_lsh_neighbours_equal_all_pairs_of_shared_buckets(spark, width, block):
+    """Narrow and wide buckets, larger than a block too; copies, equal keys and equal rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.standard_normal(3)), float(i % 3)) for i in range(150)]
+    rows += [(200 + i, *rows[i][1:4], 1.0) for i in range(20)] + [(7, 0.1, 0.2, 0.3, 0.0), rows[3]]
+    data = unsupervised.assemble(spark.createDataFrame(rows, "key long, a double, b double, c double, label double"), ["a", "b", "c"])
+    out = lsh_nearest(data, data, "features", "key", "key", "label", 4, radius=1.2, bucket_length=width, tables=3, block=block).collect()
+    hashed = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=width, numHashTables=3, seed=42).fit(data).transform(data)
+    held = [(r.key, r.features.toArray(), r.label, [v[0] for v in r.h]) for r in hashed.distinct().collect()]
+    want = {}
+    for a, x, _, h in held:
+        for b, y, label, g in held:
+            d = float(np.sqrt(((x - y) ** 2).sum()))
+            if a != b and d < 1.2 and any(m == n for m, n in zip(h, g)):
+                want.setdefault(a, []).append((d, b, label))
+    got = {}
+    for r in out:
+        got.setdefault(r.key, []).append((r.distance, r.neighbour, r.value))
+    assert got.keys() == want.keys()
+    for key, near in want.items():
+        assert sorted(got[key]) == [(pytest.approx(d, abs=1e-12), b, v) for d, b, v in sorted(near)[:4]]
+
+
 def test_neighbours_hold_one_tile_of_distances(monkeypatch):
     """The matrix of distances is bounded whatever the numbers of queries, points and cells."""
     held = []
