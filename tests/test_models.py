@@ -9,6 +9,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabforge.catalogue import model_queries
 from tabforge.operators import calibration, curves, metrics, models, neighbours, search, split, text, unsupervised
 from tabforge.operators.neighbours import Cells, k_nearest, lsh_nearest
 from tabforge.plans import steps
@@ -125,6 +126,15 @@ def test_regressors_learn(points, algo):
     assert value(metrics.regression_metrics(out, "label", "prediction"), "r2") > 0.75
 
 
+def test_forests_keep_the_nodes_of_rows(spark):
+    """A level of a forest starts from the last one's nodes, not from the roots; the panel it reads is written once."""
+    spec = {"key": "key", "estimators": 3, "seed": 42}
+    assert all(models.build(a, spec).getCacheNodeIds() for a in ("RF", "RFR"))
+    assert all(models.build(a, spec).forest.getCacheNodeIds() for a in ("XT", "XTR"))
+    plan = model_queries._panel_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "event_id" in plan
+
+
 def test_neighbour_blocks_equal_broadcast(points):
     data = unsupervised.assemble(points, COLS)
     one = k_nearest(data, data, "features", "key", "key", "label", 4, broadcast=True)
