@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabforge.catalogue import model_queries
 from tabforge.operators import calibration, curves, metrics, models, neighbours, search, split, text, unsupervised
 from tabforge.operators.neighbours import Cells, k_nearest, lsh_nearest
-from tabforge.plans import steps
+from tabforge.plans import scale, steps
 from tabforge.plans.training import load_run, train
 from tabforge.sources import io
 from tabforge.streaming.score import score_stream, write_scores
@@ -270,6 +270,26 @@ def test_pairwise_logistic_equals_plain_newton(points, tmp_path):
     assert models.PairwiseRanker(["a", "b"], "g", "t").fit(df.withColumn("t", F.lit(1.0))).weights == [0.0, 0.0]
 
 
+def test_pairs_of_kinds_equal_pairs_of_rows(spark, monkeypatch):
+    """Few different features: pairs of kinds are counted over ranges of labels, and no block of rows meets another."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 5 == 4 else f"g{i % 5}", float(rng.integers(0, 4)), float(rng.integers(0, 3)), float(rng.integers(0, 40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, t double")
+    ranker = models.PairwiseRanker(["a", "b"], "g", "t", reg=0.01)
+    want = {}
+    for g, a, b, t in rows:
+        for h, c, d, u in rows:
+            if g == h and t > u:
+                want[(a - c, b - d)] = want.get((a - c, b - d), 0) + 1
+    for block in (7, 65_536):
+        assert {tuple(r.x): r.n for r in ranker.kind_pairs(df, block).collect()} == want
+    plain = models.PairwiseRanker(["a", "b"], "g", "t", reg=0.01, kinds=0)
+    assert plain.kind_pairs(df) is None
+    by_rows = plain.fit(df).weights
+    monkeypatch.setattr(models.PairwiseRanker, "meetings", lambda *a: pytest.fail("rows met"))
+    assert ranker.fit(df).weights == pytest.approx(by_rows, abs=1e-9)
+
+
 def test_pair_sums_of_blocks_equal_those_of_the_group():
     rng = np.random.default_rng(4)
     x, y, w = rng.normal(size=(50, 3)), rng.integers(0, 4, 50).astype(float), rng.normal(size=3)
@@ -607,6 +627,21 @@ def test_text_vectors_equal_term_weights(spark, tmp_path):
         assert r.v.size == len(terms) and got == pytest.approx({k: w for k, w in want.items() if k[0] == r.key})
 
 
+def test_term_weights_of_a_large_vocabulary(spark, monkeypatch):
+    """Too large to broadcast: one join, by term; terms of one document need no row of the vocabulary."""
+    notes = ["aa bb aa cc", "aa dd", None, "", "zz bb bb zz", "aa bb aa cc"]
+    df = spark.createDataFrame(list(enumerate(notes)), "key long, note string")
+    small = {(r.key, r.term): r.weight for r in text.tf_idf(df, "key", "note", 2).collect()}
+    monkeypatch.setattr(text, "fits", lambda df: False)
+    monkeypatch.setattr(scale, "fits", lambda *a: False)
+    out = text.tf_idf(df, "key", "note", 2)
+    assert {(r.key, r.term): r.weight for r in out.collect()} == pytest.approx(small)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    idf = lambda n: np.log(7 / (1 + n)) + 1
+    raw = {"aa": idf(3), "dd": idf(1), "aa dd": idf(1)}
+    assert {t: w for (k, t), w in small.items() if k == 1} == pytest.approx({t: w / np.sqrt(sum(x * x for x in raw.values())) for t, w in raw.items()})
+
+
 def test_rows_of_one_key_are_one_document(spark):
     df = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb bb")], "key long, note string")
     one = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb bb")], "key long, note string")
