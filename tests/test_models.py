@@ -6,7 +6,7 @@ import itertools
 import numpy as np
 import pytest
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabforge.catalogue import model_queries
@@ -560,6 +560,98 @@ def test_softmax_boosting(spark, tmp_path):
     assert dict(models.importances(fitted, ["a", "b"]))["a"] > 0.9
 
 
+def _class_rows(spark, n, classes, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 5)).round(2)
+    y = (x[:, 0] * 3 + x[:, 1] + rng.normal(size=n)).astype(int) % classes
+    rows = [(i, *map(float, r), float(c)) for i, (r, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "key long, a double, b double, c double, d double, e double, label double")
+    return unsupervised.assemble(df, list("abcde")).coalesce(2)
+
+
+def _probabilities(model, df):
+    return {r.key: list(r.p) for r in model.transform(df).select("key", vector_to_array("probability").alias("p")).collect()}
+
+
+def test_softmax_boosting_grows_the_trees_of_spark(spark, monkeypatch):
+    """As one forest of Spark per class and round, also in narrow chunks and several passes a level."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from tabforge.operators import trees
+
+    df = _class_rows(spark, 400, 3).cache()
+    est = models.SoftmaxBoost(n_estimators=3, max_depth=4, seed=11)
+    got = _probabilities(est.fit(df), df)
+    data = df.withColumn("_f", F.array(*[F.lit(p) for p in est.fit(df).priors]))
+    for t in range(3):
+        shares = data.withColumn("_p", models.softmax(F.col("_f")))
+        for k in range(3):
+            one = RandomForestRegressor(numTrees=1, bootstrap=False, subsamplingRate=0.9, featureSubsetStrategy="all", maxDepth=4, seed=11 + 3 * t + k,
+                                        labelCol="_g", predictionCol=f"_t{k}")
+            gradient = (F.col("label") == k).cast("double") - F.get("_p", F.lit(k))
+            data = one.fit(shares.withColumn("_g", gradient).select("features", "_g")).transform(data)
+        data = data.withColumn("_f", F.array(*[F.get("_f", F.lit(k)) + 0.1 * 3 * F.col(f"_t{k}") for k in range(3)])).drop("_t0", "_t1", "_t2")
+    wanted = {r.key: r.p for r in data.select("key", models.softmax(F.col("_f")).alias("p")).collect()}
+    assert all(got[k] == pytest.approx(p, abs=1e-9) for k, p in wanted.items()) and len(got) == 400
+    monkeypatch.setattr(trees, "CHUNK", 2)
+    monkeypatch.setattr(trees, "HELD_BYTES", 3 * 24 * 5 * 32)
+    monkeypatch.setattr(trees, "CELLS", 70)
+    again = _probabilities(est.fit(df), df)
+    assert all(again[k] == pytest.approx(p, abs=1e-9) for k, p in got.items())
+
+
+def test_softmax_boosting_takes_no_jobs_per_class(spark):
+    context, jobs = spark.sparkContext, []
+    for classes in (3, 9):
+        df = _class_rows(spark, 300, classes).cache()
+        df.count()
+        context.setJobGroup(f"boost{classes}", "")
+        try:
+            models.SoftmaxBoost(n_estimators=2, max_depth=3).fit(df)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"boost{classes}")))
+    assert 0 < jobs[1] <= jobs[0] + 6
+
+
+def test_softmax_boosting_of_odd_rows(spark):
+    df = _class_rows(spark, 200, 2)
+    gone, nan = F.when(F.col("key") != 7, F.col("label")), F.when(F.col("key") == 7, float("nan")).otherwise(F.col("a"))
+    for label, a in ((gone, F.col("a")), (F.col("label"), nan)):
+        with pytest.raises(ValueError, match="without nulls"):
+            models.SoftmaxBoost(n_estimators=1).fit(df.select(label.alias("label"), array_to_vector(F.array(a, "b")).alias("features")))
+    flat = df.select("key", "label", array_to_vector(F.array(F.lit(1.0), F.lit(0.0))).alias("features"))
+    fitted = models.SoftmaxBoost(n_estimators=2).fit(flat)
+    shares = np.array(list(_probabilities(fitted, flat).values()))
+    assert np.ptp(shares, axis=0).max() == 0 and list(fitted.featureImportances) == [0.0, 0.0]
+    # one partition of many rows is spread over the cores
+    parted = models.SoftmaxBoost(n_estimators=12, block=50)
+    assert parted._rows(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    out = parted.fit(df.coalesce(1)).transform(df).select("label", "prediction").collect()
+    assert np.mean([r.label == r.prediction for r in out]) > 0.9
+
+
+def test_feature_cuts_pass_equal_shares(spark):
+    from tabforge.operators.trees import feature_cuts
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.column_stack([rng.normal(size=n), np.zeros(n), rng.integers(0, 20, n), np.where(rng.random(n) < 0.4, -5.0, rng.normal(size=n)),
+                         np.where(rng.random(n) < 0.5, 0.0, rng.integers(-30, 30, n)), -rng.exponential(size=n).round(2)])
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "x array<double>")
+    got = feature_cuts(df, "x")
+    for column, cuts in zip(x.T, got):
+        values, counts = np.unique(column, return_counts=True)
+        wanted, target, upto = [], n / 32, counts[0]
+        for i in range(1, len(values)):
+            before, upto = upto, upto + counts[i]
+            if len(values) <= 32 or abs(before - target) < abs(upto - target):
+                wanted.append((values[i - 1] + values[i]) / 2)
+                target += n / 32
+        assert list(cuts) == wanted
+    assert len(got[1]) == 0 and len(got[2]) == 19 and len(got[0]) == 31
+
+
 class _Sleeper:
     """An estimator whose fits are Spark jobs of a given length."""
 
