@@ -215,6 +215,40 @@ def test_lsh_neighbours_equal_all_pairs_of_shared_buckets(spark, width, block):
         assert sorted(got[key]) == [(pytest.approx(d, abs=1e-12), b, v) for d, b, v in sorted(near)[:4]]
 
 
+@pytest.mark.parametrize("width, tables, exclude", [(3.0, 1, True), (3.0, 1, False), (6.0, 3, True), (6.0, 3, False)])
+def test_blocks_that_meet_are_not_copied(spark, monkeypatch, width, tables, exclude):
+    """Large buckets, met one by one or all at once, and cells: no row is copied for each block it meets; the nearest are those of all pairs."""
+    plans = []
+    stored = neighbours.materialise
+    monkeypatch.setattr(neighbours, "materialise", lambda df, **kw: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, **kw))
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, rng.standard_normal(3).astype("float32" if tables == 1 else "float64")), float(i % 3)) for i in range(200)]
+    rows += [(300 + i, *rows[i][1:4], 1.0) for i in range(10)] + [(7, 0.1, 0.2, 0.3, 0.0), rows[3], (None, 0.5, 0.25, 0.5, 2.0), (0, 0.5, 0.25, 0.75, 2.0)]
+    data = unsupervised.assemble(spark.createDataFrame(rows, "key long, a double, b double, c double, label double"), ["a", "b", "c"])
+    found = lsh_nearest(data, data, "features", "key", "key", "label", 4, radius=1.2, bucket_length=width, tables=tables, exclude_self=exclude, block=30).collect()
+    hashed = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=width, numHashTables=tables, seed=42).fit(data).transform(data)
+    held = [(r.key, r.features.toArray(), r.label, [v[0] for v in r.h]) for r in hashed.distinct().collect()]
+    least = lambda key: -1 if key is None else key
+    want = {}
+    for a, x, _, h in held:
+        for b, y, _, g in held:
+            d = float(np.sqrt(((x - y) ** 2).sum()))
+            if d < 1.2 and (not exclude or None not in (a, b) and a != b) and any(m == n for m, n in zip(h, g)):
+                want.setdefault(a, []).append((d, least(b)))
+    got = {}
+    for r in found:
+        got.setdefault(r.key, []).append((r.distance, least(r.neighbour)))
+    assert got.keys() == want.keys()
+    for key, near in want.items():
+        assert sorted(got[key]) == [(pytest.approx(d, abs=1e-12), b) for d, b in sorted(near)[:4]]
+    if exclude:
+        one = data.filter("key IS NOT NULL").dropDuplicates(["key"])
+        near = k_nearest(one, one, "features", "key", "key", "label", 4, block=20, broadcast=False).collect()
+        near = {(r.key, r.neighbour): r.distance for r in near}
+        assert near == pytest.approx({(r.key, r.neighbour): r.distance for r in k_nearest(one, one, "features", "key", "key", "label", 4, broadcast=True).collect()}, abs=1e-6)
+    assert not any("explode(sequence(" in plan for plan in plans)
+
+
 def test_neighbours_hold_one_tile_of_distances(monkeypatch):
     """The matrix of distances is bounded whatever the numbers of queries, points and cells."""
     held = []
