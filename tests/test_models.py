@@ -768,6 +768,25 @@ def test_term_weights_of_a_large_vocabulary(spark, monkeypatch):
     assert {t: w for (k, t), w in small.items() if k == 1} == pytest.approx({t: w / np.sqrt(sum(x * x for x in raw.values())) for t, w in raw.items()})
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_runs_of_a_large_text_are_weighed_in_blocks(spark, monkeypatch, kind):
+    """No term is shuffled or joined; weights are those of a small text, also of repeated and missing keys and of texts without words."""
+    rng = np.random.default_rng(3)
+    notes = [" ".join(f"w{i}" for i in rng.integers(0, 12, rng.integers(0, 30))) for _ in range(40)] + [None, "", "?", "once only here"]
+    rows = [*enumerate(notes), (3, notes[5]), (7, notes[7]), (7, "w1 w2 w1"), (None, "w3 w4"), (None, "w4 w3 w4")]
+    df = spark.createDataFrame(rows, "key long, note string").withColumn("key", F.col("key").cast(kind))
+    weights = lambda out: {(r.key, r.term): r.weight for r in out.collect()}
+    for some in (df, df.filter("key IS NOT NULL").dropDuplicates(["key"])):
+        monkeypatch.undo()
+        small = text.tf_idf(some, "key", "note", 2)
+        for name, size in (("LARGE_TEXT", 100), ("BLOCK_TEXT", 400), ("SHARE_TEXT", 500), ("BATCH", 7)):
+            monkeypatch.setattr(text, name, size, raising=False)
+        out = text.tf_idf(some, "key", "note", 2)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join " not in plan and "Window" not in plan and out.schema == small.schema
+        assert out.count() == small.count() and weights(out) == pytest.approx(weights(small))
+
+
 def test_rows_of_one_key_are_one_document(spark):
     df = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb bb")], "key long, note string")
     one = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb bb")], "key long, note string")
